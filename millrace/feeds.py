@@ -132,3 +132,58 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE c_custkey % 5 WHEN 0 THEN 'N' WHEN 1 THEN '' WHEN 2 THEN 'y' ELSE 'Y' END AS opt_in",
         "dt",
     )
+
+
+def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small file per order as the landing reader gives it: sound ones and each kind of broken one."""
+    pos, customers = ",".join(schemas.POS_HEADER), "|".join(schemas.CUSTOMER_HEADER)
+    table_file = f"""concat(CASE source WHEN 'pos' THEN '{pos}' ELSE '{customers}' END, '\\r\\n',
+                     o_orderkey, CASE source WHEN 'pos' THEN ',' ELSE '|' END, o_custkey, '\\r\\n')"""
+    order_file = """concat('\\n{"orderId":"EC-', o_orderkey, '","items":null,"customerId":', o_custkey, '}\\n')"""
+    orders = table(spark, sf_dir, "orders").withColumns({
+        "day": F.expr("cast(o_orderdate AS date)"),
+        "source": F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'pos' WHEN 1 THEN 'ecommerce' ELSE 'customers' END"),
+        "suffix": F.expr("CASE o_orderkey % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.json' ELSE '.txt' END"),
+    }).withColumns({
+        "name": F.expr(file_name()),
+        "head": F.expr(f"""CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN ' \\n \\n'
+            WHEN 3 THEN CASE source WHEN 'ecommerce' THEN '[1, 2]' ELSE 'a;b\\u00e9\\n1;2\\n' END
+            WHEN 4 THEN CASE source WHEN 'ecommerce' THEN 'not json' WHEN 'pos' THEN '{pos}\\n' ELSE '{customers}\\n \\n' END
+            WHEN 5 THEN CASE source WHEN 'ecommerce' THEN '{{"orderId":"x","item":[]}}'
+                        ELSE replace(replace({table_file}, ',', ' , '), '|', ' | ') END
+            ELSE CASE source WHEN 'ecommerce' THEN {order_file} ELSE {table_file} END END"""),
+    })
+    return orders.selectExpr(
+        "concat('file:/', source, '/', name) AS path",
+        """concat(CASE WHEN o_orderkey % 19 = 7 THEN 'other' ELSE source END, '/dt=',
+           date_format(day, 'yyyy-MM-dd'), '/', name) AS key""",
+        "CASE WHEN head IS NULL THEN 9L ELSE cast(octet_length(head) AS bigint) END AS size",
+        "head",
+        "CASE WHEN o_orderkey % 401 = 400 THEN 'cannot be opened' END AS error",
+    )
+
+
+def file_name() -> str:
+    """File names with and without a usable date (columns o_orderkey, day, suffix)."""
+    return """concat('f', o_orderkey, CASE o_orderkey % 5
+        WHEN 0 THEN concat('_', date_format(day, 'yyyy-MM-dd'))
+        WHEN 1 THEN concat('-', date_format(day, 'yyyyMMdd'))
+        WHEN 2 THEN concat('_2026-13-45_', date_format(day, 'yyyyMMdd'))
+        WHEN 3 THEN concat('_', date_format(day, 'yyyyMMdd'), '_', date_format(date_add(day, 1200), 'yyyy-MM-dd'))
+        ELSE '_none' END, suffix)"""
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing content by place and size: a third of the files of `file_heads`, some with another size."""
+    from millrace.operators.arrival import FORMATS, landing_key
+
+    heads = file_heads(spark, sf_dir).withColumn("name", F.element_at(F.split("key", "/"), -1))
+    place = F.lit(None).cast("string")
+    for folder, suffix in FORMATS.values():
+        place = F.when(F.col("name").endswith(suffix), landing_key(folder, F.col("name"))).otherwise(place)
+    number = F.regexp_extract("name", r"^f(\d+)", 1).cast("bigint")
+    changed = F.when(number % 9 == 3, 1).otherwise(0)
+    return heads.withColumn("number", number).select(
+        F.when(number % 3 == 0, place).otherwise(F.concat(F.lit("old/"), place)).alias("key"),
+        (F.col("size") + changed).alias("size"),
+    )

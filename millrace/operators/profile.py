@@ -40,8 +40,9 @@ def _unknown(ids: DataFrame, customers: DataFrame, source: str) -> DataFrame:
 def pos_issues(spark: SparkSession, rows: DataFrame, customers: DataFrame) -> DataFrame:
     columns = [name for name in rows.columns if name not in ("source_file", "dt")]
     # Copies of a row share its id, so only rows of repeated ids are compared in full width.
-    ids = settle(spark, repeated_keys(rows, "txn_id"), "txn_id")
-    copies = ids.keep(rows.select(*columns)).groupBy(*columns).agg(F.count("*").alias("copies"))
+    with_id = rows.select(*columns).withColumn("txn_id", F.coalesce(F.col("txn_id"), F.lit("")))
+    ids = settle(spark, repeated_keys(with_id, "txn_id"), "txn_id")
+    copies = ids.keep(with_id).groupBy(*columns).agg(F.count("*").alias("copies"))
     surplus = copies.agg(F.sum(F.col("copies") - 1))
     return union_by_name([
         _counted(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millrace.functions import rules
 from millrace.operators.gate import gate_tallies
 from millrace.operators.keys import key_counts, repeated_keys, settle
+from millrace.sources.raw import is_corrupt
 
 SALES_PARSED = ("sale_date", "quantity", "unit_price")
 CUSTOMERS_PARSED = ("signup_date", "opt_in")
@@ -33,10 +34,8 @@ def parse_error_counts(rows: DataFrame, names: tuple[str, ...] = SALES_PARSED) -
 
 
 def bad_line_counts(lines: DataFrame) -> DataFrame:
-    corrupt = F.col("_corrupt_record")
-    return lines.agg(
-        F.count_if(corrupt.isNotNull()).alias("bad_lines"), F.count_if(corrupt.isNull()).alias("good_lines")
-    )
+    corrupt = is_corrupt(lines)
+    return lines.agg(F.count_if(corrupt).alias("bad_lines"), F.count_if(~corrupt).alias("good_lines"))
 
 
 def distinct_customers(customers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace import schemas
 
@@ -33,17 +33,19 @@ def source_exists(spark: SparkSession, base: str) -> bool:
     return True
 
 
-def read_pos(spark: SparkSession, base: str, declared: bool = True) -> DataFrame:
+def read_pos(spark: SparkSession, base: str, check_header: bool = True, declared: bool = True) -> DataFrame:
     """Store sales, all text.
 
-    The arrival check has made sure of the header, so the schema is declared and a file with another
-    header fails the job. `declared=False` takes the column names from the files instead.
+    The arrival check has made sure of the header, so the schema is declared, and a file with another
+    header fails the job. Without `check_header` columns are taken by position: only for reading a
+    landing zone, where rejected files are filtered out afterwards. Without `declared` the names come
+    from the files, which may then lack the payment type.
     """
     reader = spark.read.option("header", True).option("basePath", folder(base))
     if declared:
-        reader = reader.schema(schemas.POS_RAW).option("enforceSchema", False)
+        reader = reader.schema(schemas.POS_RAW).option("enforceSchema", not check_header)
     rows = with_source_file(reader.csv(dated(base)))
-    return rows.withColumn("dt", F.col("dt").cast("string")) if "dt" in rows.columns else rows
+    return rows.withColumn("dt", F.col("dt").cast("string"))
 
 
 def read_order_lines(spark: SparkSession, base: str) -> DataFrame:
@@ -65,21 +67,29 @@ def parse_order_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim(F.col("value")) != "").select(F.inline(F.array(parsed)), "dt")
 
 
+def is_corrupt(lines: DataFrame) -> Column:
+    """Whether a line does not fit the schema.
+
+    Spark only notices a value of a wrong type in the columns it is asked for, so the condition asks for
+    all of them: a count over the orders then sees the same lines as a query over every field.
+    """
+    fields = [F.col(name).isNull().cast("int") for name in schemas.ORDER.names if name in lines.columns]
+    all_read = reduce(Column.__add__, fields) >= 0
+    return F.col(schemas.CORRUPT).isNotNull() & all_read
+
+
 def valid_orders(lines: DataFrame, bad_lines: Observation | None = None) -> DataFrame:
     """Orders without the corrupt lines, which `bad_lines` counts in the pass that reads the orders."""
-    corrupt = F.col(schemas.CORRUPT)
+    corrupt = is_corrupt(lines)
     if bad_lines is not None:
-        lines = lines.observe(bad_lines, F.count_if(corrupt.isNotNull()).alias("bad_lines"))
-    return lines.filter(corrupt.isNull()).drop(schemas.CORRUPT)
+        lines = lines.observe(bad_lines, F.count_if(corrupt).alias("bad_lines"))
+    return lines.filter(~corrupt).drop(schemas.CORRUPT)
 
 
 def rejected_order_lines(lines: DataFrame) -> DataFrame:
     """Text of the lines `valid_orders` leaves out, so that nothing is lost without trace."""
-    # orderId stands in the filter because Spark refuses to read the corrupt column alone.
     kept = [name for name in ("dt", "source_file") if name in lines.columns]
-    return lines.filter(F.col(schemas.CORRUPT).isNotNull()).select(
-        F.col(schemas.CORRUPT).alias("line"), F.col("orderId").alias("order_id"), *kept
-    )
+    return lines.filter(is_corrupt(lines)).select(F.col(schemas.CORRUPT).alias("line"), *kept)
 
 
 def read_all_orders(spark: SparkSession, base: str) -> DataFrame:

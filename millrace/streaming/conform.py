@@ -27,6 +27,19 @@ def stream_orders(spark: SparkSession, base: str, usd_to_cad: str = USD_TO_CAD)
     return conform_ecommerce(raw.valid_orders(raw.with_source_file(files)), usd_to_cad)
 
 
+def stream_sales(spark: SparkSession, raw_zone: str, usd_to_cad: str = USD_TO_CAD) -> DataFrame:
+    """Both sources as one stream: a file sink takes one query only."""
+    base = raw.folder(raw_zone)
+    streams = []
+    if raw.source_exists(spark, base + "pos"):
+        streams.append(stream_pos(spark, base + "pos"))
+    if raw.source_exists(spark, base + "ecommerce"):
+        streams.append(stream_orders(spark, base + "ecommerce", usd_to_cad))
+    if not streams:
+        raise RuntimeError(f"No input under {base}.")
+    return raw.union_by_name(streams)
+
+
 def append_sales(sales: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what has arrived to the conformed table, each file once."""
     return (
