@@ -17,7 +17,11 @@ PAD = "CASE WHEN length({text}) < 6 THEN lpad({text}, 6, '0') ELSE {text} END"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that comes in fewer pieces than there are cores (a small file is one row
+    group) is spread over them; a large table is read as it lies."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, rows.columns[0]) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def pad6(number: str) -> str:

@@ -20,12 +20,15 @@ def clean_lower(col: Column) -> Column:
 
 def sku(col: Column) -> Column:
     """One spelling for product codes: TH1001, th-1001 and TH-1001 are all TH-1001."""
-    return F.regexp_replace(clean_upper(col), "^TH-?", "TH-")
+    code = clean_upper(col)
+    undashed = code.startswith("TH") & ~code.startswith("TH-")
+    return F.when(undashed, F.concat(F.lit("TH-"), F.substr(code, F.lit(3)))).otherwise(code)
 
 
 def loyalty_number(col: Column) -> Column:
     """Customer number out of a store loyalty code (L000123 is 000123)."""
-    return clean(F.regexp_replace(clean_upper(col), "^L", ""))
+    code = clean_upper(col)
+    return F.when(code.startswith("L"), clean(F.substr(code, F.lit(2)))).otherwise(code)
 
 
 def padded_number(col: Column, width: int = 6) -> Column:

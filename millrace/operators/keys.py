@@ -19,6 +19,17 @@ BROADCAST_LIMIT = 32 * 1024 * 1024
 ROW_OVERHEAD = 64
 
 
+def stored(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    For rows that several passes need: each pass then reads only its columns, filters reach the Parquet
+    scan, nothing is parsed twice, and a lost executor costs no more than its own tasks.
+    """
+    path = shared_folder(spark, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def key_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("copies"))
 
@@ -62,9 +73,8 @@ class KeySet:
 
 def settle(spark: SparkSession, keys: DataFrame, key: str, limit: int = BROADCAST_LIMIT) -> KeySet:
     """Write a key set (unique, not NULL) to the shared folder and measure it on the way."""
-    path = shared_folder(spark, f"keys-{key}")
     measured = Observation()
     size = F.sum(F.octet_length(F.col(key).cast("string")) + F.lit(ROW_OVERHEAD))
-    keys.select(key).observe(measured, F.coalesce(size, F.lit(0)).alias("size")).write.parquet(path)
-    frame = spark.read.schema(keys.select(key).schema).parquet(path)
+    keys = keys.select(key).observe(measured, F.coalesce(size, F.lit(0)).alias("size"))
+    frame = stored(spark, keys, f"keys-{key}")
     return KeySet(frame, key, int(measured.get["size"]), limit)

@@ -97,6 +97,7 @@ def unknown_customer_counts(sales: DataFrame, customers: DataFrame) -> DataFrame
 
 
 def unknown_customer_sales(spark: SparkSession, sales: DataFrame, customers: DataFrame) -> DataFrame:
-    """The sales rows of those ids. A report only: the gate has no such rule."""
+    """The sales rows of those ids. A report only: the gate has no such rule. Reads the sales twice, so
+    they should be a stored table."""
     unknown = settle(spark, unknown_customer_counts(sales, customers), "customer_id")
     return unknown.keep(sales)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace import feeds, schemas
 from millrace.functions.dates import file_name_date
 from millrace.operators import arrival, conform, gate, profile, reports, sqlpath
+from millrace.operators.keys import stored
 from millrace.plans import arrival as arrival_plans
 from millrace.plans import customers as customer_plans
 from millrace.plans import gate as gate_plans
@@ -60,8 +61,10 @@ def _over(source: Query, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _gated(source: Query, operator) -> Query:
+    """Gate outputs over stored sales, as in the pipeline: repeated ids first, then the rows."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = source(spark, sf_dir)
+        rows = stored(spark, source(spark, sf_dir), "sales")
         return operator(rows, gate.duplicate_sales(spark, rows))
 
     return query
@@ -91,7 +94,8 @@ def orphan_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.unknown_customer_sales(spark, sales(spark, sf_dir), customers(spark, sf_dir))
+    rows = stored(spark, sales(spark, sf_dir), "sales")
+    return reports.unknown_customer_sales(spark, rows, customers(spark, sf_dir))
 
 
 def issue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,7 @@ def issue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sales(spark, sf_dir)
+    rows = stored(spark, sales(spark, sf_dir), "sales")
     gate_plans.analyst_view(spark, gate.curated(rows, gate.duplicate_sales(spark, rows)))
     return spark.sql(
         "SELECT category, count(*) AS n, sum(quantity) AS units FROM curated_sales GROUP BY category"

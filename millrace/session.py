@@ -9,10 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
-    """Fix the settings that change results: strict date parsing, text partition values, UTC."""
+    """Fix the settings that change results: strict date parsing, text partition values, UTC.
+
+    The last setting is for speed: the JVM never compiles methods of more than 8000 bytes, which the
+    long projections here would give when fused into one; Spark then uses its split-up form instead.
+    """
     spark.conf.set("spark.sql.legacy.timeParserPolicy", "CORRECTED")
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
