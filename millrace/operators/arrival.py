@@ -154,31 +154,40 @@ def _loose_table_problem(head: Column, separator: str) -> Column:
     return problem.when(after_first_line(head) == "", F.lit(HEADER_ONLY))
 
 
-def landing_key(folder: str, name: Column) -> Column:
+def _sent_problem(kind: str) -> Column:
+    head = F.col("head")
+    if kind == "json":
+        content, not_text = order_problem(head, NOT_JSON_SENT), NOT_JSON_SENT
+    else:
+        content, not_text = _loose_table_problem(head, "," if kind == "csv" else "|"), NOT_TABLE
+    return F.when(F.col("size") == 0, F.lit(EMPTY)).when(head.isNull(), F.lit(not_text)).otherwise(content)
+
+
+def landing_key(folder: str | Column, name: Column) -> Column:
     """Place of a file in the landing zone by the date in its name."""
-    day = file_name_date(name)
-    return F.concat(
-        F.lit(f"{folder}/"), F.coalesce(F.concat(F.lit("dt="), day), F.lit("undated")), F.lit("/"), name
-    )
+    folder = F.lit(folder) if isinstance(folder, str) else folder
+    day = F.coalesce(F.concat(F.lit("dt="), file_name_date(name)), F.lit("undated"))
+    return F.concat_ws("/", folder, day, name)
 
 
-def sending_list(heads: DataFrame, landed: DataFrame, kind: str = "csv", folder: str | None = None) -> DataFrame:
-    """What happens to each local file of one kind: uploaded, skipped (same key and size landed) or failed.
+def sending_list(
+    heads: DataFrame, landed: DataFrame, kinds: tuple[str, ...] = ("csv",), folder: str | None = None
+) -> DataFrame:
+    """What happens to each local file of the given kinds: uploaded, skipped (same key and size landed)
+    or failed.
 
     A file with a problem is flagged and sent all the same; the arrival check is the gate.
     """
-    default_folder, suffix = FORMATS[kind]
-    name, head = F.element_at(F.split(F.col("key"), "/"), -1), F.col("head")
-    if kind == "json":
-        content, not_text = order_problem(head, NOT_JSON_SENT), NOT_JSON_SENT
-    else:
-        content, not_text = _loose_table_problem(head, "," if kind == "csv" else "|"), NOT_TABLE
-    problem = (
-        F.when(F.col("size") == 0, F.lit(EMPTY)).when(head.isNull(), F.lit(not_text)).otherwise(content)
-    )
-    files = heads.filter(F.lower(name).endswith(suffix)).select(
+    name = F.element_at(F.split(F.col("key"), "/"), -1)
+    kind = target = problem = F.lit(None).cast("string")
+    for each in kinds:
+        default_folder, suffix = FORMATS[each]
+        kind = F.when(F.lower(name).endswith(suffix), F.lit(each)).otherwise(kind)
+        target = F.when(F.col("kind") == each, F.lit(folder or default_folder)).otherwise(target)
+        problem = F.when(F.col("kind") == each, _sent_problem(each)).otherwise(problem)
+    files = heads.withColumn("kind", kind).filter("kind IS NOT NULL").select(
         name.alias("file_name"),
-        landing_key(folder or default_folder, name).alias("key"),
+        landing_key(target, name).alias("key"),
         file_name_date(name).alias("dt"),
         "size",
         F.when(F.col("error").isNull(), problem).alias("problem"),

@@ -49,4 +49,4 @@ def sending_plan(spark: SparkSession, source_folder: str, landing_zone: str | No
         landed = spark.createDataFrame([], "key string, size bigint")
     else:
         landed = landing.read_heads(landing.list_files(spark, landing_zone), limit=0)
-    return arrival.sending_list(heads, landed, kind)
+    return arrival.sending_list(heads, landed, (kind,))

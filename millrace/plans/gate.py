@@ -25,15 +25,17 @@ class GateRun:
         return self.all_rows == self.curated_rows + self.quarantine_rows
 
 
-def split_sales(spark: SparkSession, sales: DataFrame, curated_path: str, quarantine_path: str) -> GateRun:
-    """Write passing rows and rejects, each in one pass over the stored sales.
+def split_sales(
+    spark: SparkSession, sales: DataFrame, curated_path: str, quarantine_path: str, partition_by: tuple[str, ...] = ()
+) -> GateRun:
+    """Write passing rows (partitioned if wanted) and rejects, each in one pass over the stored sales.
 
     The repeated ids are found once and shared by both passes. Reading a columnar table twice is
     cheaper than keeping all gated rows in memory or on local disks between two writes.
     """
     duplicates = gate.duplicate_sales(spark, sales)
     passed, rejected = Observation("passed"), Observation("rejected")
-    write_whole(gate.curated(sales, duplicates).observe(passed, F.count("*").alias("n")), curated_path)
+    write_whole(gate.curated(sales, duplicates).observe(passed, F.count("*").alias("n")), curated_path, partition_by)
     write_whole(gate.quarantine(sales, duplicates).observe(rejected, F.count("*").alias("n")), quarantine_path)
     return GateRun(
         all_rows=sales.count(),
@@ -50,10 +52,12 @@ def gate_job(spark: SparkSession, trusted_zone: str) -> GateRun:
     return split_sales(spark, read_trusted_sales(spark, trusted_zone), base + "sales/", base + "quarantine/")
 
 
-def export_job(spark: SparkSession, sales: DataFrame, curated_zone: str) -> GateRun:
+def export_job(
+    spark: SparkSession, sales: DataFrame, curated_zone: str, partition_by: tuple[str, ...] = ()
+) -> GateRun:
     """Both results to the curated zone."""
     base = folder(curated_zone)
-    return split_sales(spark, sales, base + "sales_clean/", base + "quarantine/")
+    return split_sales(spark, sales, base + "sales_clean/", base + "quarantine/", partition_by)
 
 
 def analyst_view(spark: SparkSession, curated: DataFrame, name: str = "curated_sales") -> DataFrame:

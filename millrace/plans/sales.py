@@ -35,22 +35,6 @@ def run_totals(names: tuple[str, ...]) -> list[Column]:
     return [F.count("*").alias("rows"), *[F.count_if(has_parse_error(name)).alias(name) for name in names]]
 
 
-def _branches(
-    spark: SparkSession, base: str, sources: tuple[str, ...], usd_to_cad: str, bad_lines: Observation | None
-) -> list[DataFrame]:
-    """Conformed rows of each source that has files."""
-    parts = []
-    for source in sources:
-        if not raw.source_exists(spark, base + source):
-            log.info("no dated folders under %s%s, source skipped", base, source)
-        elif source == "pos":
-            parts.append(conform_pos(raw.read_pos(spark, base + source)))
-        else:
-            orders = raw.valid_orders(raw.read_order_lines(spark, base + source), bad_lines)
-            parts.append(conform_ecommerce(orders, usd_to_cad))
-    return parts
-
-
 def sales_job(
     spark: SparkSession,
     raw_zone: str,
@@ -61,28 +45,38 @@ def sales_job(
 ) -> SalesRun:
     """Conform all raw sales and replace `sales_conformed`.
 
-    Input without any row fails before the write, so it never replaces good output. Reading, conforming,
-    counting and writing are one pass over the files; nothing is cached.
+    A source without files is skipped. Input without any row fails before the write, so it never
+    replaces good output. Reading, conforming, counting and writing are one pass over the files; nothing
+    is cached.
     """
     pin_session(spark)
     base = raw.folder(raw_zone)
-    probe = _branches(spark, base, sources, usd_to_cad, None)
-    if not probe:
+    readers = {"pos": raw.read_pos, "ecommerce": raw.read_order_lines}
+    found = {}
+    for source in sources:
+        if raw.source_exists(spark, base + source):
+            found[source] = readers[source](spark, base + source)
+        else:
+            log.info("no dated folders under %s%s, source skipped", base, source)
+    if not found:
         raise RuntimeError(f"No input under {base}.")
-    if all(part.isEmpty() for part in probe):
+    if all((raw.valid_orders(rows) if source == "ecommerce" else rows).isEmpty() for source, rows in found.items()):
         raise RuntimeError(f"The input folders under {base} hold no rows.")
 
     totals, bad_lines = Observation("sales"), Observation("lines")
-    parts = _branches(spark, base, sources, usd_to_cad, bad_lines)
+    parts = []
+    if "pos" in found:
+        parts.append(conform_pos(found["pos"]))
+    if "ecommerce" in found:
+        parts.append(conform_ecommerce(raw.valid_orders(found["ecommerce"], bad_lines), usd_to_cad))
     sales = raw.union_by_name(parts).observe(totals, *run_totals(SALES_PARSED))
     write_by_day(sales, raw.folder(trusted_zone) + "sales_conformed/", compact)
 
     counts = dict(totals.get)
-    read_orders = "ecommerce" in sources and raw.source_exists(spark, base + "ecommerce")
     run = SalesRun(
         rows=counts.pop("rows"),
         parse_errors=counts,
-        bad_lines=bad_lines.get["bad_lines"] if read_orders else 0,
+        bad_lines=bad_lines.get["bad_lines"] if "ecommerce" in found else 0,
         sales=read_trusted_sales(spark, trusted_zone),
     )
     log.info("wrote %d rows, parse errors %s, skipped JSON lines %d", run.rows, run.parse_errors, run.bad_lines)

@@ -123,51 +123,47 @@ def arrival_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sending_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads, landed = feeds.file_heads(spark, sf_dir), feeds.landed_files(spark, sf_dir)
-    return raw.union_by_name([arrival.sending_list(heads, landed, kind) for kind in arrival.FORMATS])
+    return arrival.sending_list(heads, landed, tuple(arrival.FORMATS))
 
 
 # ---- whole zones on files
 
+def _by_day(rows: DataFrame, **options):
+    """Writer of dated folders with few files each; a large day is split over several."""
+    return rows.hint("rebalance", "dt").write.mode("append").partitionBy("dt").options(**options)
+
+
+def _write_csv(rows: DataFrame, path: str, **options) -> None:
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    _by_day(rows, header=True, **kept, **options).csv(path)
+
+
 def write_landing(spark: SparkSession, sf_dir: str) -> str:
     """Landing zone with the derived feeds as files. Second quarters of sales come broken."""
     zone = shared_folder(spark, "landing")
-    pos, documents = feeds.raw_pos(spark, sf_dir), feeds.order_documents(spark, sf_dir)
     broken = F.substr(F.col("dt"), F.lit(6), F.lit(2)) == "04"
-    csv = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    turned = pos.select(*reversed(schemas.POS_HEADER), "dt")
-    pos.filter(~broken).write.partitionBy("dt").options(**csv).csv(f"{zone}/pos")
-    turned.filter(broken).write.mode("append").partitionBy("dt").options(**csv).csv(f"{zone}/pos")
-    fields = documents.select(*schemas.ORDER.names, "dt")
-    json = {"ignoreNullFields": False}
-    fields.filter(~broken).write.partitionBy("dt").options(**json).json(f"{zone}/ecommerce")
-    fields.drop("items").filter(broken).write.mode("append").partitionBy("dt").options(**json).json(f"{zone}/ecommerce")
-    write_customers(feeds.raw_customers(spark, sf_dir), f"{zone}/customers", extension="txt")
-    nothing = spark.createDataFrame([], "value string")
-    nothing.write.text(f"{zone}/customers/dt=2026-10-05")
+    pos = feeds.raw_pos(spark, sf_dir)
+    _write_csv(pos.filter(~broken), f"{zone}/pos")
+    _write_csv(pos.filter(broken).select(*reversed(schemas.POS_HEADER), "dt"), f"{zone}/pos")
+    documents = feeds.order_documents(spark, sf_dir).select(*schemas.ORDER.names, "dt")
+    _by_day(documents.filter(~broken), ignoreNullFields=False).json(f"{zone}/ecommerce")
+    _by_day(documents.filter(broken).drop("items"), ignoreNullFields=False).json(f"{zone}/ecommerce")
+    _write_csv(feeds.raw_customers(spark, sf_dir), f"{zone}/customers", sep="|", extension="txt")
+    spark.createDataFrame([], "value string").write.text(f"{zone}/customers/dt=2026-10-05")
     header = spark.createDataFrame([("|".join(schemas.CUSTOMER_HEADER),)], "value string")
     header.coalesce(1).write.text(f"{zone}/customers/dt=2026-10-12")
     return zone
 
 
-def write_customers(rows: DataFrame, path: str, extension: str = "csv") -> None:
-    options = {
-        "header": True, "sep": "|", "extension": extension,
-        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
-    }
-    rows.write.partitionBy("dt").options(**options).csv(path)
-
-
 def write_raw(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = ("pos", "ecommerce", "customers")) -> str:
     """Raw zone with the derived feeds as accepted files."""
     zone = shared_folder(spark, "raw")
     if "pos" in sources:
-        feeds.raw_pos(spark, sf_dir).write.partitionBy("dt").options(
-            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        ).csv(f"{zone}/pos")
+        _write_csv(feeds.raw_pos(spark, sf_dir), f"{zone}/pos")
     if "ecommerce" in sources:
-        feeds.order_text(spark, sf_dir).write.partitionBy("dt").text(f"{zone}/ecommerce")
+        _by_day(feeds.order_text(spark, sf_dir)).text(f"{zone}/ecommerce")
     if "customers" in sources:
-        write_customers(feeds.raw_customers(spark, sf_dir), f"{zone}/customers")
+        _write_csv(feeds.raw_customers(spark, sf_dir), f"{zone}/customers", sep="|")
     return zone
 
 

@@ -17,8 +17,8 @@ def write_by_day(rows: DataFrame, path: str, compact: bool = False) -> None:
     rows.write.mode("overwrite").partitionBy("dt").parquet(path)
 
 
-def write_whole(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+def write_whole(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def save_table(spark: SparkSession, rows: DataFrame, name: str, path: str | None = None) -> DataFrame:

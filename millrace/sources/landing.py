@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 HEAD_BYTES = 65536
-FILES_PER_TASK = 64
-MAX_TASKS = 4096
+# Heads held in memory at a time.
+FILES_AT_ONCE = 64
 
 
 def canonical(path: Column) -> Column:
@@ -26,9 +26,7 @@ def canonical(path: Column) -> Column:
 def list_files(spark: SparkSession, base: str) -> DataFrame:
     """All files below `base` with their path and their key relative to `base`."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    paths = listing.inputFiles()
-    tasks = min(MAX_TASKS, 1 + len(paths) // FILES_PER_TASK)
-    files = spark.createDataFrame([(path,) for path in paths], "path string").repartition(tasks)
+    files = spark.createDataFrame([(path,) for path in listing.inputFiles()], "path string")
     parts = urlsplit(base)
     root = quote(f"{parts.netloc}{parts.path}".rstrip("/")) + "/"
     tail = F.substr(F.col("path"), F.instr(F.col("path"), root) + F.lit(len(root)))
@@ -70,13 +68,16 @@ def _begin_of(path: str, limit: int) -> tuple[int | None, str | None, str | None
 
 
 def read_heads(files: DataFrame, limit: int = HEAD_BYTES) -> DataFrame:
-    """The files with `size`, `head` and `error`. With `limit` 0 only the sizes are looked up."""
+    """The files with `size`, `head` and `error`. With `limit` 0 only the sizes are looked up.
+
+    Waiting for the store takes the time here, not the few bytes of the listing, so the files are dealt
+    out to all cores; the number is given because AQE would merge such small partitions into one.
+    """
 
     def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # One file at a time in memory besides the heads of a batch.
-            for start in range(0, len(batch), FILES_PER_TASK):
-                part = batch.iloc[start:start + FILES_PER_TASK]
+            for start in range(0, len(batch), FILES_AT_ONCE):
+                part = batch.iloc[start:start + FILES_AT_ONCE]
                 found = [_begin_of(path, limit) for path in part["path"]]
                 yield pd.DataFrame({
                     "path": part["path"].tolist(),
@@ -86,5 +87,5 @@ def read_heads(files: DataFrame, limit: int = HEAD_BYTES) -> DataFrame:
                     "error": [error for _, _, error in found],
                 })
 
-    columns = files.select("path", "key")
-    return columns.mapInPandas(peek, "path string, key string, size bigint, head string, error string")
+    dealt = files.select("path", "key").repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(peek, "path string, key string, size bigint, head string, error string")

@@ -22,10 +22,9 @@ def with_source_file(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
-def source_exists(spark: SparkSession, base: str) -> bool:
-    """Whether there is at least one dated folder below `base`."""
+def path_exists(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.format("binaryFile").load(dated(base))
+        spark.read.format("binaryFile").load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return False
@@ -33,6 +32,11 @@ def source_exists(spark: SparkSession, base: str) -> bool:
     return True
 
 
+def source_exists(spark: SparkSession, base: str) -> bool:
+    """Whether there is at least one dated folder below `base`."""
+    return path_exists(spark, dated(base))
+
+
 def read_pos(spark: SparkSession, base: str, check_header: bool = True, declared: bool = True) -> DataFrame:
     """Store sales, all text.
 

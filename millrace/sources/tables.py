@@ -17,19 +17,22 @@ def read_trusted_customers(spark: SparkSession, trusted: str) -> DataFrame:
 
 
 def register_raw(spark: SparkSession, base: str) -> list[str]:
-    """Views raw_pos, raw_ecommerce, raw_customers and ecommerce_orders over the sources that exist."""
+    """Views raw_pos, raw_ecommerce and raw_customers over the dated folders, and ecommerce_orders over
+    all order files, as far as they exist."""
     base = raw.folder(base)
-    views = {
+    dated_views = {
         "raw_pos": ("pos", raw.read_pos),
         "raw_ecommerce": ("ecommerce", lambda s, b: raw.valid_orders(raw.read_order_lines(s, b))),
         "raw_customers": ("customers", raw.read_customers),
-        "ecommerce_orders": ("ecommerce", raw.read_all_orders),
     }
     made = []
-    for name, (source, reader) in views.items():
+    for name, (source, reader) in dated_views.items():
         if raw.source_exists(spark, base + source):
             reader(spark, base + source).createOrReplaceTempView(name)
             made.append(name)
+    if raw.path_exists(spark, base + "ecommerce"):
+        raw.read_all_orders(spark, base + "ecommerce").createOrReplaceTempView("ecommerce_orders")
+        made.append("ecommerce_orders")
     return made
 
 

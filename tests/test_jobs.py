@@ -128,6 +128,8 @@ def test_gate_job(spark, zones):
     again = export_job(spark, tables.read_trusted_sales(spark, zones[1]), zones[1] + "/curated")
     assert content(again.curated) == content(run.curated)
     assert sorted(os.listdir(zones[1] + "/curated")) == ["quarantine", "sales_clean"]
+    export_job(spark, tables.read_trusted_sales(spark, zones[1]), zones[1] + "/by_channel", ("channel",))
+    assert "channel=store" in os.listdir(zones[1] + "/by_channel/sales_clean")
     assert analyst_view(spark, run.curated).columns == list(schemas.SALES_COLUMNS)
 
 
