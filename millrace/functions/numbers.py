@@ -13,13 +13,15 @@ CENTS = "decimal(18,4)"
 USD_TO_CAD = "1.35"
 USD_TO_CAD_SQL = "1.4250"
 
-_WHOLE_NUMBER = r"^[\s\p{Cntrl}]*([+-]?\d+)(?:\.\d*)?[\s\p{Cntrl}]*$"
+_OUTER = r"[\s\p{Cntrl}]*"
+_WHOLE_NUMBER = rf"^{_OUTER}([+-]?\d+)(?:\.\d*)?{_OUTER}$"
+_ONLY_FRACTION = rf"^{_OUTER}[+-]?\.\d*{_OUTER}$"
 
 
 def whole_number(col: Column) -> Column:
-    """Integer out of text. A fraction is cut off ('2.5' is 2); anything else is NULL."""
-    digits = F.regexp_extract(col, _WHOLE_NUMBER, 1)
-    return F.nullif(digits, F.lit("")).try_cast("int")
+    """Integer out of text. A fraction is cut off ('2.5' is 2, '.5' is 0); anything else is NULL."""
+    digits = F.nullif(F.regexp_extract(col, _WHOLE_NUMBER, 1), F.lit(""))
+    return F.when(digits.isNotNull(), digits.try_cast("int")).when(col.rlike(_ONLY_FRACTION), F.lit(0))
 
 
 def price(col: Column) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.dates import file_name_date
-from millrace.schemas import CUSTOMER_HEADER, POS_HEADER
+from millrace.schemas import CUSTOMER_HEADER, MANIFEST, POS_HEADER
 from millrace.sources.landing import canonical
 
-ACCEPTED, QUARANTINED = "accepted", "quarantined"
+ACCEPTED, QUARANTINED, FAILED = "accepted", "quarantined", "failed"
 # Folder and suffix of each source, and the separator of its header (none for JSON).
 ROUTES = {"pos": (".csv", ","), "ecommerce": (".json", None), "customers": (".txt", "|")}
 ORDER_KEYS = ("orderId", "items")
@@ -94,37 +94,33 @@ def landing_date(key: Column) -> Column:
 
 
 def manifest(heads: DataFrame, pos_header: tuple[str, ...] = POS_HEADER) -> DataFrame:
-    """One row per routed file: accepted, or quarantined under quarantine/ with the reason."""
-    head, source = F.col("head"), F.col("source")
+    """One row per routed file: accepted, quarantined under quarantine/ with the reason, or failed when
+    it could not be read at all (no verdict, so the next run tries it again)."""
+    head, source, error = F.col("head"), F.col("source"), F.col("error")
     headers = {"pos": pos_header, "customers": CUSTOMER_HEADER}
     content = F.when(source == "ecommerce", order_problem(head))
     for name, header in headers.items():
         content = content.when(source == name, table_problem(head, ROUTES[name][1], header))
     problem = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
+        F.when(error.isNotNull(), error)
         .when(F.col("size") == 0, F.lit(EMPTY))
         .when(head.isNull(), F.lit(NOT_UTF8))
         .otherwise(content)
     )
-    checked = heads.withColumn("source", source_of(F.col("key"))).filter(source.isNotNull())
-    return checked.select(
-        "key",
-        "path",
-        "source",
-        landing_date(F.col("key")).alias("dt"),
-        "size",
-        F.regexp_replace(problem, "[^ -~]", "?").alias("reason"),
-    ).select(
-        "key",
-        "path",
-        "source",
-        "dt",
-        "size",
-        F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(QUARANTINED)).alias("status"),
-        "reason",
-        F.when(F.col("reason").isNull(), F.col("key"))
-        .otherwise(F.concat(F.lit("quarantine/"), F.col("key"))).alias("target_key"),
+    routed = heads.withColumn("source", source_of(F.col("key"))).filter(source.isNotNull())
+    judged = routed.withColumns({
+        "reason": F.regexp_replace(problem, "[^ -~]", "?"),
+        "dt": landing_date(F.col("key")),
+    }).withColumn(
+        "status",
+        F.when(error.isNotNull(), F.lit(FAILED))
+        .when(F.col("reason").isNull(), F.lit(ACCEPTED))
+        .otherwise(F.lit(QUARANTINED)),
+    )
+    target = F.when(F.col("status") == ACCEPTED, F.col("key")).when(
+        F.col("status") == QUARANTINED, F.concat(F.lit("quarantine/"), F.col("key"))
     )
+    return judged.withColumn("target_key", target).select(*MANIFEST.names)
 
 
 def not_yet_seen(files: DataFrame, seen: DataFrame) -> DataFrame:

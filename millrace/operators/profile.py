@@ -8,7 +8,8 @@ from millrace.functions import dates, numbers
 from millrace.functions.catalogue import PLACEHOLDER
 from millrace.functions.rules import no_category, not_positive
 from millrace.functions.text import clean, loyalty_number, padded_number
-from millrace.operators.keys import repeated_keys, settle
+from millrace.operators.arrival import EMPTY, HEADER_ONLY
+from millrace.operators.keys import repeated_keys, settle, stored
 from millrace.operators.reports import as_rows, unknown_customer_counts
 from millrace.sources.raw import union_by_name
 
@@ -39,39 +40,46 @@ def _unknown(ids: DataFrame, customers: DataFrame, source: str) -> DataFrame:
 
 def pos_issues(spark: SparkSession, rows: DataFrame, customers: DataFrame) -> DataFrame:
     columns = [name for name in rows.columns if name not in ("source_file", "dt")]
+    whole = rows.select(*columns).withColumn("txn_id", F.coalesce(F.col("txn_id"), F.lit("")))
+    # Three counts need a few narrow facts per row; they are stored so that the text is parsed once.
+    facts = stored(spark, whole.select(
+        "txn_id",
+        loyalty_number(F.col("loyalty_id")).alias("customer_id"),
+        dates.pos_date(F.col("txn_date")).isNull().alias("bad_date"),
+        not_positive(numbers.price(F.col("unit_price"))).alias("bad_price"),
+        not_positive(numbers.whole_number(F.col("quantity"))).alias("bad_quantity"),
+        no_category(F.col("category")).alias("missing_category"),
+    ), "pos-facts")
+    flags = ("bad_date", "bad_price", "bad_quantity", "missing_category")
     # Copies of a row share its id, so only rows of repeated ids are compared in full width.
-    with_id = rows.select(*columns).withColumn("txn_id", F.coalesce(F.col("txn_id"), F.lit("")))
-    ids = settle(spark, repeated_keys(with_id, "txn_id"), "txn_id")
-    copies = ids.keep(with_id).groupBy(*columns).agg(F.count("*").alias("copies"))
-    surplus = copies.agg(F.sum(F.col("copies") - 1))
+    ids = settle(spark, repeated_keys(facts, "txn_id"), "txn_id")
+    copies = ids.keep(whole).groupBy(*columns).agg(F.count("*").alias("copies"))
     return union_by_name([
-        _counted(
-            rows,
-            "pos",
-            bad_date=F.count_if(dates.pos_date(F.col("txn_date")).isNull()),
-            bad_price=F.count_if(not_positive(numbers.price(F.col("unit_price")))),
-            bad_quantity=F.count_if(not_positive(numbers.whole_number(F.col("quantity")))),
-            missing_category=F.count_if(no_category(F.col("category"))),
-        ),
-        _single(surplus, "pos", "duplicate_rows"),
-        _unknown(rows.select(loyalty_number(F.col("loyalty_id")).alias("customer_id")), customers, "pos"),
+        _counted(facts, "pos", **{flag: F.count_if(F.col(flag)) for flag in flags}),
+        _single(copies.agg(F.sum(F.col("copies") - 1)), "pos", "duplicate_rows"),
+        _unknown(facts, customers, "pos"),
     ])
 
 
-def order_issues(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    cheap_items = F.size(F.filter(F.col("items"), lambda item: item["priceCents"] <= 0))
-    repeated = repeated_keys(orders, "orderId").agg(F.sum(F.col("copies") - 1))
-    ids = orders.select(padded_number(F.col("customer.customerId")).alias("customer_id"))
+def order_issues(spark: SparkSession, orders: DataFrame, customers: DataFrame) -> DataFrame:
+    facts = stored(spark, orders.select(
+        "orderId",
+        padded_number(F.col("customer.customerId")).alias("customer_id"),
+        dates.local_date(F.col("orderTimestamp")).isNull().alias("bad_timestamp"),
+        F.size(F.filter(F.col("items"), lambda item: item["priceCents"] <= 0)).alias("cheap_items"),
+        (F.upper(F.trim(F.col("shippingAddress.province"))) == PLACEHOLDER).alias("unknown_province"),
+    ), "order-facts")
+    repeated = repeated_keys(facts, "orderId").agg(F.sum(F.col("copies") - 1))
     return union_by_name([
         _counted(
-            orders,
+            facts,
             "ecommerce",
-            bad_timestamp=F.count_if(dates.local_date(F.col("orderTimestamp")).isNull()),
-            bad_price=F.sum(cheap_items),
-            unknown_province=F.count_if(F.upper(F.trim(F.col("shippingAddress.province"))) == PLACEHOLDER),
+            bad_timestamp=F.count_if(F.col("bad_timestamp")),
+            bad_price=F.sum("cheap_items"),
+            unknown_province=F.count_if(F.col("unknown_province")),
         ),
         _single(repeated, "ecommerce", "duplicate_orders"),
-        _unknown(ids, customers, "ecommerce"),
+        _unknown(facts, customers, "ecommerce"),
     ])
 
 
@@ -92,11 +100,20 @@ def customer_issues(snapshots: DataFrame) -> DataFrame:
     ])
 
 
+def file_issues(manifest: DataFrame) -> DataFrame:
+    """Broken files by source, from the arrival manifest."""
+    issue = F.when(F.col("reason") == EMPTY, F.lit("empty_file")).when(
+        F.col("reason") == HEADER_ONLY, F.lit("header_only_file")
+    )
+    broken = manifest.select("source", issue.alias("issue")).filter("issue IS NOT NULL")
+    return broken.groupBy("source", "issue").agg(F.count("*").alias("n"))
+
+
 def issue_profile(
     spark: SparkSession, pos: DataFrame, orders: DataFrame, snapshots: DataFrame
 ) -> DataFrame:
     return union_by_name([
         pos_issues(spark, pos, snapshots),
-        order_issues(orders, snapshots),
+        order_issues(spark, orders, snapshots),
         customer_issues(snapshots),
     ])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from millrace import schemas
 from millrace.operators import arrival
 from millrace.sources import landing
 
+log = logging.getLogger(__name__)
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Stored manifest, empty where none has been written yet."""
@@ -36,9 +40,17 @@ def check_landing(
 
 
 def arrival_job(spark: SparkSession, landing_zone: str, manifest_path: str) -> DataFrame:
-    """Check what is new and append it to the manifest. Running it again adds nothing."""
+    """Check what is new and append it to the manifest. Running it again adds nothing.
+
+    Files that could not be read stay out of the manifest, so that the next run tries them again.
+    """
+    failed = Observation("failed")
     verdicts = check_landing(spark, landing_zone, read_manifest(spark, manifest_path))
-    verdicts.write.mode("append").parquet(manifest_path)
+    unread = F.col("status") == arrival.FAILED
+    watched = verdicts.observe(failed, F.count_if(unread).alias("n"))
+    watched.filter(~unread).write.mode("append").parquet(manifest_path)
+    if failed.get["n"]:
+        log.warning("%d files could not be read", failed.get["n"])
     return read_manifest(spark, manifest_path)
 
 

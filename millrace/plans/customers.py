@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from millrace.operators.arrival import ACCEPTED, only_accepted
 from millrace.operators.conform import conform_customers
 from millrace.operators.reports import CUSTOMERS_PARSED, distinct_customers
 from millrace.plans.sales import run_totals
@@ -29,18 +30,30 @@ class CustomersRun:
         return distinct_customers(self.customers)
 
 
-def customers_job(spark: SparkSession, raw_zone: str, trusted_zone: str) -> CustomersRun | None:
-    """Replace `customers_conformed` by the newest snapshot; without a snapshot nothing happens."""
+def customers_job(
+    spark: SparkSession, raw_zone: str, trusted_zone: str, manifest: DataFrame | None = None
+) -> CustomersRun | None:
+    """Replace `customers_conformed` by the newest snapshot; without a snapshot nothing happens.
+
+    With `manifest`, `raw_zone` may be the landing zone: the newest accepted snapshot is used.
+    """
     pin_session(spark)
     base = raw.folder(raw_zone) + "customers"
-    snapshot = raw.latest_snapshot(spark, base)
+    if manifest is None:
+        snapshot = raw.latest_snapshot(spark, base)
+    else:
+        accepted = manifest.filter((F.col("source") == "customers") & (F.col("status") == ACCEPTED))
+        snapshot = accepted.agg(F.max("dt").alias("dt")).first()["dt"]
     if snapshot is None:
         log.info("no customer snapshot under %s", base)
         return None
     totals = Observation("customers")
-    rows = conform_customers(raw.read_snapshot(spark, base, snapshot), snapshot)
+    rows = raw.read_snapshot(spark, base, snapshot, check_header=manifest is None)
+    if manifest is not None:
+        rows = only_accepted(rows, manifest)
+    conformed = conform_customers(rows, snapshot)
     write_whole(
-        rows.observe(totals, *run_totals(CUSTOMERS_PARSED)), raw.folder(trusted_zone) + "customers_conformed/"
+        conformed.observe(totals, *run_totals(CUSTOMERS_PARSED)), raw.folder(trusted_zone) + "customers_conformed/"
     )
     counts = dict(totals.get)
     run = CustomersRun(snapshot, counts.pop("rows"), counts, read_trusted_customers(spark, trusted_zone))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions.numbers import USD_TO_CAD
+from millrace.operators.arrival import only_accepted
 from millrace.operators.conform import conform_ecommerce, conform_pos
 from millrace.operators.reports import SALES_PARSED, has_parse_error, rows_per
 from millrace.session import pin_session
@@ -42,20 +43,26 @@ def sales_job(
     usd_to_cad: str = USD_TO_CAD,
     sources: tuple[str, ...] = ("pos", "ecommerce"),
     compact: bool = False,
+    manifest: DataFrame | None = None,
 ) -> SalesRun:
     """Conform all raw sales and replace `sales_conformed`.
 
     A source without files is skipped. Input without any row fails before the write, so it never
     replaces good output. Reading, conforming, counting and writing are one pass over the files; nothing
-    is cached.
+    is cached. With `manifest`, `raw_zone` may be the landing zone itself: only the files the arrival check
+    accepted are used, without copying them first.
     """
     pin_session(spark)
     base = raw.folder(raw_zone)
-    readers = {"pos": raw.read_pos, "ecommerce": raw.read_order_lines}
+    readers = {
+        "pos": lambda path: raw.read_pos(spark, path, check_header=manifest is None),
+        "ecommerce": lambda path: raw.read_order_lines(spark, path),
+    }
     found = {}
     for source in sources:
         if raw.source_exists(spark, base + source):
-            found[source] = readers[source](spark, base + source)
+            rows = readers[source](base + source)
+            found[source] = rows if manifest is None else only_accepted(rows, manifest)
         else:
             log.info("no dated folders under %s%s, source skipped", base, source)
     if not found:

@@ -293,6 +293,7 @@ QUERIES: dict[str, Query] = {
     "orphan_customers": orphan_customers,
     "orphan_sales": orphan_sales,
     "issue_profile": issue_profile,
+    "file_issues": _over(arrival_verdicts, profile.file_issues),
     "curated_view": curated_view,
     "filename_dates": filename_dates,
     "arrival_verdicts": arrival_verdicts,

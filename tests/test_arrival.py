@@ -78,7 +78,7 @@ def test_header_is_a_parameter(spark, tmp_path):
 def test_unreadable_file_is_reported(spark):
     files = spark.createDataFrame([("file:/no/such/file.csv", "pos/dt=1/file.csv")], "path string, key string")
     row = arrival.manifest(landing.read_heads(files)).first()
-    assert row.status == "quarantined" and row.reason
+    assert row.status == "failed" and row.reason and row.target_key is None
 
 
 def test_second_run_adds_nothing(spark, tmp_path):

@@ -43,7 +43,7 @@ DAY = datetime.date
     }),
     (numbers.whole_number, {
         "-2": -2, "0": 0, " 3 ": 3, "2.5": 2, "2.": 2, "+4": 4, "N/A": None, "1e3": None, "3000000000": None,
-        "": None, "2.x": None, "\t5\t": 5,
+        "": None, "2.x": None, "\t5\t": 5, ".5": 0, ".": 0, "+": None, "-.5": 0, "1_0": None, None: None,
     }),
     (numbers.price, {
         "2.999": Decimal("3.00"), "2.995": Decimal("3.00"), "-1.00": Decimal("-1.00"), "N/A": None,

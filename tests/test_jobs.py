@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.operators import gate
+from millrace.plans.arrival import arrival_job
 from millrace.plans.customers import customers_job
 from millrace.plans.gate import analyst_view, export_job, gate_job
 from millrace.plans.sales import pos_job, sales_job
@@ -112,6 +113,22 @@ def test_customers_job(spark, zones, tmp_path):
     assert customers_job(spark, str(tmp_path / "nowhere"), zones[1]) is None
 
 
+def test_jobs_straight_from_landing(spark, zones, tmp_path):
+    landing = {key: text for key, text in RAW.items() if not key.startswith("quarantine/")}
+    put(str(tmp_path / "landing"), landing | {
+        "pos/dt=2026-09-18/bad.csv": "x" + POS + pos_line(50) + pos_line(51),
+        "ecommerce/dt=2026-09-18/bad.json": '{"order": 1}\n' + json.dumps({**ORDER, "orderId": "EC-99"}),
+        "customers/dt=2026-10-05/c.txt": "",
+        "customers/dt=2026-10-12/c.txt": "cust_no\n000001\n",
+    })
+    manifest = arrival_job(spark, str(tmp_path / "landing"), str(tmp_path / "manifest"))
+    want = content(sales_job(spark, *zones).sales)
+    got = sales_job(spark, str(tmp_path / "landing"), str(tmp_path / "direct"), manifest=manifest)
+    assert content(got.sales) == want and got.bad_lines == 2
+    run = customers_job(spark, str(tmp_path / "landing"), str(tmp_path / "direct"), manifest)
+    assert (run.snapshot, run.rows) == ("2026-09-28", 2)
+
+
 def test_snapshot_reads_one_folder(spark, zones):
     rows = raw.read_snapshot(spark, zones[0] + "/customers", "2026-09-21")
     assert rows.count() == 1
