@@ -14,15 +14,23 @@ def duplicate_sales(spark: SparkSession, sales: DataFrame, limit: int = BROADCAS
     return settle(spark, repeated_keys(sales, "sale_id"), "sale_id", limit)
 
 
+def _marked(sales: DataFrame, duplicates: KeySet) -> DataFrame:
+    return duplicates.mark(sales.select(*SALES_COLUMNS), "is_duplicate")
+
+
+def _with_reasons(marked: DataFrame) -> DataFrame:
+    return marked.select(*SALES_COLUMNS, rules.reasons(F.col("is_duplicate")).alias("fail_reasons"))
+
+
 def gated(sales: DataFrame, duplicates: KeySet) -> DataFrame:
     """All rows in the gate columns with `fail_reasons`; '' means the row passes."""
-    marked = duplicates.mark(sales.select(*SALES_COLUMNS), "is_duplicate")
-    return marked.select(*SALES_COLUMNS, rules.reasons(F.col("is_duplicate")).alias("fail_reasons"))
+    return _with_reasons(_marked(sales, duplicates))
 
 
 def quarantine(sales: DataFrame, duplicates: KeySet) -> DataFrame:
-    """Rows that fail at least one rule, with the reasons."""
-    return gated(sales, duplicates).filter(F.col("fail_reasons") != "")
+    """Rows that fail at least one rule, with the reasons (put together for those rows only)."""
+    fails = rules.any_of(rules.row_rules().values()) | F.col("is_duplicate")
+    return _with_reasons(_marked(sales, duplicates).filter(fails))
 
 
 def curated(sales: DataFrame, duplicates: KeySet) -> DataFrame:

@@ -16,6 +16,7 @@ from millrace.plans import gate as gate_plans
 from millrace.plans import sales as sales_plans
 from millrace.plans import sqlpath as sqlpath_plans
 from millrace.session import pin_session, shared_folder
+from millrace.sinks.tables import rebalanced
 from millrace.sources import raw, tables
 from millrace.streaming import arrival as arrival_stream
 from millrace.streaming import conform as conform_stream
@@ -130,7 +131,7 @@ def sending_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_day(rows: DataFrame, **options):
     """Writer of dated folders with few files each; a large day is split over several."""
-    return rows.hint("rebalance", "dt").write.mode("append").partitionBy("dt").options(**options)
+    return rebalanced(rows).write.mode("append").partitionBy("dt").options(**options)
 
 
 def _write_csv(rows: DataFrame, path: str, **options) -> None:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_by_day(rows: DataFrame, path: str, compact: bool = False) -> None:
-    """One folder per dt.
-
-    Raw files lie in dated folders, so a task holds few days and the rows are written where they were
-    read, without a shuffle. `compact` rebalances them first for fewer files; it splits large days over
-    as many tasks as they need.
-    """
-    if compact:
-        rows = rows.hint("rebalance", "dt")
+def rebalanced(rows: DataFrame) -> DataFrame:
+    """Rows moved together by day for fewer files; a large day is split over as many tasks as it needs."""
+    return rows.hint("rebalance", "dt")
+
+
+def write_by_day(rows: DataFrame, path: str) -> None:
+    """One folder per dt. Raw files lie in dated folders, so a task holds few days and the rows can be
+    written where they were read, without a shuffle."""
     rows.write.mode("overwrite").partitionBy("dt").parquet(path)
 
 

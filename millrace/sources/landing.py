@@ -61,9 +61,11 @@ def _begin_of(path: str, limit: int) -> tuple[int | None, str | None, str | None
     try:
         return size, head.decode("utf-8-sig"), None
     except UnicodeDecodeError as error:
-        # A character that the limit cuts in two is no fault of the file.
-        if size > limit and error.end == len(head) and error.reason == "unexpected end of data":
-            return size, head[: error.start].decode("utf-8-sig"), None
+        # A character that the limit cuts in two is no fault of the file. The positions of the error
+        # count without a byte order mark, as does the object it carries.
+        cut_off = error.end == len(error.object) and error.reason == "unexpected end of data"
+        if size > limit and cut_off:
+            return size, error.object[: error.start].decode("utf-8"), None
         return size, None, None
 
 

@@ -30,6 +30,10 @@ FILES = {
     # The 64 KiB limit falls inside the two bytes of the last character.
     "pos/dt=2026-09-18/cut.csv": (
         POS.encode() + b"\n" + b"x" * (LIMIT - len(POS) - 2) + "é".encode() + b"\n", None),
+    "pos/dt=2026-09-18/bomcut.csv": (
+        b"\xef\xbb\xbf" + POS.encode() + b"\n" + b"x" * (LIMIT - len(POS) - 5) + "é".encode() + b"\n", None),
+    "pos/dt=2026-09-18/cutbad.csv": (
+        POS.encode() + b"\n" + b"x" * (LIMIT - len(POS) - 2) + b"\xff\n", "not valid UTF-8 text"),
     "pos/dt=2026-09-18/late.csv": (POS.encode() + b"\n" + b"x" * LIMIT + b"\xff\n", None),
     "pos/dt=2026-09-18/notes.txt": ("hello", "ignored"),
     "quarantine/pos/dt=2026-09-18/old.csv": ("x", "ignored"),
@@ -154,6 +158,6 @@ def test_summary(spark, zone):
     got = {(row.source, row.status): row.files for row in
            arrival.arrival_summary(check_landing(spark, zone)).groupBy("source", "status").agg(F.sum("files").alias("files")).collect()}
     assert got == {
-        ("pos", "accepted"): 7, ("pos", "quarantined"): 8, ("ecommerce", "accepted"): 1, ("ecommerce", "quarantined"): 6,
+        ("pos", "accepted"): 8, ("pos", "quarantined"): 9, ("ecommerce", "accepted"): 1, ("ecommerce", "quarantined"): 6,
         ("customers", "accepted"): 1, ("customers", "quarantined"): 1,
     }

@@ -12,7 +12,7 @@ from millrace.plans.gate import analyst_view, export_job, gate_job
 from millrace.plans.sales import pos_job, sales_job
 from millrace.plans.sqlpath import export_tables, reconcile_tables, sql_path_job
 from millrace.session import shared_folder
-from millrace.sinks.tables import write_by_day
+from millrace.sinks.tables import rebalanced, write_by_day
 from millrace.sources import raw, tables
 from millrace.streaming.conform import append_sales, stream_sales
 from test_arrival import put
@@ -211,7 +211,7 @@ def test_streamed_sales_equal_the_batch(spark, zones, tmp_path):
 
 def test_large_days_are_split_when_compacting(spark, tmp_path):
     rows = spark.range(1000).select("id", F.lit("2026-09-17").alias("dt"))
-    write_by_day(rows, str(tmp_path / "out"), compact=True)
+    write_by_day(rebalanced(rows), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
 
 
