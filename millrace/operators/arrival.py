@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.dates import file_name_date
+from millrace.operators.keys import KeySet, settle
 from millrace.schemas import CUSTOMER_HEADER, MANIFEST, POS_HEADER
 from millrace.sources.landing import canonical
 
@@ -16,6 +17,7 @@ ACCEPTED, QUARANTINED, FAILED = "accepted", "quarantined", "failed"
 ROUTES = {"pos": (".csv", ","), "ecommerce": (".json", None), "customers": (".txt", "|")}
 ORDER_KEYS = ("orderId", "items")
 REASON_CHARS = 80
+FILE_LIST_LIMIT = 256 * 1024 * 1024
 # Reject reasons.
 EMPTY = "file is empty"
 NOT_UTF8 = "not valid UTF-8 text"
@@ -120,7 +122,7 @@ def manifest(heads: DataFrame, pos_header: tuple[str, ...] = POS_HEADER) -> Data
     target = F.when(F.col("status") == ACCEPTED, F.col("key")).when(
         F.col("status") == QUARANTINED, F.concat(F.lit("quarantine/"), F.col("key"))
     )
-    return judged.withColumn("target_key", target).select(*MANIFEST.names)
+    return judged.withColumns({"target_key": target, "checked_at": F.current_timestamp()}).select(*MANIFEST.names)
 
 
 def not_yet_seen(files: DataFrame, seen: DataFrame) -> DataFrame:
@@ -128,10 +130,19 @@ def not_yet_seen(files: DataFrame, seen: DataFrame) -> DataFrame:
     return files.join(seen.select("key", "size"), ["key", "size"], "left_anti")
 
 
-def only_accepted(rows: DataFrame, files: DataFrame) -> DataFrame:
+def accepted_files(files: DataFrame) -> KeySet:
+    """Paths of the files of a manifest whose last verdict is acceptance, as a set of known size.
+
+    Broadcast up to about 1.5 million files, so that the rows of a source need no shuffle to be matched.
+    """
+    last = files.groupBy("path").agg(F.max_by("status", "checked_at").alias("status"))
+    accepted = last.filter(F.col("status") == ACCEPTED)
+    return settle(files.sparkSession, accepted, "path", FILE_LIST_LIMIT)
+
+
+def only_accepted(rows: DataFrame, accepted: KeySet) -> DataFrame:
     """Rows (with `source_file`) of accepted files only."""
-    accepted = files.filter(F.col("status") == ACCEPTED).select(F.col("path").alias("accepted_path"))
-    return rows.join(accepted, canonical(F.col("source_file")) == F.col("accepted_path"), "left_semi")
+    return accepted.keep(rows.withColumn("path", canonical(F.col("source_file")))).select(*rows.columns)
 
 
 # ---- the sender's own check, before files enter the landing zone

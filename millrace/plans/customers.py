@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from millrace.operators.arrival import ACCEPTED, only_accepted
+from millrace.operators.arrival import ACCEPTED, accepted_files, only_accepted
 from millrace.operators.conform import conform_customers
 from millrace.operators.reports import CUSTOMERS_PARSED, distinct_customers
 from millrace.plans.sales import run_totals
@@ -42,15 +42,15 @@ def customers_job(
     if manifest is None:
         snapshot = raw.latest_snapshot(spark, base)
     else:
-        accepted = manifest.filter((F.col("source") == "customers") & (F.col("status") == ACCEPTED))
-        snapshot = accepted.agg(F.max("dt").alias("dt")).first()["dt"]
+        snapshots = manifest.filter(F.col("source") == "customers")
+        snapshot = snapshots.filter(F.col("status") == ACCEPTED).agg(F.max("dt").alias("dt")).first()["dt"]
     if snapshot is None:
         log.info("no customer snapshot under %s", base)
         return None
     totals = Observation("customers")
     rows = raw.read_snapshot(spark, base, snapshot, check_header=manifest is None)
     if manifest is not None:
-        rows = only_accepted(rows, manifest)
+        rows = only_accepted(rows, accepted_files(snapshots))
     conformed = conform_customers(rows, snapshot)
     write_whole(
         conformed.observe(totals, *run_totals(CUSTOMERS_PARSED)), raw.folder(trusted_zone) + "customers_conformed/"

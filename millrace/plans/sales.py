@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions.numbers import USD_TO_CAD
-from millrace.operators.arrival import only_accepted
+from millrace.operators.arrival import accepted_files, only_accepted
 from millrace.operators.conform import conform_ecommerce, conform_pos
 from millrace.operators.reports import SALES_PARSED, has_parse_error, rows_per
 from millrace.session import pin_session
@@ -58,11 +58,12 @@ def sales_job(
         "pos": lambda path: raw.read_pos(spark, path, check_header=manifest is None),
         "ecommerce": lambda path: raw.read_order_lines(spark, path),
     }
+    accepted = None if manifest is None else accepted_files(manifest)
     found = {}
     for source in sources:
         if raw.source_exists(spark, base + source):
             rows = readers[source](base + source)
-            found[source] = rows if manifest is None else only_accepted(rows, manifest)
+            found[source] = only_accepted(rows, accepted) if accepted else rows
         else:
             log.info("no dated folders under %s%s, source skipped", base, source)
     if not found:

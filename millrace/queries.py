@@ -119,7 +119,7 @@ def filename_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrival_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrival.manifest(feeds.file_heads(spark, sf_dir)).drop("path")
+    return arrival.manifest(feeds.file_heads(spark, sf_dir)).drop("path", "checked_at")
 
 
 def sending_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +194,9 @@ def arrival_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store sales read from the landing zone itself, without the files the check rejected."""
     zone = write_landing(spark, sf_dir)
-    files = arrival_plans.check_landing(spark, zone)
+    accepted = arrival.accepted_files(arrival_plans.check_landing(spark, zone))
     rows = raw.read_pos(spark, f"{zone}/pos", check_header=False)
-    return reports.rows_per(arrival.only_accepted(rows, files), "dt")
+    return reports.rows_per(arrival.only_accepted(rows, accepted), "dt")
 
 
 def raw_views(spark: SparkSession, sf_dir: str) -> DataFrame:

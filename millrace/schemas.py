@@ -77,5 +77,13 @@ CUSTOMERS_CONFORMED = record(
     ingested_at=T.TimestampType(),
 )
 MANIFEST = record(
-    key=TEXT, path=TEXT, source=TEXT, dt=TEXT, size=WHOLE, status=TEXT, reason=TEXT, target_key=TEXT
+    key=TEXT,
+    path=TEXT,
+    source=TEXT,
+    dt=TEXT,
+    size=WHOLE,
+    status=TEXT,
+    reason=TEXT,
+    target_key=TEXT,
+    checked_at=T.TimestampType(),
 )

@@ -119,12 +119,21 @@ def test_only_rows_of_accepted_files(spark, tmp_path):
         "pos/dt=2026-09-18/c d.csv": POS + "\n" + line,
     })
     rows = raw.read_pos(spark, zone + "/pos", check_header=False)
-    kept = arrival.only_accepted(rows, check_landing(spark, zone))
+    kept = arrival.only_accepted(rows, arrival.accepted_files(check_landing(spark, zone)))
     assert rows.count() == 4 and sorted(row.dt for row in kept.collect()) == ["2026-09-17", "2026-09-18"]
     with pytest.raises(Exception, match="header does not conform"):
         raw.read_pos(spark, zone + "/pos").collect()
 
 
+def test_last_verdict_counts(spark, tmp_path):
+    zone, manifest = str(tmp_path / "landing"), str(tmp_path / "manifest")
+    put(zone, {"pos/dt=1/a.csv": POS + "\n1\n", "pos/dt=1/b.csv": POS})
+    arrival_job(spark, zone, manifest)
+    put(zone, {"pos/dt=1/a.csv": POS, "pos/dt=1/b.csv": POS + "\n22\n"})
+    accepted = arrival.accepted_files(arrival_job(spark, zone, manifest))
+    assert [row.path.rsplit("/", 1)[1] for row in accepted.frame.collect()] == ["b.csv"] and accepted.small
+
+
 def test_sending(spark, tmp_path):
     folder, zone = str(tmp_path / "out"), str(tmp_path / "landing")
     put(folder, {

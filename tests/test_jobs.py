@@ -150,6 +150,17 @@ def test_gate_job(spark, zones):
     assert analyst_view(spark, run.curated).columns == list(schemas.SALES_COLUMNS)
 
 
+def test_normal_business_is_not_an_issue(spark, tmp_path):
+    guest = {**ORDER, "orderId": "EC-2", "customer": {"customerId": None, "guest": True}, "currency": "USD"}
+    put(str(tmp_path / "raw"), {
+        "pos/dt=2026-09-17/pos.csv": POS + pos_line(1, loyalty=""),
+        "ecommerce/dt=2026-09-17/o.json": json.dumps(guest),
+    })
+    sales_job(spark, str(tmp_path / "raw"), str(tmp_path / "trusted"))
+    run = gate_job(spark, str(tmp_path / "trusted"))
+    assert (run.curated_rows, run.quarantine_rows) == (2, 0)
+
+
 def test_curated_filters_reach_the_scan(spark, zones, capsys):
     sales_job(spark, *zones)
     sales = tables.read_trusted_sales(spark, zones[1])
