@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import shared_folder
@@ -30,7 +31,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column:
     """The batches cut so that their texts have at most `limit` bytes, or one row."""
     for batch in batches:
         start = size = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for row, length in enumerate(lengths.tolist()):
             if row > start and size + length > limit:
                 yield batch.slice(start, row - start)

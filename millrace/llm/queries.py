@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from millrace.llm.packing import op6_packing
+from millrace.llm.rans import op2_token_files
 
 
 def queries() -> dict:
-    found = (op6_packing,)
+    found = (op2_token_files, op6_packing)
     return {query.__name__: query for query in found}
 
 
