@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,10 +15,17 @@ from millrace.session import shared_folder
 SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch between Spark and Python: bounds the batch where texts are long.
 BATCH_ROWS = 500
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of this package: small Arrow batches, so that memory follows neither row counts nor long texts."""
+    """Session settings of this package: small Arrow batches, so that memory follows neither row counts nor long texts.
+
+    Python workers also look for this package where the driver found it, if it is not installed for them.
+    """
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark

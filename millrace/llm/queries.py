@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from millrace.llm import quality
 from millrace.llm.packing import op6_packing
+from millrace.llm.quality import op5_quality_rules
 from millrace.llm.rans import op2_token_files
 
 
 def queries() -> dict:
-    found = (op2_token_files, op6_packing)
+    found = (op2_token_files, op5_quality_rules, op6_packing)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": quality.ORACLE_SQL}
