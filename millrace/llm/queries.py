@@ -6,10 +6,11 @@ from millrace.llm import quality
 from millrace.llm.packing import op6_packing
 from millrace.llm.quality import op5_quality_rules
 from millrace.llm.rans import op2_token_files
+from millrace.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    found = (op2_token_files, op5_quality_rules, op6_packing)
+    found = (op2_token_files, op3_toxicity, op5_quality_rules, op6_packing)
     return {query.__name__: query for query in found}
 
 
