@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm import quality
+from millrace.llm.minhash import op7_near_duplicates
 from millrace.llm.packing import op6_packing
 from millrace.llm.quality import op5_quality_rules
 from millrace.llm.rans import op2_token_files
@@ -10,7 +11,7 @@ from millrace.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    found = (op2_token_files, op3_toxicity, op5_quality_rules, op6_packing)
+    found = (op2_token_files, op3_toxicity, op5_quality_rules, op6_packing, op7_near_duplicates)
     return {query.__name__: query for query in found}
 
 
