@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from millrace.llm import quality
+from millrace.llm.fingerprints import op10_fingerprints
 from millrace.llm.minhash import op7_near_duplicates
 from millrace.llm.packing import op6_packing
 from millrace.llm.quality import op5_quality_rules
 from millrace.llm.rans import op2_token_files
+from millrace.llm.sharding import op8_sharding
 from millrace.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    found = (op2_token_files, op3_toxicity, op5_quality_rules, op6_packing, op7_near_duplicates)
+    found = (
+        op2_token_files, op3_toxicity, op5_quality_rules, op6_packing, op7_near_duplicates, op8_sharding, op10_fingerprints,
+    )
     return {query.__name__: query for query in found}
 
 
