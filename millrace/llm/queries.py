@@ -6,6 +6,7 @@ from millrace.llm import quality
 from millrace.llm.fingerprints import op10_fingerprints
 from millrace.llm.minhash import op7_near_duplicates
 from millrace.llm.packing import op6_packing
+from millrace.llm.pii import op1_personal_data
 from millrace.llm.pieces import op4_sentencepiece
 from millrace.llm.quality import op5_quality_rules
 from millrace.llm.rans import op2_token_files
@@ -15,8 +16,8 @@ from millrace.llm.toxicity import op3_toxicity
 
 def queries() -> dict:
     found = (
-        op2_token_files, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_packing, op7_near_duplicates, op8_sharding,
-        op10_fingerprints,
+        op1_personal_data, op2_token_files, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_packing, op7_near_duplicates,
+        op8_sharding, op10_fingerprints,
     )
     return {query.__name__: query for query in found}
 
