@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from millrace.llm import quality
 from millrace.llm.fingerprints import op10_fingerprints
 from millrace.llm.minhash import op7_near_duplicates
@@ -19,7 +20,7 @@ def queries() -> dict:
         op1_personal_data, op2_token_files, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_packing, op7_near_duplicates,
         op8_sharding, op10_fingerprints,
     )
-    return {query.__name__: query for query in found}
+    return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
