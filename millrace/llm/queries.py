@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import quality
+from millrace.llm import quality, warc
 from millrace.llm.fingerprints import op10_fingerprints
 from millrace.llm.minhash import op7_near_duplicates
 from millrace.llm.packing import op6_packing
@@ -13,15 +13,16 @@ from millrace.llm.quality import op5_quality_rules
 from millrace.llm.rans import op2_token_files
 from millrace.llm.sharding import op8_sharding
 from millrace.llm.toxicity import op3_toxicity
+from millrace.llm.warc import op9_warc_derivatives
 
 
 def queries() -> dict:
     found = (
         op1_personal_data, op2_token_files, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_packing, op7_near_duplicates,
-        op8_sharding, op10_fingerprints,
+        op8_sharding, op9_warc_derivatives, op10_fingerprints,
     )
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE_SQL}
+    return {"op5_quality_rules": quality.ORACLE_SQL, "op9_warc_derivatives": warc.oracle_sql()}
