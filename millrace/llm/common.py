@@ -78,3 +78,10 @@ def dropped(df: DataFrame) -> None:
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()[:1]}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(columns: list[str], stem: str) -> str:
+    """A beginning for column names that no given column has."""
+    while any(name.lower().startswith(stem.lower()) for name in columns):
+        stem += "_"
+    return stem

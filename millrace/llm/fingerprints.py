@@ -151,7 +151,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     # Rows without doc_id come first.
     ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     shares = [k / ranges for k in range(1, ranges)]
-    bounds = ids.agg(F.percentile_approx("id", shares or [0.5], 20 * ranges)).first()[0] or []
+    bounds = ids.agg(F.percentile_approx("id", shares or [0.5], 20 * ranges)).first()[0] or [0]
     splits = [float("-inf"), *sorted({float(b) for b in bounds}), float("inf")]
 
     from pyspark.ml.feature import Bucketizer

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts, prepare, slices, stored
+from millrace.llm.common import fresh, map_texts, prepare, slices, stored
 from millrace.llm.scan import MASK64, mixed, windows, words_of
 
 SHINGLE = 5
@@ -331,10 +331,11 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     Rows whose text is not in the filter of repeated or linked texts stay without a shuffle.
     """
     columns, schema = docs.columns, docs.schema
+    node, rep, place = (fresh(columns, stem) for stem in ("_node", "_rep", "_place"))
     classes = node_classes(docs)
     touched = classes.where("linked OR n_rows > 1")
     bits = docs.sparkSession.sparkContext.broadcast(text_filter(touched.select("node")))
-    place = F.pmod(F.xxhash64(node_column()), F.lit(1 << FILTER_BITS)).alias("_place")
+    where = F.pmod(F.xxhash64(node_column()), F.lit(1 << FILTER_BITS)).alias(place)
 
     def chosen(wanted: bool):
         def run(batches):
@@ -342,14 +343,13 @@ def near_duplicate_stage(docs: DataFrame) -> DataFrame:
                 hit = in_filter(bits.value, batch.column(batch.num_columns - 1).to_numpy().copy())
                 yield batch.filter(pa.array(hit == wanted)).select(columns)
 
-        return docs.select(*[F.col(f"`{c}`") for c in columns], place).mapInArrow(run, schema)
+        return docs.select("*", where).mapInArrow(run, schema)
 
     # One row of each keeper: (doc_id, node) names it, equal rows become one.
-    keepers = classes.where("keeper").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    hits = chosen(True).withColumn("_node", node_column())
-    kept = hits.join(keepers, "_node").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
-    kept = kept.dropDuplicates(["_node"])
-    return chosen(False).unionByName(kept.select(*[F.col(f"`{c}`") for c in columns]))
+    keepers = classes.where("keeper").select(F.col("node").alias(node), F.col("rep").alias(rep))
+    kept = chosen(True).withColumn(node, node_column()).join(keepers, node)
+    kept = kept.where(F.col("doc_id").eqNullSafe(F.col(rep))).dropDuplicates([node])
+    return chosen(False).unionByName(kept.drop(node, rep))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

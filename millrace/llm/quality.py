@@ -6,14 +6,17 @@ operations and a count per mask, at most 2^rules rows, whatever the number of do
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.common import map_texts, prepare
-from millrace.llm.scan import text_bytes, windows, words_of
+from millrace.llm.common import fresh, map_texts, prepare, slices
+from millrace.llm.scan import windows, words_of
 
 #: Symbols that n_symbols counts.
 SYMBOLS = np.zeros(256, bool)
@@ -152,15 +155,9 @@ def ablation(book: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES)
 
 def quality_stage(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """The documents that the policy keeps, all columns as they are. Measured and filtered in one pass, without a join."""
-    import pyarrow as pa
-
     prepare(docs.sparkSession)
-    from millrace.llm.common import slices
-
-    schema = docs.schema
-    names = {name: f"measured_{name}" for name in MEASUREMENTS}
-    fields = ", ".join(f"`{name}` long" for name in names.values())
-    whole = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    stem = fresh(docs.columns, "measured_")
+    names = {name: stem + name for name in MEASUREMENTS}
 
     def run(batches):
         for part in slices(batches):
@@ -169,22 +166,11 @@ def quality_stage(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
                 part = part.append_column(names[name], pa.array(found[name], pa.int64()))
             yield part
 
-    from pyspark.sql.types import StructType
-
-    book = whole.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(fields).fields]))
+    schema = StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in names.values())])
+    rules = {rule: re.sub(r"\b[a-z_]+\b", lambda m: names.get(m.group(), m.group()), test) for rule, test in RULES.items()}
     reject = bits(POLICIES[policy]) | bits(BASE_RULES)
-    mask = F.lit(0).cast("long")
-    for k, condition in enumerate(RULES.values()):
-        for name in sorted(MEASUREMENTS, key=len, reverse=True):
-            condition = _renamed(condition, name, names[name])
-        mask = mask.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return book.where(mask.bitwiseAND(F.lit(reject)) == 0).drop(*names.values())
-
-
-def _renamed(condition: str, name: str, to: str) -> str:
-    import re
-
-    return re.sub(rf"\b{name}\b", to, condition)
+    book = docs.mapInArrow(run, schema)
+    return book.where(failures(rules).bitwiseAND(F.lit(reject)) == 0).drop(*names.values())
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
