@@ -1,6 +1,8 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from millrace.oracle import oracle_sql
+from millrace.queries import queries
 from compare import difference, duck
 
 SF_DIR = "/root/testdata/sf0.001"
