@@ -8,16 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.dates import file_name_date
-from millrace.operators.keys import KeySet, settle
 from millrace.schemas import CUSTOMER_HEADER, MANIFEST, POS_HEADER
-from millrace.sources.landing import canonical
 
 ACCEPTED, QUARANTINED, FAILED = "accepted", "quarantined", "failed"
 # Folder and suffix of each source, and the separator of its header (none for JSON).
 ROUTES = {"pos": (".csv", ","), "ecommerce": (".json", None), "customers": (".txt", "|")}
 ORDER_KEYS = ("orderId", "items")
 REASON_CHARS = 80
-FILE_LIST_LIMIT = 256 * 1024 * 1024
 # Reject reasons.
 EMPTY = "file is empty"
 NOT_UTF8 = "not valid UTF-8 text"
@@ -52,14 +49,26 @@ def cells(line: Column, separator: str) -> Column:
     return F.transform(F.split(line, f"[{separator}]"), strip)
 
 
+# Text in double quotes without raw control characters; the loops give nothing back.
+_STRING = r'"[^"\\\x00-\x1F]*+(?:\\[^\x00-\x1F][^"\\\x00-\x1F]*+)*+"'
+_NOT_FINITE = r"(?<![A-Za-z0-9_])(?:NaN|-?Infinity)(?![A-Za-z0-9_])"
+
+
 def is_json(line: Column) -> Column:
-    """Whether the whole line is one JSON value; text after the value makes it invalid."""
-    as_array = F.json_array_length(F.concat(F.lit("["), line, F.lit("]")))
+    """Whether the whole line is one JSON value; text after the value makes it invalid.
+
+    Single quotes and raw control characters in texts are invalid, NaN and Infinity are valid. Lines that
+    have such a thing are judged without their texts, the others as they are.
+    """
+    bare = F.regexp_replace(F.regexp_replace(line, _STRING, '""'), _NOT_FINITE, "0")
+    odd = line.rlike(r"['\x00-\x1F]|NaN|Infinity")
+    judged = F.when(odd & bare.rlike(r"['\x00-\x08\x0B\x0C\x0E-\x1F]"), F.lit("")).when(odd, bare).otherwise(line)
+    as_array = F.json_array_length(F.concat(F.lit("["), judged, F.lit("]")))
     return F.coalesce(as_array == 1, F.lit(False))
 
 
 def is_order(line: Column) -> Column:
-    keys = F.json_object_keys(line)
+    keys = F.json_object_keys(F.when(line.rlike("NaN|Infinity"), F.regexp_replace(line, _NOT_FINITE, "0")).otherwise(line))
     has_keys = [F.array_contains(keys, key) for key in ORDER_KEYS]
     return F.coalesce(has_keys[0] & has_keys[1], F.lit(False))
 
@@ -109,8 +118,10 @@ def manifest(heads: DataFrame, pos_header: tuple[str, ...] = POS_HEADER) -> Data
         .when(head.isNull(), F.lit(NOT_UTF8))
         .otherwise(content)
     )
-    routed = heads.withColumn("source", source_of(F.col("key"))).filter(source.isNotNull())
-    judged = routed.withColumns({
+    if "modified" not in heads.columns:
+        heads = heads.withColumn("modified", F.lit(None).cast("timestamp"))
+    named = heads.withColumn("source", source_of(F.col("key"))).filter(source.isNotNull())
+    judged = named.withColumns({
         "reason": F.regexp_replace(problem, "[^ -~]", "?"),
         "dt": landing_date(F.col("key")),
     }).withColumn(
@@ -125,24 +136,38 @@ def manifest(heads: DataFrame, pos_header: tuple[str, ...] = POS_HEADER) -> Data
     return judged.withColumns({"target_key": target, "checked_at": F.current_timestamp()}).select(*MANIFEST.names)
 
 
+STATE = ("path", "size", "modified")
+
+
+def routed(files: DataFrame) -> DataFrame:
+    """Files that belong to a source, by key alone: the others are never opened."""
+    return files.where(source_of(F.col("key")).isNotNull())
+
+
 def not_yet_seen(files: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files whose key and size are not in `seen`."""
-    return files.join(seen.select("key", "size"), ["key", "size"], "left_anti")
+    """Files whose state (path, size and time of change) has no verdict in `seen`."""
+    states = seen.select(*STATE).distinct()
+    same = [files[name].eqNullSafe(states[name]) for name in STATE]
+    return files.join(states, same[0] & same[1] & same[2], "left_anti")
 
 
-def accepted_files(files: DataFrame) -> KeySet:
-    """Paths of the files of a manifest whose last verdict is acceptance, as a set of known size.
+def last_verdicts(files: DataFrame) -> DataFrame:
+    """The last verdict of each path: of its latest state, and of that the latest check."""
+    order = F.struct("modified", "checked_at")
+    names = [name for name in files.columns if name != "path"]
+    last = files.groupBy("path").agg(F.max_by(F.struct(*names), order).alias("last"))
+    return last.select("path", "last.*")
 
-    Broadcast up to about 1.5 million files, so that the rows of a source need no shuffle to be matched.
-    """
-    last = files.groupBy("path").agg(F.max_by("status", "checked_at").alias("status"))
-    accepted = last.filter(F.col("status") == ACCEPTED)
-    return settle(files.sparkSession, accepted, "path", FILE_LIST_LIMIT)
 
+def accepted_now(verdicts: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of a listing whose last verdict is acceptance and that have not changed since (path, source, dt).
 
-def only_accepted(rows: DataFrame, accepted: KeySet) -> DataFrame:
-    """Rows (with `source_file`) of accepted files only."""
-    return accepted.keep(rows.withColumn("path", canonical(F.col("source_file")))).select(*rows.columns)
+    A file that has changed and has not been checked, or could not be read, is not among them.
+    """
+    last = last_verdicts(verdicts).filter(F.col("status") == ACCEPTED)
+    there = files.select(*[F.col(name).alias(f"now_{name}") for name in STATE])
+    same = [F.col(name).eqNullSafe(F.col(f"now_{name}")) for name in STATE]
+    return last.join(there, same[0] & same[1] & same[2]).select("path", "source", "dt")
 
 
 # ---- the sender's own check, before files enter the landing zone
@@ -153,6 +178,8 @@ NOT_TABLE = "cannot be read as CSV"
 
 
 def _loose_table_problem(head: Column, separator: str) -> Column:
+    # A carriage return ends a record too.
+    head = F.regexp_replace(head, "\r\n?", "\n")
     line = F.split_part(head, F.lit("\n"), F.lit(1))
     parts = cells(F.replace(line, F.lit('"'), F.lit("")), separator)
     problem = F.when(~F.exists(parts, lambda cell: cell != ""), F.lit(NO_HEADER))

@@ -59,8 +59,13 @@ class KeySet:
     def mark(self, rows: DataFrame, flag: str) -> DataFrame:
         """All rows, with a boolean that says whether the key is in the set."""
         marks = self.side().withColumn(flag, F.lit(True))
-        marked = rows.join(marks, self.key, "left")
-        return marked.select(*rows.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+        if self.small:
+            marked = rows.join(marks, self.key, "left")
+            return marked.select(*rows.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+        # Rows without a key go round the join: they would all meet in one partition.
+        keyed = rows.filter(F.col(self.key).isNotNull()).join(marks, self.key, "left")
+        keyed = keyed.select(*rows.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+        return keyed.union(rows.filter(F.col(self.key).isNull()).withColumn(flag, F.lit(False)))
 
     def keep(self, rows: DataFrame) -> DataFrame:
         """Rows whose key is in the set."""

@@ -28,37 +28,48 @@ def check_landing(
     spark: SparkSession, landing_zone: str, seen: DataFrame | None = None,
     pos_header: tuple[str, ...] = schemas.POS_HEADER,
 ) -> DataFrame:
-    """Verdict on every file of the landing zone; on the new ones only if `seen` is given.
+    """Verdict on every file of the landing zone; on new and changed ones only if `seen` is given.
 
-    The sizes come from a listing; only files that are new are opened.
+    Sizes and times come from the listing; only files of a source that have no verdict are opened.
     """
-    files = landing.list_files(spark, landing_zone)
+    files = arrival.routed(landing.list_files(spark, landing_zone))
     if seen is not None:
-        sized = landing.read_heads(files, limit=0)
-        files = arrival.not_yet_seen(sized, seen)
+        files = arrival.not_yet_seen(files, seen)
     return arrival.manifest(landing.read_heads(files), pos_header)
 
 
-def arrival_job(spark: SparkSession, landing_zone: str, manifest_path: str) -> DataFrame:
-    """Check what is new and append it to the manifest. Running it again adds nothing.
+def arrival_job(
+    spark: SparkSession, landing_zone: str, manifest_path: str, pos_header: tuple[str, ...] = schemas.POS_HEADER
+) -> DataFrame:
+    """Check what is new or changed and append it to the manifest. Running it again adds nothing.
 
     Files that could not be read stay out of the manifest, so that the next run tries them again.
     """
     failed = Observation("failed")
-    verdicts = check_landing(spark, landing_zone, read_manifest(spark, manifest_path))
+    verdicts = check_landing(spark, landing_zone, read_manifest(spark, manifest_path), pos_header)
     unread = F.col("status") == arrival.FAILED
     watched = verdicts.observe(failed, F.count_if(unread).alias("n"))
-    watched.filter(~unread).write.mode("append").parquet(manifest_path)
+    # As few files a run as there are verdicts to write.
+    watched.filter(~unread).hint("rebalance").write.mode("append").parquet(manifest_path)
     if failed.get["n"]:
         log.warning("%d files could not be read", failed.get["n"])
     return read_manifest(spark, manifest_path)
 
 
+def accepted_paths(spark: SparkSession, landing_zone: str, manifest: DataFrame) -> dict[str, list[tuple[str, str]]]:
+    """(dt, path) of the accepted, unchanged files in dated folders of each source, in order. What a reader is given instead of
+    the folder, so that rejected files are never opened; it keeps the same list to plan its tasks."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    for row in arrival.accepted_now(manifest, landing.list_files(spark, landing_zone)).where("dt IS NOT NULL").toLocalIterator():
+        found.setdefault(row.source, []).append((row.dt, row.path))
+    return {source: sorted(paths) for source, paths in found.items()}
+
+
 def sending_plan(spark: SparkSession, source_folder: str, landing_zone: str | None, kind: str) -> DataFrame:
     """What sending a local folder to the landing zone would do with each file."""
-    heads = landing.read_heads(landing.list_files(spark, source_folder))
+    heads = landing.read_heads(landing.list_files(spark, source_folder), line=True)
     if landing_zone is None:
         landed = spark.createDataFrame([], "key string, size bigint")
     else:
-        landed = landing.read_heads(landing.list_files(spark, landing_zone), limit=0)
+        landed = landing.list_files(spark, landing_zone)
     return arrival.sending_list(heads, landed, (kind,))

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions.numbers import USD_TO_CAD
-from millrace.operators.arrival import accepted_files, only_accepted
 from millrace.operators.conform import conform_ecommerce, conform_pos
 from millrace.operators.reports import SALES_PARSED, has_parse_error, rows_per
+from millrace.plans.arrival import accepted_paths
+from millrace.schemas import POS_HEADER
 from millrace.session import pin_session
-from millrace.sinks.tables import rebalanced, write_by_day
+from millrace.sinks.tables import has_file_log, rebalanced, write_by_day
 from millrace.sources import raw
 from millrace.sources.tables import read_trusted_sales
 
@@ -44,28 +45,40 @@ def sales_job(
     sources: tuple[str, ...] = ("pos", "ecommerce"),
     compact: bool = False,
     manifest: DataFrame | None = None,
+    pos_header: tuple[str, ...] | None = POS_HEADER,
 ) -> SalesRun:
     """Conform all raw sales and replace `sales_conformed`.
 
     A source without files is skipped. Input without any row fails before the write, so it never
     replaces good output. Reading, conforming, counting and writing are one pass over the files; nothing
     is cached. With `manifest`, `raw_zone` may be the landing zone itself: only the files the arrival check
-    accepted are used, without copying them first.
+    accepted, and that have not changed since, are opened. `pos_header` is the header that check was given;
+    None takes each file's own (of a raw zone).
     """
     pin_session(spark)
-    base = raw.folder(raw_zone)
-    readers = {
-        "pos": lambda path: raw.read_pos(spark, path, check_header=manifest is None),
-        "ecommerce": lambda path: raw.read_order_lines(spark, path),
-    }
-    accepted = None if manifest is None else accepted_files(manifest)
+    base, target = raw.folder(raw_zone), raw.folder(trusted_zone) + "sales_conformed/"
+    if has_file_log(spark, target):
+        raise RuntimeError(f"{target} belongs to a file stream: what is written beside its log would not be read.")
     found = {}
-    for source in sources:
-        if raw.source_exists(spark, base + source):
-            rows = readers[source](base + source)
-            found[source] = only_accepted(rows, accepted) if accepted else rows
-        else:
-            log.info("no dated folders under %s%s, source skipped", base, source)
+    if manifest is not None:
+        accepted = accepted_paths(spark, raw_zone, manifest)
+        readers = {
+            "pos": lambda paths: raw.read_pos(spark, base + "pos", False, pos_header or POS_HEADER, paths),
+            "ecommerce": lambda paths: raw.read_order_lines(spark, base + "ecommerce", paths),
+        }
+        for source in sources:
+            if source in accepted:
+                found[source] = readers[source]([path for _, path in accepted[source]])
+    else:
+        readers = {
+            "pos": lambda path: raw.read_pos(spark, path, header=pos_header) if pos_header else raw.read_pos_variants(spark, path),
+            "ecommerce": lambda path: raw.read_order_lines(spark, path),
+        }
+        for source in sources:
+            if raw.source_exists(spark, base + source):
+                found[source] = readers[source](base + source)
+            else:
+                log.info("no dated folders under %s%s, source skipped", base, source)
     if not found:
         raise RuntimeError(f"No input under {base}.")
     if all((raw.valid_orders(rows) if source == "ecommerce" else rows).isEmpty() for source, rows in found.items()):
@@ -80,7 +93,7 @@ def sales_job(
     sales = rebalanced(raw.union_by_name(parts)) if compact else raw.union_by_name(parts)
     # Observed in the stage that writes, whose tasks count once even when they are run again.
     sales = sales.observe(totals, *run_totals(SALES_PARSED))
-    write_by_day(sales, raw.folder(trusted_zone) + "sales_conformed/")
+    write_by_day(sales, target)
 
     counts = dict(totals.get)
     run = SalesRun(

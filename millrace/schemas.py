@@ -82,6 +82,7 @@ MANIFEST = record(
     source=TEXT,
     dt=TEXT,
     size=WHOLE,
+    modified=T.TimestampType(),
     status=TEXT,
     reason=TEXT,
     target_key=TEXT,

@@ -25,3 +25,35 @@ def save_table(spark: SparkSession, rows: DataFrame, name: str, path: str | None
     writer = rows.write.mode("overwrite").format("parquet")
     (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def has_file_log(spark: SparkSession, path: str) -> bool:
+    """Whether a file stream has written its log into a folder; readers then see only what is in the log."""
+    store, place = _files(spark, path.rstrip("/") + "/_spark_metadata")
+    return store.exists(place)
+
+
+def append_batch(rows: DataFrame, path: str, label: str) -> None:
+    """Appends rows to a folder written by write_by_day, once for each label: what an earlier attempt under the
+    same label has left is removed first.
+
+    The rows go to a hidden folder, then each file moves to its day under a name that begins with the label.
+    """
+    spark, base = rows.sparkSession, path.rstrip("/")
+    store, root = _files(spark, base)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for old in store.globStatus(hadoop(f"{base}/dt=*/{label}-*")) or []:
+        store.delete(old.getPath(), False)
+    staged = f"{base}/_staged-{label}"
+    rows.write.mode("overwrite").partitionBy("dt").parquet(staged)
+    for new in store.globStatus(hadoop(f"{staged}/dt=*/*.parquet")) or []:
+        day = hadoop(root, new.getPath().getParent().getName())
+        store.mkdirs(day)
+        if not store.rename(new.getPath(), hadoop(day, f"{label}-{new.getPath().getName()}")):
+            raise RuntimeError(f"{new.getPath()} could not be moved.")
+    store.delete(hadoop(staged), True)

@@ -8,6 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace import schemas
+from millrace.sources import landing
+
+# Columns of a CSV line at most. A line with more than the header is cut to the header's, never an error.
+MOST_COLUMNS = 1_000_000
+
 
 
 def folder(base: str) -> str:
@@ -23,13 +28,10 @@ def with_source_file(rows: DataFrame) -> DataFrame:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Whether a path or pattern names anything; one look-up, no listing of what lies below."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
 
 
 def source_exists(spark: SparkSession, base: str) -> bool:
@@ -37,29 +39,61 @@ def source_exists(spark: SparkSession, base: str) -> bool:
     return path_exists(spark, dated(base))
 
 
-def read_pos(spark: SparkSession, base: str, check_header: bool = True, declared: bool = True) -> DataFrame:
-    """Store sales, all text.
+def read_pos(
+    spark: SparkSession, base: str, check_header: bool = True, header: tuple[str, ...] = schemas.POS_HEADER,
+    paths: list[str] | None = None,
+) -> DataFrame:
+    """Store sales, all text: those below `base`, or of it the files `paths`.
 
-    The arrival check has made sure of the header, so the schema is declared, and a file with another
-    header fails the job. Without `check_header` columns are taken by position: only for reading a
-    landing zone, where rejected files are filtered out afterwards. Without `declared` the names come
-    from the files, which may then lack the payment type.
+    The arrival check has made sure of the header, so it is declared, and a file with another one fails the
+    job. Without `check_header` columns are taken by position: for files whose header is known to be this one,
+    if with blanks around the names. Columns the header lacks are NULL.
     """
-    reader = spark.read.option("header", True).option("basePath", folder(base))
-    if declared:
-        reader = reader.schema(schemas.POS_RAW).option("enforceSchema", not check_header)
-    rows = with_source_file(reader.csv(dated(base)))
-    return rows.withColumn("dt", F.col("dt").cast("string"))
-
-
-def read_order_lines(spark: SparkSession, base: str) -> DataFrame:
+    absent = [name for name in schemas.POS_REQUIRED if name not in header]
+    if absent:
+        raise ValueError(f"The header lacks the columns: {', '.join(absent)}")
+    reader = spark.read.option("header", True).option("basePath", folder(base)).option("maxColumns", MOST_COLUMNS)
+    reader = reader.schema(schemas.text_record(*header, "dt")).option("enforceSchema", not check_header)
+    rows = with_source_file(reader.csv(paths or dated(base)))
+    for name in schemas.POS_HEADER:
+        if name not in header:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return rows.select(*schemas.POS_HEADER, F.col("dt").cast("string"), "source_file")
+
+
+def pos_headers(spark: SparkSession, base: str) -> dict[tuple[str, ...], list[str]]:
+    """The dated files below `base` by their header, blanks around the names left out. One small read a file."""
+    files = landing.list_files(spark, base).where(F.col("key").startswith("dt=") & (F.col("size") > 0))
+    line = F.split_part(F.regexp_replace(F.col("head"), "\r\n?", "\n"), F.lit("\n"), F.lit(1))
+    names = F.transform(F.split(line, ","), lambda cell: F.trim(F.replace(cell, F.lit('"'), F.lit(""))))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for names_of, path in landing.read_heads(files, line=True).select(names, "path").toLocalIterator():
+        found.setdefault(tuple(names_of or ()), []).append(path)
+    return {header: sorted(paths) for header, paths in sorted(found.items())}
+
+
+def read_pos_variants(spark: SparkSession, base: str) -> DataFrame:
+    """Store sales of a raw zone whose files differ in the order of their columns, in blanks around the names or
+    in the payment type, which may be absent. A file without the other columns fails the job by name."""
+    parts = []
+    for header, paths in pos_headers(spark, base).items():
+        absent = [name for name in schemas.POS_REQUIRED if name not in header]
+        if absent:
+            raise ValueError(f"{paths[0]} lacks the columns: {', '.join(absent)}")
+        parts.append(read_pos(spark, base, check_header=False, header=header, paths=paths))
+    if not parts:
+        raise RuntimeError(f"No store sales under {base}.")
+    return union_by_name(parts)
+
+
+def read_order_lines(spark: SparkSession, base: str, paths: list[str] | None = None) -> DataFrame:
     """E-commerce orders, one per JSON line; a line that does not fit the schema is in `_corrupt_record`."""
     return with_source_file(
         spark.read.schema(schemas.ORDERS_RAW)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", schemas.CORRUPT)
         .option("basePath", folder(base))
-        .json(dated(base))
+        .json(paths or dated(base))
     )
 
 
@@ -106,15 +140,17 @@ def read_all_orders(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def read_customers(spark: SparkSession, base: str, check_header: bool = True) -> DataFrame:
-    """All customer snapshots, all text."""
+def read_customers(
+    spark: SparkSession, base: str, check_header: bool = True, paths: list[str] | None = None
+) -> DataFrame:
+    """All customer snapshots, or of them the files `paths`, all text."""
     return with_source_file(
         spark.read.schema(schemas.CUSTOMERS_RAW)
         .option("header", True)
         .option("enforceSchema", not check_header)
         .option("sep", "|")
         .option("basePath", folder(base))
-        .csv(dated(base))
+        .csv(paths or dated(base))
     )
 
 

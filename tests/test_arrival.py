@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.operators import arrival
-from millrace.plans.arrival import arrival_job, check_landing, read_manifest, sending_plan
+from millrace.plans.arrival import accepted_paths, arrival_job, check_landing, read_manifest, sending_plan
 from millrace.sources import landing, raw
 from millrace.streaming.arrival import watch_landing
 
@@ -44,6 +44,12 @@ FILES = {
     "ecommerce/dt=2026-09-17/noitems.json": ('{"orderId":"x","order":{"items":[]}}\n', "first line has no orderId or items"),
     "ecommerce/dt=2026-09-17/blank.json": ("\n \n", "no data rows"),
     "ecommerce/dt=2026-09-17/long.json": ('{"orderId":1,"items":["' + "x" * LIMIT + '"]}\n', "first line is not JSON"),
+    "ecommerce/dt=2026-09-18/single.json": ("{'orderId':'x','items':[]}\n", "first line is not JSON"),
+    "ecommerce/dt=2026-09-18/rawtab.json": ('{"orderId":"a\tb","items":[]}\n', "first line is not JSON"),
+    "ecommerce/dt=2026-09-18/tabs.json": ('{\t"orderId":\t"it\'s","items":[]}\n', None),
+    "ecommerce/dt=2026-09-18/nan.json": ('{"orderId":"NaN","items":[NaN, -Infinity],"x":"\\"NaN"}\n', None),
+    "ecommerce/dt=2026-09-18/notnan.json": ('{"orderId":xNaN,"items":[]}\n', "first line is not JSON"),
+    "ecommerce/dt=2026-09-18/_hidden.json": ("x", "ignored"),
     "customers/dt=2026-09-28/good.txt": (CUSTOMERS + "\n1|2\n", None),
     "customers/dt=2026-09-28/comma.txt": (CUSTOMERS.replace("|", ",") + "\n1\n", "unexpected header: " + CUSTOMERS.replace("|", ",")[:80]),
 }
@@ -118,9 +124,9 @@ def test_only_rows_of_accepted_files(spark, tmp_path):
         "pos/dt=2026-09-17/a.csv": POS + "\n" + line, "pos/dt=2026-09-17/b.csv": "x" + POS + "\n" + line * 2,
         "pos/dt=2026-09-18/c d.csv": POS + "\n" + line,
     })
-    rows = raw.read_pos(spark, zone + "/pos", check_header=False)
-    kept = arrival.only_accepted(rows, arrival.accepted_files(check_landing(spark, zone)))
-    assert rows.count() == 4 and sorted(row.dt for row in kept.collect()) == ["2026-09-17", "2026-09-18"]
+    accepted = accepted_paths(spark, zone, check_landing(spark, zone))["pos"]
+    kept = raw.read_pos(spark, zone + "/pos", check_header=False, paths=[path for _, path in accepted])
+    assert sorted(row.dt for row in kept.collect()) == ["2026-09-17", "2026-09-18"]
     with pytest.raises(Exception, match="header does not conform"):
         raw.read_pos(spark, zone + "/pos").collect()
 
@@ -130,8 +136,8 @@ def test_last_verdict_counts(spark, tmp_path):
     put(zone, {"pos/dt=1/a.csv": POS + "\n1\n", "pos/dt=1/b.csv": POS})
     arrival_job(spark, zone, manifest)
     put(zone, {"pos/dt=1/a.csv": POS, "pos/dt=1/b.csv": POS + "\n22\n"})
-    accepted = arrival.accepted_files(arrival_job(spark, zone, manifest))
-    assert [row.path.rsplit("/", 1)[1] for row in accepted.frame.collect()] == ["b.csv"] and accepted.small
+    accepted = accepted_paths(spark, zone, arrival_job(spark, zone, manifest))
+    assert [path.rsplit("/", 1)[1] for _, path in accepted["pos"]] == ["b.csv"]
 
 
 def test_sending(spark, tmp_path):
@@ -153,6 +159,11 @@ def test_sending(spark, tmp_path):
         "pos_2026-10-03.csv": ("pos/dt=2026-10-03/pos_2026-10-03.csv", "no header row", "uploaded"),
         "pos_2026-10-04.csv": ("pos/dt=2026-10-04/pos_2026-10-04.csv", "cannot be read as CSV", "uploaded"),
     }
+    put(folder, {"long_2026-10-05.json": '{"orderId":1,"items":["' + "x" * LIMIT + '"]}\n', "cr_2026-10-06.csv": b"a,b\r1,2\r"})
+    assert {r.problem for kind in ("json", "csv") for r in sending_plan(spark, folder, None, kind).collect()
+            if r.file_name[:2] in ("lo", "cr")} == {None}
+    for name in ("long_2026-10-05.json", "cr_2026-10-06.csv"):
+        os.remove(os.path.join(folder, name))
     assert arrival.sending_summary(plan).first().asDict() == dict(uploaded=5, skipped=1, flagged=4, failed=0)
     psv = {row.file_name: row.problem for row in sending_plan(spark, folder, None, "psv").collect()}
     assert psv == {"customers_20260928.txt": "header does not use the '|' delimiter", "c_2026-09-21.txt": None}
@@ -167,6 +178,6 @@ def test_summary(spark, zone):
     got = {(row.source, row.status): row.files for row in
            arrival.arrival_summary(check_landing(spark, zone)).groupBy("source", "status").agg(F.sum("files").alias("files")).collect()}
     assert got == {
-        ("pos", "accepted"): 8, ("pos", "quarantined"): 9, ("ecommerce", "accepted"): 1, ("ecommerce", "quarantined"): 6,
+        ("pos", "accepted"): 8, ("pos", "quarantined"): 9, ("ecommerce", "accepted"): 3, ("ecommerce", "quarantined"): 9,
         ("customers", "accepted"): 1, ("customers", "quarantined"): 1,
     }

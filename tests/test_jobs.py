@@ -1,20 +1,21 @@
 import json
 import os
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.operators import gate
-from millrace.plans.arrival import arrival_job
+from millrace.plans.arrival import arrival_job, read_manifest
 from millrace.plans.customers import customers_job
 from millrace.plans.gate import analyst_view, export_job, gate_job
 from millrace.plans.sales import pos_job, sales_job
 from millrace.plans.sqlpath import export_tables, reconcile_tables, sql_path_job
 from millrace.session import shared_folder
-from millrace.sinks.tables import rebalanced, write_by_day
+from millrace.sinks.tables import append_batch, rebalanced, write_by_day
 from millrace.sources import raw, tables
-from millrace.streaming.conform import append_sales, stream_sales
+from millrace.streaming.conform import append_sales, stream_accepted, stream_sales
 from test_arrival import put
 from test_conform import ORDER
 
@@ -88,10 +89,96 @@ def test_no_input_and_empty_input_fail_and_keep_the_output(spark, zones, tmp_pat
     assert tables.read_trusted_sales(spark, zones[1]).count() == 10
 
 
-def test_pos_without_payment_type_by_names(spark, tmp_path):
-    put(str(tmp_path), {"pos/dt=2026-09-17/a.csv": "sku,txn_id\nTH-1,7\n"})
-    rows = raw.read_pos(spark, str(tmp_path / "pos"), declared=False)
-    assert rows.select("txn_id", "sku", "dt").first() == ("7", "TH-1", "2026-09-17")
+def test_files_with_other_headers(spark, tmp_path):
+    names = list(schemas.POS_HEADER)
+    spaced = ",".join(f" {name} " for name in names) + "\n"
+    fewer = [name for name in names if name != "payment_type"]
+    turned = names[::-1]
+    cells = dict(zip(names, pos_line(1).strip().replace('"a, b"', "ab").split(",")))
+    put(str(tmp_path / "raw"), {
+        "pos/dt=2026-09-17/spaced.csv": spaced + pos_line(1),
+        "pos/dt=2026-09-18/fewer.csv": ",".join(fewer) + "\n" + ",".join(cells[n] for n in fewer) + "\n",
+        "pos/dt=2026-09-19/turned.csv": ",".join(turned) + "\n" + ",".join(cells[n] for n in turned) + "\n",
+    })
+    sales = sales_job(spark, str(tmp_path / "raw"), str(tmp_path / "trusted"), pos_header=None).sales
+    assert [tuple(r) for r in sales.select("sale_id", "quantity", "unit_price_cad", "store_id").distinct().collect()] == [
+        ("S001-1", 2, Decimal("10.00"), "S001")]
+    assert sales.count() == 3
+    put(str(tmp_path / "raw"), {"pos/dt=2026-09-20/x.csv": "sku,txn_id\nTH-1,7\n"})
+    with pytest.raises(ValueError, match="x.csv lacks the columns"):
+        sales_job(spark, str(tmp_path / "raw"), str(tmp_path / "trusted"), pos_header=None)
+
+
+def test_changed_file_is_checked_again_and_not_read_before(spark, tmp_path):
+    zone, manifest = str(tmp_path / "landing"), str(tmp_path / "manifest")
+    put(zone, {"pos/dt=2026-09-17/a.csv": POS + pos_line(1), "pos/dt=2026-09-17/b.csv": POS + pos_line(2)})
+    arrival_job(spark, zone, manifest)
+    turned = POS.replace("quantity,unit_price", "unit_price,quantity")
+    path = os.path.join(zone, "pos/dt=2026-09-17/a.csv")
+    size = os.path.getsize(path)
+    put(zone, {"pos/dt=2026-09-17/a.csv": turned + pos_line(1)})
+    os.utime(path, (2_000_000_000, 2_000_000_000))
+    assert os.path.getsize(path) == size
+    run = sales_job(spark, zone, str(tmp_path / "trusted"), manifest=read_manifest(spark, manifest))
+    assert [r.sale_id for r in run.sales.collect()] == ["S001-2"]
+    verdicts = arrival_job(spark, zone, manifest)
+    assert sorted((r.key[-5:], r.status) for r in verdicts.collect()) == [
+        ("a.csv", "accepted"), ("a.csv", "quarantined"), ("b.csv", "accepted")]
+    run = sales_job(spark, zone, str(tmp_path / "trusted"), manifest=verdicts)
+    assert [r.sale_id for r in run.sales.collect()] == ["S001-2"]
+
+
+def test_rejected_newest_snapshot_keeps_the_customers(spark, tmp_path):
+    zone, manifest, trusted = (str(tmp_path / name) for name in ("landing", "manifest", "trusted"))
+    put(zone, {key: RAW[key] for key in RAW if key.startswith("customers/")})
+    assert customers_job(spark, zone, trusted, arrival_job(spark, zone, manifest)).rows == 2
+    path = os.path.join(zone, "customers/dt=2026-09-28/c.txt")
+    put(zone, {"customers/dt=2026-09-28/c.txt": CUSTOMERS})
+    os.utime(path, (2_000_000_000, 2_000_000_000))
+    run = customers_job(spark, zone, trusted, arrival_job(spark, zone, manifest))
+    assert (run.snapshot, run.rows) == ("2026-09-21", 1)
+    put(str(tmp_path / "raw"), {"customers/dt=2026-09-28/c.txt": CUSTOMERS})
+    with pytest.raises(RuntimeError, match="holds no rows"):
+        customers_job(spark, str(tmp_path / "raw"), trusted)
+    assert tables.read_trusted_customers(spark, trusted).count() == 1
+
+
+def test_rejected_files_are_not_opened(spark, tmp_path):
+    zone = str(tmp_path / "landing")
+    put(zone, {"pos/dt=2026-09-17/a.csv": POS + pos_line(1), "pos/dt=2026-09-17/wide.csv": "," * 30_000 + "\n1\n"})
+    run = sales_job(spark, zone, str(tmp_path / "trusted"), manifest=arrival_job(spark, zone, str(tmp_path / "manifest")))
+    assert run.rows == 1
+
+
+def test_batch_and_stream_share_a_table(spark, tmp_path):
+    zone, trusted, offsets = (str(tmp_path / name) for name in ("raw", "trusted", "offsets"))
+    put(zone, {"pos/dt=2026-09-17/a.csv": POS + pos_line(1) + pos_line(2)})
+    sales_job(spark, zone, trusted)
+    put(str(tmp_path / "more"), {"pos/dt=2026-09-18/b.csv": POS + pos_line(3)})
+    target = trusted + "/sales_conformed"
+    append_sales(stream_sales(spark, str(tmp_path / "more")), target, offsets).awaitTermination()
+    assert sorted(r.sale_id for r in tables.read_trusted_sales(spark, trusted).collect()) == ["S001-1", "S001-2", "S001-3"]
+    rows = tables.read_trusted_sales(spark, trusted).filter("sale_id = 'S001-3'").cache()
+    rows.count()
+    for _ in range(2):
+        append_batch(rows, target, "again-1")
+    assert tables.read_trusted_sales(spark, trusted).count() == 4
+    os.makedirs(target + "/_spark_metadata")
+    with pytest.raises(RuntimeError, match="belongs to a file stream"):
+        sales_job(spark, zone, trusted)
+
+
+def test_stream_of_accepted_files(spark, tmp_path):
+    zone, manifest, trusted, offsets = (str(tmp_path / name) for name in ("landing", "manifest", "trusted", "offsets"))
+    put(zone, {"pos/dt=2026-09-17/a.csv": POS + pos_line(1), "pos/dt=2026-09-17/bad.csv": "x" + POS + pos_line(9)})
+    arrival_job(spark, zone, manifest)
+    stream_accepted(spark, zone, manifest, trusted, offsets).awaitTermination()
+    put(zone, {"ecommerce/dt=2026-09-18/o.json": json.dumps(ORDER)})
+    arrival_job(spark, zone, manifest)
+    stream_accepted(spark, zone, manifest, trusted, offsets).awaitTermination()
+    stream_accepted(spark, zone, manifest, trusted, offsets).awaitTermination()
+    assert sorted(r.dt for r in tables.read_trusted_sales(spark, trusted).select("dt").distinct().collect()) == ["2026-09-17", "2026-09-18"]
+    assert tables.read_trusted_sales(spark, trusted).filter("channel = 'store'").count() == 1
 
 
 def test_rejected_lines_keep_their_text(spark, zones):
