@@ -41,17 +41,17 @@ def raw_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
         "store AS store_id",
         """CASE l_suppkey % 6 WHEN 0 THEN 'ON' WHEN 1 THEN 'QC' WHEN 2 THEN 'bc ' WHEN 3 THEN 'AB'
            WHEN 4 THEN 'MB' ELSE '' END AS province""",
-        """CASE l_partkey % 83 WHEN 0 THEN '2026-13-45' WHEN 1 THEN '31/09/2026' WHEN 2 THEN '00/00/0000'
-           WHEN 3 THEN '' WHEN 4 THEN '9/17/2026' WHEN 5 THEN '02/30/2026'
+        """CASE l_partkey % 83 WHEN 0 THEN '2031-19-02' WHEN 1 THEN '30/02/2031' WHEN 2 THEN '77/88/1999'
+           WHEN 3 THEN '' WHEN 4 THEN '4/7/2031' WHEN 5 THEN '02/29/2031'
            ELSE date_format(day, 'MM/dd/yyyy') END AS txn_date""",
         """concat(CASE l_partkey % 3 WHEN 0 THEN 'TH-' WHEN 1 THEN 'th-' ELSE 'TH' END, l_partkey) AS sku""",
         "concat(' Item ', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN '  ' ELSE '' END) AS product_name",
         """CASE l_partkey % 97 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN ' ' WHEN 2 THEN 'unknown'
            ELSE CASE l_partkey % 5 WHEN 0 THEN 'Camping' WHEN 1 THEN 'Apparel' WHEN 2 THEN 'Footwear'
                 WHEN 3 THEN 'Accessories' ELSE 'Packs' END END AS category""",
-        """CASE l_suppkey % 50 WHEN 0 THEN '0' WHEN 1 THEN '-2' WHEN 2 THEN 'N/A' WHEN 3 THEN '2.5'
+        """CASE l_suppkey % 50 WHEN 0 THEN '0' WHEN 1 THEN '-7' WHEN 2 THEN 'some' WHEN 3 THEN '2.5'
            WHEN 4 THEN ' 3 ' ELSE cast(cast(l_quantity AS int) AS string) END AS quantity""",
-        """CASE l_partkey % 89 WHEN 0 THEN 'N/A' WHEN 1 THEN '-1.00' WHEN 2 THEN '0.00' WHEN 3 THEN '2.999'
+        """CASE l_partkey % 89 WHEN 0 THEN 'free' WHEN 1 THEN '-5.25' WHEN 2 THEN '0.00' WHEN 3 THEN '2.999'
            WHEN 4 THEN '123456789.00'
            ELSE cast(cast(l_extendedprice AS decimal(12,2)) AS string) END AS unit_price""",
         "CASE l_returnflag WHEN 'A' THEN 'credit' WHEN 'N' THEN 'debit' ELSE 'cash' END AS payment_type",
@@ -80,8 +80,8 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         'priceCents', CASE (o_orderkey + i) % 101 WHEN 0 THEN -1L WHEN 1 THEN 0L ELSE cents % 100000 + i END)"""
     return orders.selectExpr(
         f"CASE WHEN o_orderkey % 499 = 0 THEN NULL ELSE concat('EC-', {pad6('o_orderkey')}) END AS orderId",
-        """CASE o_orderkey % 71 WHEN 0 THEN '2026-09-31T10:15:00-04:00' WHEN 2 THEN 'yesterday'
-           WHEN 4 THEN '17/09/2026 10:15' WHEN 6 THEN '' WHEN 8 THEN concat(date_format(day, 'yyyy-MM-dd'), 'T10:15:00')
+        """CASE o_orderkey % 71 WHEN 0 THEN '2031-02-29T07:30:00-05:00' WHEN 2 THEN 'last week'
+           WHEN 4 THEN '29.01.2031 07:30' WHEN 6 THEN '' WHEN 8 THEN concat(date_format(day, 'yyyy-MM-dd'), 'T10:15:00')
            WHEN 10 THEN concat(date_format(day, 'yyyy-MM-dd'), 'T10:15:00Z')
            ELSE concat(date_format(day, 'yyyy-MM-dd'), 'T10:15:00-04:00') END AS orderTimestamp""",
         "CASE WHEN o_custkey % 2 = 0 THEN 'web' WHEN o_custkey % 31 = 1 THEN ' App' ELSE 'app' END AS channel",

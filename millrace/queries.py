@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,12 +19,13 @@ from millrace.plans import sales as sales_plans
 from millrace.plans import sqlpath as sqlpath_plans
 from millrace.session import pin_session, shared_folder
 from millrace.sinks.tables import rebalanced
-from millrace.sources import raw, tables
+from millrace.sources import landing, raw, tables
 from millrace.streaming import arrival as arrival_stream
 from millrace.streaming import conform as conform_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+NEWEST_SNAPSHOT = "2026-09-28"
 LINEAGE = ("source_file", "ingested_at")
 
 
@@ -119,7 +122,7 @@ def filename_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrival_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrival.manifest(feeds.file_heads(spark, sf_dir)).drop("path", "checked_at")
+    return arrival.manifest(feeds.file_heads(spark, sf_dir)).drop("path", "modified", "checked_at")
 
 
 def sending_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +195,11 @@ def arrival_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store sales read from the landing zone itself, without the files the check rejected."""
+    """Store sales read from the landing zone itself; the files the check rejected are never opened."""
     zone = write_landing(spark, sf_dir)
-    accepted = arrival.accepted_files(arrival_plans.check_landing(spark, zone))
-    rows = raw.read_pos(spark, f"{zone}/pos", check_header=False)
-    return reports.rows_per(arrival.only_accepted(rows, accepted), "dt")
+    accepted = arrival_plans.accepted_paths(spark, zone, arrival_plans.check_landing(spark, zone))
+    rows = raw.read_pos(spark, f"{zone}/pos", check_header=False, paths=[path for _, path in accepted["pos"]])
+    return reports.rows_per(rows, "dt")
 
 
 def raw_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +232,86 @@ def stream_sales_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_trusted_sales(spark, trusted).drop(*LINEAGE)
 
 
+def stream_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second halves of the years by the batch job, the rest by the stream into the same table."""
+    first, second, trusted = shared_folder(spark, "raw"), shared_folder(spark, "raw"), shared_folder(spark, "trusted")
+    late = F.substr(F.col("dt"), F.lit(6), F.lit(2)) >= "07"
+    for zone, part in ((first, late), (second, ~late)):
+        _write_csv(feeds.raw_pos(spark, sf_dir).filter(part), f"{zone}/pos")
+        _by_day(feeds.order_text(spark, sf_dir).filter(part)).text(f"{zone}/ecommerce")
+    sales_plans.sales_job(spark, first, trusted)
+    offsets = shared_folder(spark, "offsets")
+    for _ in range(2):  # the second run finds nothing new
+        conform_stream.append_sales(
+            conform_stream.stream_sales(spark, second), f"{trusted}/sales_conformed", offsets
+        ).awaitTermination()
+    return tables.read_trusted_sales(spark, trusted).drop(*LINEAGE)
+
+
+def pos_job_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw zone of files with blanks in the header, without the payment type, and in another order."""
+    zone, rows, month = shared_folder(spark, "raw"), feeds.raw_pos(spark, sf_dir), F.substr(F.col("dt"), F.lit(6), F.lit(2))
+    spaced = [F.col(name).alias(f" {name} ") for name in schemas.POS_HEADER]
+    _write_csv(rows.filter(month == "01").select(*spaced, "dt"), f"{zone}/pos")
+    _write_csv(rows.filter(month == "04").drop("payment_type"), f"{zone}/pos")
+    _write_csv(rows.filter(month == "07").select(*reversed(schemas.POS_HEADER), "dt"), f"{zone}/pos")
+    _write_csv(rows.filter(month == "10"), f"{zone}/pos")
+    return sales_plans.sales_job(spark, zone, shared_folder(spark, "trusted"), sources=("pos",), pos_header=None).sales.drop(*LINEAGE)
+
+
+def _rewritten(spark: SparkSession, zone: str, source: str, day: str, old: str, new: str, cut: bool = False) -> None:
+    """Rewrites the files of a source whose day matches, in tasks: `old` for `new`, or nothing after the first line."""
+
+    def rewrite(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch["path"]:
+                store, name = fs.FileSystem.from_uri(landing._arrow_uri(path))
+                with store.open_input_file(name) as stream:
+                    text = stream.read()
+                text = text.split(b"\n", 1)[0] + b"\n" if cut else text.replace(old.encode(), new.encode(), 1)
+                with store.open_output_stream(name) as stream:
+                    stream.write(text)
+            yield batch[["path"]]
+
+    files = landing.list_files(spark, zone).where(F.col("key").rlike(f"^{source}/dt={day}/") & (F.col("size") > 0))
+    files.select("path").mapInPandas(rewrite, "path string").write.format("noop").mode("overwrite").save()
+
+
+def arrival_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted files of third quarters are replaced by ones of the same size with two columns changed over: last verdicts."""
+    zone, manifest = write_landing(spark, sf_dir), shared_folder(spark, "manifest")
+    arrival_plans.arrival_job(spark, zone, manifest)
+    _rewritten(spark, zone, "pos", "....-07-..", "quantity,unit_price", "unit_price,quantity")
+    return _verdict_days(arrival.last_verdicts(arrival_plans.arrival_job(spark, zone, manifest)))
+
+
+def customers_after_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest accepted snapshot is replaced by header lines: the one before is conformed."""
+    zone, manifest, trusted = shared_folder(spark, "landing"), shared_folder(spark, "manifest"), shared_folder(spark, "trusted")
+    _write_csv(feeds.raw_customers(spark, sf_dir), f"{zone}/customers", sep="|", extension="txt")
+    customer_plans.customers_job(spark, zone, trusted, arrival_plans.arrival_job(spark, zone, manifest))
+    _rewritten(spark, zone, "customers", NEWEST_SNAPSHOT, "", "", cut=True)
+    run = customer_plans.customers_job(spark, zone, trusted, arrival_plans.arrival_job(spark, zone, manifest))
+    return run.customers.drop(*LINEAGE)
+
+
+def export_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated output in folders of channels, read back."""
+    trusted, curated_zone = shared_folder(spark, "trusted"), shared_folder(spark, "curated")
+    sales_plans.sales_job(spark, write_raw(spark, sf_dir, ("pos", "ecommerce")), trusted)
+    gate_plans.export_job(spark, tables.read_trusted_sales(spark, trusted), curated_zone, ("channel",))
+    return spark.read.schema(schemas.SALES).parquet(f"{curated_zone}/sales_clean").select(*schemas.SALES_COLUMNS)
+
+
+def sales_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sales job reports about its run: rows, rows per column that was not converted, bad lines."""
+    run = sales_plans.sales_job(spark, write_raw(spark, sf_dir, ("pos", "ecommerce")), shared_folder(spark, "trusted"))
+    counts = {"rows": run.rows, **run.parse_errors, "bad_lines": run.bad_lines}
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+
+
 def _outcomes(curated: DataFrame, quarantine: DataFrame) -> DataFrame:
     return raw.union_by_name([
         rows.select(F.lit(outcome).alias("outcome"), *schemas.SALES_COLUMNS)
@@ -243,16 +326,34 @@ def gate_job_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcomes(run.curated, run.quarantine)
 
 
-def _sql_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sql_path(spark: SparkSession, sf_dir: str, database: str) -> DataFrame:
     zone, trusted = write_raw(spark, sf_dir, ("pos", "ecommerce")), shared_folder(spark, "trusted")
     sales_plans.pos_job(spark, zone, trusted)
-    return sqlpath_plans.sql_path_job(spark, zone, trusted, tables_path=shared_folder(spark, "tables"))
+    return sqlpath_plans.sql_path_job(spark, zone, trusted, database, tables_path=shared_folder(spark, "tables"))
+
+
+@contextmanager
+def own_database(spark: SparkSession):
+    """A database of the run's own, so that no other tables are touched; it goes when its results are written."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def sql_path_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with own_database(spark) as database:
+        counts = _sql_path(spark, sf_dir, database)
+        return spark.createDataFrame(counts.collect(), counts.schema)  # one row
 
 
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _sql_path(spark, sf_dir)
     curated_zone = shared_folder(spark, "curated")
-    sqlpath_plans.export_tables(spark, curated_zone)
+    with own_database(spark) as database:
+        _sql_path(spark, sf_dir, database)
+        sqlpath_plans.export_tables(spark, curated_zone, database)
     return _outcomes(
         spark.read.parquet(f"{curated_zone}/sales_clean"), spark.read.parquet(f"{curated_zone}/quarantine")
     )
@@ -309,8 +410,14 @@ QUERIES: dict[str, Query] = {
     "pos_job_roundtrip": pos_job_roundtrip,
     "customers_job_roundtrip": customers_job_roundtrip,
     "stream_sales_roundtrip": stream_sales_roundtrip,
+    "stream_after_batch": stream_after_batch,
+    "pos_job_variants": pos_job_variants,
+    "arrival_recheck": arrival_recheck,
+    "customers_after_reject": customers_after_reject,
+    "export_by_channel": export_by_channel,
+    "sales_run_totals": sales_run_totals,
     "gate_job_roundtrip": gate_job_roundtrip,
-    "sql_path_roundtrip": _sql_path,
+    "sql_path_roundtrip": sql_path_roundtrip,
     "export_roundtrip": export_roundtrip,
 }
 
