@@ -71,13 +71,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a frame made by stored() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()[:1]}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+class Scratch:
+    """Intermediate tables of one run, in a folder of their own below the shared one, to be removed when it is over."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.n = spark, shared_folder(spark, label), 0
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(columns: list[str], stem: str) -> str:

@@ -5,12 +5,14 @@ arrivals, at a rate of its weight, that go to random registers; a register keeps
 registers agree with the probability Jaccard similarity of the sets. A process ends when it is later than every register
 of its document, so long documents need little more than one arrival per shingle.
 
-Equal texts are one node from the start. Nodes that share a band (4 of 96 registers) are candidates:
-1. in every band bucket each node is verified against the bucket's first node only, and components are formed;
-2. buckets whose nodes lie in several components are looked at again: in small ones all pairs across components are verified,
-   large ones are divided by each second band that nodes share and then treated alike; what is still large
-   and divided has its nodes outside the first one's component verified against all others.
-So a group of copies costs a star and no pairs, and a link between different components is not lost to a large bucket.
+Equal texts are one node from the start. Nodes that share a band (4 of 96 registers) are compared by their marks (4 bits of
+each register, compared in the join itself), and pairs whose marks agree as those of similar texts do are verified:
+1. in every bucket each node with the bucket's centre only, the node that shares its bands with the most others over all
+   its buckets (in a group of edited copies the original); then components are formed;
+2. buckets whose nodes lie in several components are looked at again: the nodes outside the centre's component are compared
+   with all of the bucket, each pair in the first band it shares. Very large buckets are divided before by each second
+   band that nodes share, and have the parts' centres tried first.
+So a group of copies costs a star and no pairs, and links between different components are not lost.
 A link needs a similarity of 0.8: exact probability Jaccard or exact Jaccard of the shingle sets.
 """
 
@@ -20,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, map_texts, prepare, slices, stored
+from millrace.llm.common import Scratch, fresh, map_texts, prepare, slices, stored
 from millrace.llm.scan import MASK64, mixed, windows, words_of
 
 SHINGLE = 5
@@ -31,8 +33,12 @@ REGISTERS = 96
 ROWS = 4
 BANDS = REGISTERS // ROWS
 SIMILARITY = 0.8
-#: Buckets of at most this many nodes are searched in pairs.
-SMALL_BUCKET = 24
+#: Buckets of more nodes are divided by a second band before nodes are compared one by one. It changes the plan only.
+LARGE_BUCKET = 4096
+#: Long integers of marks of a node, each with 4 bits of 16 registers.
+MARKS = REGISTERS // 16
+#: Marks that agree at least: for a similarity of 0.8 it is 78 on average, with a standard deviation of 3.8.
+AGREE = 62
 #: Bits of the filter that tells most texts without a candidate from the others; a set size, 16 MB.
 FILTER_BITS = 27
 
@@ -109,7 +115,7 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
     return float((wx[i] / total[which]).sum()), len(i) / union
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, run: Scratch) -> DataFrame:
     """node (of each different text), rep (least doc_id), n_rows and sketch (binary, empty without shingles); stored."""
 
     def work(part):
@@ -122,26 +128,32 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     found = map_texts(docs, work, "doc_id long, node binary, sketch binary")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("sketch").alias("sketch"))
-    return stored(nodes, "minhash-nodes")
+    return run.stored(nodes, "nodes")
+
+
+def band_values(sketches_of: list[bytes]) -> np.ndarray:
+    """The 64-bit values of the bands of sketches, one row each."""
+    both = np.frombuffer(b"".join(sketches_of), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * GOLDEN, both.shape[:2]).copy()
+    for k in range(ROWS):
+        value = mixed(value * GOLDEN + both[:, :, k] + np.uint64(k + 1))
+    return value.view(np.int64)
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): a 64-bit value per band of each node."""
+    """(bucket, band, node): a 64-bit value per band of each node."""
 
     def run(batches):
         for batch in batches:
             sketch = batch.column("sketch").to_pylist()
             keep = [k for k, s in enumerate(sketch) if s]
-            if not keep:
-                continue
-            both = np.frombuffer(b"".join(sketch[k] for k in keep), np.uint32).reshape(len(keep), BANDS, ROWS).astype(np.uint64)
-            value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * GOLDEN, both.shape[:2]).copy()
-            for k in range(ROWS):
-                value = mixed(value * GOLDEN + both[:, :, k] + np.uint64(k + 1))
-            node = batch.column("node").take(pa.array(np.repeat(keep, BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(value.ravel().view(np.int64)), node], names=["bucket", "node"])
+            if keep:
+                value = band_values([sketch[k] for k in keep])
+                node = batch.column("node").take(pa.array(np.repeat(keep, BANDS)))
+                band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keep)))
+                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), band, node], names=["bucket", "band", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
+    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, band int, node binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,41 +176,102 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text", "other").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, run: Scratch, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node in links (a, b): the least node reached. Labels move along links and are then
-    followed to their own labels, so a chain halves with each turn; every turn is stored."""
+    followed to their own labels, so a chain halves with each turn; every turn is stored. known: labels of fewer links."""
     both = links.union(links.select("b", "a")).toDF("a", "b")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "minhash-labels")
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
+    if known is not None:
+        before = known.withColumnRenamed("component", "before")
+        labels = labels.join(before, "node", "left").select("node", F.least("component", "before").alias("component"))
+    labels = run.stored(labels, "labels")
     while True:
+        changed = Observation()
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("other"))
         moved = labels.join(near.withColumnRenamed("a", "node"), "node").select(
             "node", F.least("component", "other").alias("component"), F.col("component").alias("was")
         )
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = moved.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was")
-        new = stored(new, "minhash-labels")
-        labels = new.select("node", "component")
-        if new.where(F.col("component") != F.col("was")).isEmpty():
+        # Counted in the stage that writes, whose tasks count once even when they are run again.
+        labels = run.stored(new.observe(changed, F.count_if(F.col("component") != F.col("was")).alias("n")), "labels").drop("was")
+        if not changed.get["n"]:
             return labels
 
 
-def open_buckets(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Buckets of several components as (bucket, n, leader, lead), and (bucket, node, component) of all members; both stored."""
-    known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    known = stored(known, "minhash-members")
+def marked(nodes: DataFrame) -> DataFrame:
+    """(node, m0 .. m5, bands): the low four bits of each register, and the values of all bands."""
+
+    def run(batches):
+        for batch in batches:
+            sketch = batch.column("sketch").to_pylist()
+            keep = [k for k, s in enumerate(sketch) if s]
+            if not keep:
+                continue
+            bits = np.frombuffer(b"".join(sketch[k] for k in keep), np.uint32).reshape(len(keep), MARKS, 16).astype(np.uint64) & np.uint64(15)
+            marks = (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            columns = [batch.column("node").take(pa.array(keep)), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS))]
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(band_values([sketch[k] for k in keep]).ravel()), BANDS)
+            columns.append(bands.cast(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["node", *(f"m{k}" for k in range(MARKS)), "bands"])
+
+    fields = ", ".join(f"m{k} long" for k in range(MARKS))
+    return nodes.select("node", "sketch").mapInArrow(run, f"node binary, {fields}, bands array<bigint>")
+
+
+def alike(one: str, two: str) -> Column:
+    """Whether enough marks agree: those of which no bit differs. Columns one + k and two + k."""
+    total = F.lit(0)
+    for k in range(MARKS):
+        x = F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total <= REGISTERS - AGREE
+
+
+def renamed(members: DataFrame, name: str, mark: str, *also: str) -> DataFrame:
+    """(bucket, name, marks, also...) for the other side of a join in buckets."""
+    return members.select("bucket", F.col("node").alias(name), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)], *also)
+
+
+def open_buckets(members: DataFrame, labels: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Buckets of several components as (bucket, n, lead, leader), and all members with their component; both stored.
+
+    leader is the bucket's centre, lead its component.
+    """
+    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = run.stored(known, "members")
     found = known.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("component").alias("lead"), F.max("component").alias("last"),
-        F.min(F.struct("component", "node"))["node"].alias("leader"),
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.max(F.struct("score", "node", "component")).alias("top"),
     )
-    return stored(found.where("lead <> last").drop("last"), "minhash-buckets"), known
+    found = found.where("low <> high").select("bucket", "n", F.col("top.component").alias("lead"), F.col("top.node").alias("leader"))
+    return run.stored(found, "buckets"), known
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b) with a < b, from (x, y)."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def across(buckets: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes of different components in each of the given buckets."""
-    mine = members.join(buckets.select("bucket"), "bucket")
-    other = mine.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    pairs = mine.join(other, "bucket").where((F.col("component") != F.col("other_component")) & (F.col("node") < F.col("other")))
-    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
+def strays(buckets: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node outside the centre's component with alike nodes of other components in its bucket. A pair comes
+    up once: in the bucket of the first band it shares (in divided buckets, of the first two)."""
+    inside = members.join(buckets.select("bucket", "lead"), "bucket")
+    outside = inside.where("component <> lead")
+    one = renamed(outside.withColumnRenamed("component", "cx"), "x", "p", "cx", "lead", "earlier")
+    two = renamed(inside.withColumnsRenamed({"component": "cy", "bands": "by"}), "y", "q", "cy", "by")
+    once = (F.col("cy") == F.col("lead")) | (F.col("x") < F.col("y"))
+    return ordered(one.join(two, (one.bucket == two.bucket) & (F.col("cx") != F.col("cy")) & once & alike("p", "q") & ~F.arrays_overlap("earlier", "by")))
+
+
+def from_leader(buckets: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's leader with alike nodes outside its component."""
+    inside = members.join(buckets.select("bucket", "lead", "leader"), "bucket")
+    one = renamed(inside.where("node = leader"), "x", "p")
+    two = renamed(inside.where("component <> lead"), "y", "q")
+    return ordered(one.join(two, (one.bucket == two.bucket) & alike("p", "q")))
 
 
 def text_filter(nodes: DataFrame) -> np.ndarray:
@@ -219,75 +292,76 @@ def in_filter(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
 
 
-def candidate_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def candidate_texts(docs: DataFrame, candidates: DataFrame, run: Scratch) -> DataFrame:
     """(node, text) once for each candidate; stored. The filter keeps most other texts out of the shuffle."""
     place = F.pmod(F.xxhash64(node_column()), F.lit(1 << FILTER_BITS))
     bits = text_filter(candidates)
     spread = docs.sparkSession.sparkContext.broadcast(bits)
     asked = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"), place.alias("place"))
 
-    def run(batches):
+    def hits(batches):
         for batch in batches:
             hit = in_filter(spread.value, batch.column("place").to_numpy().copy())
             yield batch.filter(pa.array(hit)).select(["node", "text"])
 
-    found = asked.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
-    return stored(found.join(candidates, "node", "left_semi"), "minhash-texts")
+    found = asked.mapInArrow(hits, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
+    return run.stored(found.join(candidates, "node", "left_semi"), "texts")
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) that connect all similar nodes: a spanning part of them; None if no two nodes share a band."""
+def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | None:
+    """(node, component) of the nodes that are linked, from as many verified links as connect them; None if there are none."""
     bands = banded(nodes)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    shared = stored(shared.select("bucket", "leader"), "minhash-buckets")
-    members = stored(bands.join(shared, "bucket"), "minhash-members")
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(star, "minhash-pairs")
-    if pairs.isEmpty():
+    shared = run.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    inside = run.stored(bands.join(shared, "bucket"), "inside")
+    scores = inside.groupBy("node").agg(F.sum("n").alias("score"))
+    members = run.stored(inside.drop("n").join(marked(nodes).join(scores, "node"), "node"), "members")
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
+    led = run.stored(members.join(run.stored(leaders, "leaders"), "bucket"), "members")
+    one = renamed(led.where("node = leader"), "x", "p")
+    two = renamed(led.where("node <> leader"), "y", "q")
+    star = run.stored(ordered(one.join(two, (one.bucket == two.bucket) & alike("p", "q"))).distinct(), "pairs")
+    if star.isEmpty():
         return None
-    candidates = stored(members.select("node").distinct(), "minhash-candidates")
-    texts = candidate_texts(docs, candidates)
-    links = stored(verified(pairs, texts), "minhash-links")
-
-    # Buckets that the stars have left in several components.
-    members = members.select("bucket", "node")
-    labels = components(links)
-    buckets, known = open_buckets(members, labels)
-    small = across(buckets.where(F.col("n") <= SMALL_BUCKET), known)
-    large = stored(known.join(buckets.where(F.col("n") > SMALL_BUCKET).select("bucket"), "bucket"), "minhash-large")
-    more = [small]
-    if not large.isEmpty():
-        # The same nodes by pairs of shared bands: a node of a large bucket with each of its other shared bands.
-        second = members.select(F.col("bucket").alias("second"), "node")
-        twice = large.join(second, "node").where(F.col("bucket") != F.col("second"))
-        key = F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))
-        divided = twice.select(key.alias("bucket"), "node").distinct()
-        buckets, known = open_buckets(divided, labels)
-        more.append(across(buckets.where(F.col("n") <= SMALL_BUCKET), known))
-        rest = known.join(buckets.where(F.col("n") > SMALL_BUCKET), "bucket")
-        first = rest.where("component <> lead").select(F.col("leader").alias("x"), F.col("node").alias("y"))
-        more.append(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    fresh = more[0]
-    for other in more[1:]:
-        fresh = fresh.union(other)
-    again = stored(fresh.distinct().join(pairs.union(pairs.select("b", "a")).toDF("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
-    if again.isEmpty():
-        return links
-    links = stored(links.union(verified(again, texts)), "minhash-links")
+    texts = candidate_texts(docs, run.stored(members.select("node").distinct(), "candidates"), run)
+    links = run.stored(verified(star, texts), "links")
+    done, labels = star, components(links, run)
+
+    def tried(pairs: list[DataFrame]) -> bool:
+        """Verifies pairs that have not been; whether there are new links."""
+        nonlocal links, labels, done
+        fresh = pairs[0]
+        for other in pairs[1:]:
+            fresh = fresh.union(other)
+        fresh = run.stored(fresh.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            return False
+        found = run.stored(verified(fresh, texts), "links")
+        done = done.union(fresh)
+        if found.isEmpty():
+            return False
+        links = links.union(found)
+        labels = components(links, run, labels)
+        return True
+
+    # Buckets that the stars have left in several components. earlier: the node's bands before that of the bucket.
+    members = members.withColumn("earlier", F.slice("bands", 1, F.col("band")))
+    buckets, known = open_buckets(members, labels, run)
+    pairs = [strays(buckets.where(F.col("n") <= LARGE_BUCKET), known)]
+    large = run.stored(known.join(buckets.where(F.col("n") > LARGE_BUCKET).select("bucket"), "bucket"), "large")
     if large.isEmpty():
-        return links
-    # What is still large and divided: every node outside the first component against all nodes of the bucket.
-    labels = components(links)
-    buckets, known = open_buckets(divided, labels)
-    buckets = buckets.where(F.col("n") > SMALL_BUCKET)
-    if buckets.isEmpty():
-        return links
-    inside = known.join(buckets.select("bucket", "lead"), "bucket")
-    stray = inside.where("component <> lead").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    rest = stray.join(known, "bucket").where(F.col("cx") != F.col("component"))
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = rest.join(again, ["a", "b"], "left_anti")
-    return stored(links.union(verified(stored(rest, "minhash-pairs"), texts)), "minhash-links")
+        tried(pairs)
+        return labels
+    # A node of a large bucket with each of its later bands that other nodes share.
+    second = inside.select(F.col("bucket").alias("second"), F.col("band").alias("later"), "node")
+    divided = large.drop("component").join(second, "node").where("later > band")
+    earlier = F.filter(F.slice("bands", 1, F.col("later")), lambda v: v != F.col("bucket"))
+    divided = divided.withColumn("earlier", earlier).withColumn("bucket", F.xxhash64("bucket", "second")).drop("second", "later")
+    buckets, known = open_buckets(divided, labels, run)
+    pairs.append(from_leader(buckets, known))
+    if tried(pairs):
+        buckets, known = open_buckets(known.drop("component"), labels, run)
+    tried([strays(buckets, known)])
+    return labels
 
 
 def node_classes(docs: DataFrame) -> DataFrame:
@@ -295,24 +369,28 @@ def node_classes(docs: DataFrame) -> DataFrame:
 
     class_id is the least doc_id of the class, keeper tells the node that has it, linked a node with other nodes in its class.
     """
-    prepare(docs.sparkSession)
-    nodes = sketched(docs)
-    links = near_links(docs, nodes)
+    run = Scratch(prepare(docs.sparkSession), "minhash")
+    nodes = sketched(docs, run)
+    labels = connected(docs, nodes, run)
     plain = nodes.select("node", "rep", "n_rows")
-    if links is None:
-        return plain.select("*", F.col("rep").alias("class_id"), F.lit(True).alias("keeper"), F.lit(False).alias("linked"))
-    labels = components(links)
-    linked = stored(labels.join(plain, "node"), "minhash-linked")
+    if labels is None:
+        classes = plain.select("*", F.col("rep").alias("class_id"), F.lit(True).alias("keeper"), F.lit(False).alias("linked"))
+        classes = stored(classes, "minhash-classes")
+        run.drop()
+        return classes
+    linked = run.stored(labels.join(plain, "node"), "linked")
     first = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("first"))
-    first = stored(first.select("component", F.col("first.rep").alias("class_id"), F.col("first.node").alias("first_node")), "minhash-classes")
-    of = stored(linked.join(first, "component").select("node", "class_id", "first_node"), "minhash-classes")
-    return stored(
+    first = run.stored(first.select("component", F.col("first.rep").alias("class_id"), F.col("first.node").alias("first_node")), "classes")
+    of = run.stored(linked.join(first, "component").select("node", "class_id", "first_node"), "classes")
+    classes = stored(
         plain.join(of, "node", "left").select(
             "node", "rep", "n_rows", F.coalesce("class_id", "rep").alias("class_id"),
             F.coalesce(F.col("node") == F.col("first_node"), F.lit(True)).alias("keeper"), F.col("first_node").isNotNull().alias("linked"),
         ),
         "minhash-classes",
     )
+    run.drop()
+    return classes
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -10,17 +10,18 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Different pieces kept by a worker before it begins anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 1_500_000
 #: Different pieces the library encodes in one call, parted by a special token.
 JOINED_PIECES = 256
 
+#: Kept for a piece that may not be encoded apart from its text; no bytes, so joining it fails.
+ALONE = ""
 #: A piece made of these parts only, none empty, may be cut between them: words, marks and line ends never share a token there.
 PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,!?;:|#*$%&]+|\n")
 
@@ -43,7 +44,7 @@ class PieceEncoder:
             self.mode, self.special = way_to_cut(json.load(file))
         self.mark = self.special[0] if self.special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
-        self.kept: dict[str, bytes | None] = {}
+        self.kept: dict[str, bytes | str] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
@@ -51,7 +52,22 @@ class PieceEncoder:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         pieces = [self.cut(text) for text in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(self.kept))
+        # One look-up a piece: the table is far larger than the processor's caches.
+        found = [list(map(self.kept.get, parts)) for parts in pieces]
+        new = {p for parts, ids in zip(pieces, found) if None in ids for p, i in zip(parts, ids) if i is None}
+        if new:
+            self.learn_all(new)
+        out = []
+        for text, parts, ids in zip(texts, pieces, found):
+            if None in ids:
+                ids = [self.kept[p] if i is None else i for p, i in zip(parts, ids)]
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a piece that may not stand alone
+                out.append(self.whole([text])[0])
+        return out
+
+    def learn_all(self, new: set[str]) -> None:
         parts = {piece: found for piece in new if not piece[1:].isalpha() and len(found := parts_of(piece)) > 1}
         words = list({word for found in parts.values() for word in found}.union(new).difference(parts, self.kept))
         for at in range(0, len(words), JOINED_PIECES):
@@ -59,14 +75,7 @@ class PieceEncoder:
         for piece, found in parts.items():
             self.kept[piece] = b"".join(map(self.kept.__getitem__, found))
         if self.mode == "ahead":  # a blank before other white space or at the end may belong to either side
-            self.kept.update((piece, None) for piece in words if piece[:1] == " " and (len(piece) == 1 or piece[1].isspace()))
-        get, out = self.kept.__getitem__, []
-        for text, parts in zip(texts, pieces):
-            try:
-                out.append(b"".join(map(get, parts)))
-            except TypeError:  # a piece that may not stand alone
-                out.append(self.whole([text])[0])
-        return out
+            self.kept.update((piece, ALONE) for piece in words if piece[:1] == " " and (len(piece) == 1 or piece[1].isspace()))
 
     def learn(self, new: list[str]) -> None:
         """Keeps the ids of pieces: the library treats what lies between special tokens independently."""
@@ -74,7 +83,7 @@ class PieceEncoder:
         if self.mark is None or joined.count(self.mark) >= len(new) or any(s in joined for s in self.special[1:]):
             self.kept.update(zip(new, self.whole(new)))
             if self.mode == "ahead":
-                self.kept.update((piece, None) for piece in new if any(s in piece for s in self.special))
+                self.kept.update((piece, ALONE) for piece in new if any(s in piece for s in self.special))
             return
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]

@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from compare import difference, duck
 from millrace.llm import fingerprints, minhash, pii, quality, sharding, toxicity
+from millrace.llm.common import Scratch
 from millrace.llm.minhash import probability_jaccard, shingles, sketches, weights
 
 SF = "/root/testdata/sf0.001"
@@ -63,10 +64,10 @@ def corpus(seed):
     return [" ".join(t) for t in out]
 
 
-@pytest.mark.parametrize("small", [24, 4])
-def test_near_duplicates_equal_brute_force(docs_of, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
-    texts = corpus(small)
+@pytest.mark.parametrize("large", [4096, 4])
+def test_near_duplicates_equal_brute_force(docs_of, monkeypatch, large):
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
+    texts = corpus(large)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(texts)).collect()}
     assert [got[k] for k in range(len(texts))] == classes_of(texts)
 
@@ -90,10 +91,10 @@ def test_probability_jaccard_of_plain_sets_is_jaccard():
 
 def test_marks_filter_counts_agreeing_registers(spark, docs_of):
     docs = docs_of(["a b c d e f g h", "a b c d e f g h i", "q r s t u v"])
-    rows = {r.node: r for r in minhash.marked(minhash.sketched(docs)).collect()}
+    rows = {r.node: r for r in minhash.marked(minhash.sketched(docs, Scratch(spark, "test"))).collect()}
     both = [rows[minhash.node_of(t)] for t in ("a b c d e f g h", "a b c d e f g h i")]
-    agree = sum((x >> 4 * k & 15) == (y >> 4 * k & 15) for x, y in zip(both[0][1:], both[1][1:]) for k in range(16))
-    frame = spark.createDataFrame([tuple(both[0][1:]) + tuple(both[1][1:])], ", ".join(f"{s}{k} long" for s in "pq" for k in range(6)))
+    agree = sum((x >> 4 * k & 15) == (y >> 4 * k & 15) for x, y in zip(both[0][1:7], both[1][1:7]) for k in range(16))
+    frame = spark.createDataFrame([tuple(both[0][1:7]) + tuple(both[1][1:7])], ", ".join(f"{s}{k} long" for s in "pq" for k in range(6)))
     assert frame.where(minhash.alike("p", "q")).count() == (agree >= minhash.AGREE)
 
 
