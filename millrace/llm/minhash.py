@@ -5,7 +5,7 @@ arrivals, at a rate of its weight, that go to random registers; a register keeps
 registers agree with the probability Jaccard similarity of the sets. A process ends when it is later than every register
 of its document, so long documents need little more than one arrival per shingle.
 
-Equal texts are one node from the start. Nodes that share a band (4 of 96 registers) are compared by their marks (4 bits of
+Equal texts are one node from the start. Nodes that share a band (4 of 256 registers, 24 bands) are compared by their marks (4 bits of
 each register, compared in the join itself), and pairs whose marks agree as those of similar texts do are verified:
 1. in every bucket each node with the bucket's centre only, the node that shares its bands with the most others over all
    its buckets (in a group of edited copies the original); then components are formed;
@@ -29,16 +29,17 @@ from millrace.llm.common import Scratch, fresh, map_texts, prepare, slices, stor
 from millrace.llm.scan import MASK64, mixed, windows, words_of
 
 SHINGLE = 5
-REGISTERS = 96
+#: Registers of a sketch; the first BANDS * ROWS make the bands, all of them the marks.
+REGISTERS = 256
 ROWS = 4
-BANDS = REGISTERS // ROWS
+BANDS = 24
 SIMILARITY = 0.8
 #: Buckets of more nodes are divided by a second band before nodes are compared one by one. It changes the plan only.
 LARGE_BUCKET = 4096
 #: Long integers of marks of a node, each with 4 bits of 16 registers.
 MARKS = REGISTERS // 16
-#: Marks that agree at least: for a similarity of 0.8 it is 78 on average, with a standard deviation of 3.8.
-AGREE = 62
+#: Marks that agree at least: for a similarity of 0.8 it is 208 on average, with a standard deviation of 6.2.
+AGREE = 183
 #: Bits of the filter that tells most texts without a candidate from the others; a set size, 16 MB.
 FILTER_BITS = 27
 
@@ -133,7 +134,8 @@ def sketched(docs: DataFrame, run: Scratch) -> DataFrame:
 
 def band_values(sketches_of: list[bytes]) -> np.ndarray:
     """The 64-bit values of the bands of sketches, one row each."""
-    both = np.frombuffer(b"".join(sketches_of), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    both = np.frombuffer(b"".join(sketches_of), np.uint32).reshape(-1, REGISTERS)[:, : BANDS * ROWS]
+    both = both.reshape(-1, BANDS, ROWS).astype(np.uint64)
     value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * GOLDEN, both.shape[:2]).copy()
     for k in range(ROWS):
         value = mixed(value * GOLDEN + both[:, :, k] + np.uint64(k + 1))
@@ -200,7 +202,7 @@ def components(links: DataFrame, run: Scratch, known: DataFrame | None = None) -
 
 
 def marked(nodes: DataFrame) -> DataFrame:
-    """(node, m0 .. m5, bands): the low four bits of each register, and the values of all bands."""
+    """(node, m0 .. m15, bands): the low four bits of each register, and the values of all bands."""
 
     def run(batches):
         for batch in batches:
@@ -255,23 +257,33 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def strays(buckets: DataFrame, members: DataFrame) -> DataFrame:
+def strays(buckets: DataFrame, members: DataFrame, marks: DataFrame, run: Scratch) -> DataFrame:
     """Pairs (a, b) of each node outside the centre's component with alike nodes of other components in its bucket. A pair comes
     up once: in the bucket of the first band it shares (in divided buckets, of the first two)."""
-    inside = members.join(buckets.select("bucket", "lead"), "bucket")
-    outside = inside.where("component <> lead")
+    inside = run.stored(members.join(buckets.select("bucket", "lead"), "bucket").join(marks, "node"), "inside")
+    outside = inside.where("component <> lead").withColumn("earlier", F.slice("bands", 1, F.col("band")))
+    if "later" in members.columns:
+        bands = F.slice("bands", 1, F.col("later"))
+        outside = outside.withColumn("earlier", F.filter(bands, lambda v: v != F.col("first")))
     one = renamed(outside.withColumnRenamed("component", "cx"), "x", "p", "cx", "lead", "earlier")
     two = renamed(inside.withColumnsRenamed({"component": "cy", "bands": "by"}), "y", "q", "cy", "by")
     once = (F.col("cy") == F.col("lead")) | (F.col("x") < F.col("y"))
-    return ordered(one.join(two, (one.bucket == two.bucket) & (F.col("cx") != F.col("cy")) & once & alike("p", "q") & ~F.arrays_overlap("earlier", "by")))
+    same = one.bucket == two.bucket
+    return ordered(one.join(two, same & (F.col("cx") != F.col("cy")) & once & alike("p", "q") & ~F.arrays_overlap("earlier", "by")))
+
+
+def alike_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those (a, b) of stored pairs that are alike."""
+    for name, mark in (("a", "p"), ("b", "q")):
+        side = marks.select(F.col("node").alias(name), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)])
+        pairs = pairs.join(side, name)
+    return pairs.where(alike("p", "q")).select("a", "b")
 
 
 def from_leader(buckets: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's leader with alike nodes outside its component."""
-    inside = members.join(buckets.select("bucket", "lead", "leader"), "bucket")
-    one = renamed(inside.where("node = leader"), "x", "p")
-    two = renamed(inside.where("component <> lead"), "y", "q")
-    return ordered(one.join(two, (one.bucket == two.bucket) & alike("p", "q")))
+    """Pairs (a, b) of each bucket's centre with the nodes outside its component."""
+    outside = members.join(buckets.select("bucket", "lead", "leader"), "bucket").where("component <> lead")
+    return ordered(outside.select(F.col("leader").alias("x"), F.col("node").alias("y")))
 
 
 def text_filter(nodes: DataFrame) -> np.ndarray:
@@ -309,19 +321,19 @@ def candidate_texts(docs: DataFrame, candidates: DataFrame, run: Scratch) -> Dat
 
 
 def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | None:
-    """(node, component) of the nodes that are linked, from as many verified links as connect them; None if there are none."""
+    """(node, component) of the nodes that are linked, from as many verified links as connect them; None if no nodes share a band."""
     bands = banded(nodes)
     shared = run.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = run.stored(bands.join(shared, "bucket"), "inside")
-    scores = inside.groupBy("node").agg(F.sum("n").alias("score"))
-    members = run.stored(inside.drop("n").join(marked(nodes).join(scores, "node"), "node"), "members")
-    leaders = members.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
-    led = run.stored(members.join(run.stored(leaders, "leaders"), "bucket"), "members")
-    one = renamed(led.where("node = leader"), "x", "p")
-    two = renamed(led.where("node <> leader"), "y", "q")
-    star = run.stored(ordered(one.join(two, (one.bucket == two.bucket) & alike("p", "q"))).distinct(), "pairs")
-    if star.isEmpty():
+    if inside.isEmpty():
         return None
+    scores = inside.groupBy("node").agg(F.sum("n").alias("score"))
+    members = run.stored(inside.drop("n").join(run.stored(scores, "scores"), "node"), "members")
+    leaders = run.stored(members.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader")), "leaders")
+    marks = run.stored(marked(nodes).join(scores.select("node"), "node"), "marks")
+    led = members.join(leaders, "bucket").where("node <> leader")
+    star = run.stored(ordered(led.select(F.col("leader").alias("x"), F.col("node").alias("y"))).distinct(), "pairs")
+    star = run.stored(alike_pairs(star, marks), "pairs")
     texts = candidate_texts(docs, run.stored(members.select("node").distinct(), "candidates"), run)
     links = run.stored(verified(star, texts), "links")
     done, labels = star, components(links, run)
@@ -343,10 +355,9 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
         labels = components(links, run, labels)
         return True
 
-    # Buckets that the stars have left in several components. earlier: the node's bands before that of the bucket.
-    members = members.withColumn("earlier", F.slice("bands", 1, F.col("band")))
+    # Buckets that the stars have left in several components.
     buckets, known = open_buckets(members, labels, run)
-    pairs = [strays(buckets.where(F.col("n") <= LARGE_BUCKET), known)]
+    pairs = [strays(buckets.where(F.col("n") <= LARGE_BUCKET), known, marks, run)]
     large = run.stored(known.join(buckets.where(F.col("n") > LARGE_BUCKET).select("bucket"), "bucket"), "large")
     if large.isEmpty():
         tried(pairs)
@@ -354,13 +365,12 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
     # A node of a large bucket with each of its later bands that other nodes share.
     second = inside.select(F.col("bucket").alias("second"), F.col("band").alias("later"), "node")
     divided = large.drop("component").join(second, "node").where("later > band")
-    earlier = F.filter(F.slice("bands", 1, F.col("later")), lambda v: v != F.col("bucket"))
-    divided = divided.withColumn("earlier", earlier).withColumn("bucket", F.xxhash64("bucket", "second")).drop("second", "later")
+    divided = divided.withColumn("first", F.col("bucket")).withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
     buckets, known = open_buckets(divided, labels, run)
-    pairs.append(from_leader(buckets, known))
+    pairs.append(alike_pairs(run.stored(from_leader(buckets, known).distinct(), "pairs"), marks))
     if tried(pairs):
         buckets, known = open_buckets(known.drop("component"), labels, run)
-    tried([strays(buckets, known)])
+    tried([strays(buckets, known, marks, run)])
     return labels
 
 

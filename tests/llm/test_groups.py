@@ -93,8 +93,8 @@ def test_marks_filter_counts_agreeing_registers(spark, docs_of):
     docs = docs_of(["a b c d e f g h", "a b c d e f g h i", "q r s t u v"])
     rows = {r.node: r for r in minhash.marked(minhash.sketched(docs, Scratch(spark, "test"))).collect()}
     both = [rows[minhash.node_of(t)] for t in ("a b c d e f g h", "a b c d e f g h i")]
-    agree = sum((x >> 4 * k & 15) == (y >> 4 * k & 15) for x, y in zip(both[0][1:7], both[1][1:7]) for k in range(16))
-    frame = spark.createDataFrame([tuple(both[0][1:7]) + tuple(both[1][1:7])], ", ".join(f"{s}{k} long" for s in "pq" for k in range(6)))
+    agree = sum((x >> 4 * k & 15) == (y >> 4 * k & 15) for x, y in zip(both[0][1:17], both[1][1:17]) for k in range(16))
+    frame = spark.createDataFrame([tuple(both[0][1:17]) + tuple(both[1][1:17])], ", ".join(f"{s}{k} long" for s in "pq" for k in range(16)))
     assert frame.where(minhash.alike("p", "q")).count() == (agree >= minhash.AGREE)
 
 
