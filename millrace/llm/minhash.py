@@ -5,6 +5,9 @@ arrivals, at a rate of its weight, that go to random registers; a register keeps
 registers agree with the probability Jaccard similarity of the sets. A process ends when it is later than every register
 of its document, so long documents need little more than one arrival per shingle.
 
+A text with repeated shingles has a second, plain sketch, with all weights 1, whose registers agree with the Jaccard similarity; without
+repeats the two are equal. Both have bands and marks, so that pairs similar by either measure are found.
+
 Equal texts are one node from the start. Nodes that share a band (4 of 256 registers, 24 bands) are compared by their marks (4 bits of
 each register, compared in the join itself), and pairs whose marks agree as those of similar texts do are verified:
 1. in every bucket each node with the bucket's centre only, the node that shares its bands with the most others over all
@@ -117,7 +120,8 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
 
 
 def sketched(docs: DataFrame, run: Scratch) -> DataFrame:
-    """node (of each different text), rep (least doc_id), n_rows and sketch (binary, empty without shingles); stored."""
+    """node (of each different text), rep (least doc_id), n_rows, sketch (binary, empty without shingles) and plain (the sketch
+    with weights 1, empty if no shingle is repeated, since the two are equal then); stored."""
 
     def work(part):
         texts = part.column("text")
@@ -125,13 +129,30 @@ def sketched(docs: DataFrame, run: Scratch) -> DataFrame:
         found = sketches(row, shingle, weights(n), part.num_rows)
         some = np.bincount(row, minlength=part.num_rows) > 0
         sketch = [r.tobytes() if s else b"" for r, s in zip(found, some.tolist())]
-        return {"doc_id": part.column("doc_id"), "node": [node_of(t) for t in texts.to_pylist()], "sketch": sketch}
-
-    found = map_texts(docs, work, "doc_id long, node binary, sketch binary")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.first("sketch").alias("sketch"))
+        repeats = np.bincount(row[n > 1], minlength=part.num_rows) > 0
+        place, of = np.cumsum(repeats) - 1, repeats[row]
+        alone = sketches(place[row[of]], shingle[of], np.ones(of.sum()), int(repeats.sum()))
+        plain = [alone[k].tobytes() if r else b"" for k, r in zip(place.tolist(), repeats.tolist())]
+        return {"doc_id": part.column("doc_id"), "node": [node_of(t) for t in texts.to_pylist()], "sketch": sketch, "plain": plain}
+
+    found = map_texts(docs, work, "doc_id long, node binary, sketch binary, plain binary")
+    first = [F.first(name).alias(name) for name in ("sketch", "plain")]
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), *first)
     return run.stored(nodes, "nodes")
 
 
+def of_kinds(nodes: DataFrame) -> DataFrame:
+    """(node, kind, sketch) of each sketch: kind 0 is both in one, 1 the weighted and 2 the plain one of a text with repeats."""
+    one, two = (F.struct(F.lit(k).alias("kind"), F.col(name).alias("sketch")) for k, name in ((1, "sketch"), (2, "plain")))
+    both = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("sketch"))
+    return nodes.select("node", F.inline(F.when(F.length("plain") > 0, F.array(one, two)).otherwise(F.array(both))))
+
+
+def comparable(one: str, two: str) -> Column:
+    """Whether sketches of these kinds estimate the same similarity: all but weighted and plain."""
+    return F.col(one).bitwiseOR(F.col(two)) != 3
+
+
 def band_values(sketches_of: list[bytes]) -> np.ndarray:
     """The 64-bit values of the bands of sketches, one row each."""
     both = np.frombuffer(b"".join(sketches_of), np.uint32).reshape(-1, REGISTERS)[:, : BANDS * ROWS]
@@ -143,7 +164,7 @@ def band_values(sketches_of: list[bytes]) -> np.ndarray:
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, node): a 64-bit value per band of each node."""
+    """(bucket, band, node, kind): a 64-bit value per band of each sketch."""
 
     def run(batches):
         for batch in batches:
@@ -151,11 +172,11 @@ def banded(nodes: DataFrame) -> DataFrame:
             keep = [k for k, s in enumerate(sketch) if s]
             if keep:
                 value = band_values([sketch[k] for k in keep])
-                node = batch.column("node").take(pa.array(np.repeat(keep, BANDS)))
+                node, kind = (batch.column(name).take(pa.array(np.repeat(keep, BANDS))) for name in ("node", "kind"))
                 band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keep)))
-                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), band, node], names=["bucket", "band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), band, node, kind], names=["bucket", "band", "node", "kind"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, band int, node binary")
+    return of_kinds(nodes).mapInArrow(run, "bucket long, band int, node binary, kind int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,7 +223,7 @@ def components(links: DataFrame, run: Scratch, known: DataFrame | None = None) -
 
 
 def marked(nodes: DataFrame) -> DataFrame:
-    """(node, m0 .. m15, bands): the low four bits of each register, and the values of all bands."""
+    """(node, m0 .. m15, bands, kind) of each sketch: the low four bits of each register, and the values of all bands."""
 
     def run(batches):
         for batch in batches:
@@ -214,11 +235,11 @@ def marked(nodes: DataFrame) -> DataFrame:
             marks = (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
             columns = [batch.column("node").take(pa.array(keep)), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS))]
             bands = pa.FixedSizeListArray.from_arrays(pa.array(band_values([sketch[k] for k in keep]).ravel()), BANDS)
-            columns.append(bands.cast(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["node", *(f"m{k}" for k in range(MARKS)), "bands"])
+            columns += [bands.cast(pa.list_(pa.int64())), batch.column("kind").take(pa.array(keep))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", *(f"m{k}" for k in range(MARKS)), "bands", "kind"])
 
     fields = ", ".join(f"m{k} long" for k in range(MARKS))
-    return nodes.select("node", "sketch").mapInArrow(run, f"node binary, {fields}, bands array<bigint>")
+    return of_kinds(nodes).mapInArrow(run, f"node binary, {fields}, bands array<bigint>, kind int")
 
 
 def alike(one: str, two: str) -> Column:
@@ -258,26 +279,26 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def strays(buckets: DataFrame, members: DataFrame, marks: DataFrame, run: Scratch) -> DataFrame:
-    """Pairs (a, b) of each node outside the centre's component with alike nodes of other components in its bucket. A pair comes
-    up once: in the bucket of the first band it shares (in divided buckets, of the first two)."""
-    inside = run.stored(members.join(buckets.select("bucket", "lead"), "bucket").join(marks, "node"), "inside")
+    """Pairs (a, b) of each node outside the centre's component with alike nodes of other components in its bucket. A pair of
+    sketches comes up once: in the bucket of the first band it shares (in divided buckets, of the first two)."""
+    inside = run.stored(members.join(buckets.select("bucket", "lead"), "bucket").join(marks, ["node", "kind"]), "inside")
     outside = inside.where("component <> lead").withColumn("earlier", F.slice("bands", 1, F.col("band")))
     if "later" in members.columns:
         bands = F.slice("bands", 1, F.col("later"))
         outside = outside.withColumn("earlier", F.filter(bands, lambda v: v != F.col("first")))
-    one = renamed(outside.withColumnRenamed("component", "cx"), "x", "p", "cx", "lead", "earlier")
-    two = renamed(inside.withColumnsRenamed({"component": "cy", "bands": "by"}), "y", "q", "cy", "by")
+    one = renamed(outside.withColumnsRenamed({"component": "cx", "kind": "kx"}), "x", "p", "cx", "kx", "lead", "earlier")
+    two = renamed(inside.withColumnsRenamed({"component": "cy", "kind": "ky", "bands": "by"}), "y", "q", "cy", "ky", "by")
     once = (F.col("cy") == F.col("lead")) | (F.col("x") < F.col("y"))
-    same = one.bucket == two.bucket
+    same = (one.bucket == two.bucket) & comparable("kx", "ky")
     return ordered(one.join(two, same & (F.col("cx") != F.col("cy")) & once & alike("p", "q") & ~F.arrays_overlap("earlier", "by")))
 
 
 def alike_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those (a, b) of stored pairs that are alike."""
+    """Those (a, b) of stored pairs that are alike by their weighted or by their plain sketches."""
     for name, mark in (("a", "p"), ("b", "q")):
-        side = marks.select(F.col("node").alias(name), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)])
+        side = marks.select(F.col("node").alias(name), F.col("kind").alias(f"k{name}"), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)])
         pairs = pairs.join(side, name)
-    return pairs.where(alike("p", "q")).select("a", "b")
+    return pairs.where(comparable("ka", "kb") & alike("p", "q")).select("a", "b").distinct()
 
 
 def from_leader(buckets: DataFrame, members: DataFrame) -> DataFrame:
@@ -323,7 +344,10 @@ def candidate_texts(docs: DataFrame, candidates: DataFrame, run: Scratch) -> Dat
 def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | None:
     """(node, component) of the nodes that are linked, from as many verified links as connect them; None if no nodes share a band."""
     bands = banded(nodes)
-    shared = run.stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    # At least two sketches of one similarity; those of one text are never both weighted or both plain.
+    counts = [F.count("*").alias("n"), F.count_if(F.col("kind") != 2).alias("weighted"), F.count_if(F.col("kind") != 1).alias("plain")]
+    shared = bands.groupBy("bucket").agg(*counts).where("weighted > 1 OR plain > 1").select("bucket", "n")
+    shared = run.stored(shared, "buckets")
     inside = run.stored(bands.join(shared, "bucket"), "inside")
     if inside.isEmpty():
         return None
@@ -363,8 +387,8 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
         tried(pairs)
         return labels
     # A node of a large bucket with each of its later bands that other nodes share.
-    second = inside.select(F.col("bucket").alias("second"), F.col("band").alias("later"), "node")
-    divided = large.drop("component").join(second, "node").where("later > band")
+    second = inside.select(F.col("bucket").alias("second"), F.col("band").alias("later"), "node", "kind")
+    divided = large.drop("component").join(second, ["node", "kind"]).where("later > band")
     divided = divided.withColumn("first", F.col("bucket")).withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
     buckets, known = open_buckets(divided, labels, run)
     pairs.append(alike_pairs(run.stored(from_leader(buckets, known).distinct(), "pairs"), marks))

@@ -72,6 +72,22 @@ def test_near_duplicates_equal_brute_force(docs_of, monkeypatch, large):
     assert [got[k] for k in range(len(texts))] == classes_of(texts)
 
 
+@pytest.mark.parametrize("large", [4096, 2])
+def test_texts_similar_by_plain_jaccard_only(docs_of, monkeypatch, large):
+    """A text against itself with a passage repeated many times: Jaccard is above 0.8, probability Jaccard far below."""
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
+    dice, texts = random.Random(5), []
+    for times in (60, 60, 60, 60, 20, 20, 20, 20):
+        base, passage = words(dice, 500), words(dice, 60)
+        texts += [" ".join(base), " ".join(base + passage * times), " ".join(passage * (times - 5) + base)]
+    row, shingle, n = shingles(pa.array(texts[:2]))
+    sets = [(shingle[row == k], weights(n[row == k])) for k in range(2)]
+    weighted, plain = probability_jaccard(*sets[0], *sets[1])
+    assert weighted < 0.65 and plain > 0.85
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == classes_of(texts)
+
+
 def test_sketches_estimate_the_similarity():
     dice = np.random.default_rng(2)
     x = dice.integers(0, 2**63, 400, dtype=np.uint64)
