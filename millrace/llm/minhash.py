@@ -14,7 +14,8 @@ each register, compared in the join itself), and pairs whose marks agree as thos
    its buckets (in a group of edited copies the original); then components are formed;
 2. buckets whose nodes lie in several components are looked at again: the nodes outside the centre's component are compared
    with all of the bucket, each pair in the first band it shares. Very large buckets are divided before by each second
-   band that nodes share, and have the parts' centres tried first.
+   band that nodes share and have the parts' centres tried first; what is still outside is compared in cells, a grid that
+   has every pair of the bucket once.
 So a group of copies costs a star and no pairs, and links between different components are not lost.
 A link needs a similarity of 0.8: exact probability Jaccard or exact Jaccard of the shingle sets.
 """
@@ -37,7 +38,8 @@ REGISTERS = 256
 ROWS = 4
 BANDS = 24
 SIMILARITY = 0.8
-#: Buckets of more nodes are divided by a second band before nodes are compared one by one. It changes the plan only.
+#: Buckets of more members have centres of their parts tried first and are compared in cells of about so many members by so
+#: many. It changes the plan only: no pair of a bucket is left out.
 LARGE_BUCKET = 4096
 #: Long integers of marks of a node, each with 4 bits of 16 registers.
 MARKS = REGISTERS // 16
@@ -278,14 +280,18 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def strays(buckets: DataFrame, members: DataFrame, marks: DataFrame, run: Scratch) -> DataFrame:
+def strays(buckets: DataFrame, members: DataFrame, marks: DataFrame, run: Scratch, cells: bool = False) -> DataFrame:
     """Pairs (a, b) of each node outside the centre's component with alike nodes of other components in its bucket. A pair of
-    sketches comes up once: in the bucket of the first band it shares (in divided buckets, of the first two)."""
-    inside = run.stored(members.join(buckets.select("bucket", "lead"), "bucket").join(marks, ["node", "kind"]), "inside")
+    sketches comes up once: in the bucket of the first band it shares. With cells a bucket of n members is a grid of
+    n / LARGE_BUCKET rows and columns: a member has one row and one column, so each pair meets in one cell."""
+    kept = buckets.select("bucket", "lead", F.ceil(F.col("n") / LARGE_BUCKET).cast("int").alias("parts"))
+    inside = run.stored(members.join(kept, "bucket").join(marks, ["node", "kind"]), "inside")
     outside = inside.where("component <> lead").withColumn("earlier", F.slice("bands", 1, F.col("band")))
-    if "later" in members.columns:
-        bands = F.slice("bands", 1, F.col("later"))
-        outside = outside.withColumn("earlier", F.filter(bands, lambda v: v != F.col("first")))
+    if cells:
+        own, others = F.pmod(F.xxhash64("node"), "parts"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        outside = outside.withColumn("row", own).withColumn("column", others)
+        inside = inside.withColumn("column", own).withColumn("row", others)
+        outside, inside = (side.withColumn("bucket", F.struct("bucket", F.col("row").cast("int"), F.col("column").cast("int"))) for side in (outside, inside))
     one = renamed(outside.withColumnsRenamed({"component": "cx", "kind": "kx"}), "x", "p", "cx", "kx", "lead", "earlier")
     two = renamed(inside.withColumnsRenamed({"component": "cy", "kind": "ky", "bands": "by"}), "y", "q", "cy", "ky", "by")
     once = (F.col("cy") == F.col("lead")) | (F.col("x") < F.col("y"))
@@ -389,12 +395,13 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
     # A node of a large bucket with each of its later bands that other nodes share.
     second = inside.select(F.col("bucket").alias("second"), F.col("band").alias("later"), "node", "kind")
     divided = large.drop("component").join(second, ["node", "kind"]).where("later > band")
-    divided = divided.withColumn("first", F.col("bucket")).withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
+    divided = divided.withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
     buckets, known = open_buckets(divided, labels, run)
     pairs.append(alike_pairs(run.stored(from_leader(buckets, known).distinct(), "pairs"), marks))
-    if tried(pairs):
-        buckets, known = open_buckets(known.drop("component"), labels, run)
-    tried([strays(buckets, known, marks, run)])
+    tried(pairs)
+    # Whatever the parts' centres have left in several components, whether or not it shares a second band.
+    buckets, known = open_buckets(large.drop("component"), labels, run)
+    tried([strays(buckets, known, marks, run, cells=True)])
     return labels
 
 

@@ -88,6 +88,25 @@ def test_texts_similar_by_plain_jaccard_only(docs_of, monkeypatch, large):
     assert [got[k] for k in range(len(texts))] == classes_of(texts)
 
 
+def test_large_buckets_lose_no_pair_that_shares_one_band(docs_of, monkeypatch):
+    """With one band only, no pair shares a second one: the classes must be those of buckets that are not large."""
+    every, found = minhash.banded, []
+    monkeypatch.setattr(minhash, "banded", lambda nodes: every(nodes).where("band = 0"))
+    dice = random.Random(1)
+    base, texts = words(dice, 200), []
+    for k in range(16):
+        # Pairs of copies that are alike to each other but not to those of other pairs.
+        text = list(base)
+        for at in range(10 + k, 200, 19):
+            text[at] = f"g{k}-{at}"
+        texts += [" ".join(text[:195] + [f"x{k}{j}"] * 2) for j in range(3)]
+    for large in (4096, 3):
+        monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
+        rows = minhash.near_duplicates(docs_of(texts)).collect()
+        found.append({r.doc_id: r.class_id for r in rows})
+    assert found[0] == found[1] and len(set(found[0].values())) < len(texts)
+
+
 def test_sketches_estimate_the_similarity():
     dice = np.random.default_rng(2)
     x = dice.integers(0, 2**63, 400, dtype=np.uint64)
