@@ -56,11 +56,15 @@ def arrival_job(
     return read_manifest(spark, manifest_path)
 
 
-def accepted_paths(spark: SparkSession, landing_zone: str, manifest: DataFrame) -> dict[str, list[tuple[str, str]]]:
+def accepted_paths(
+    spark: SparkSession, landing_zone: str, manifest: DataFrame, first: str | None = None, last: str | None = None
+) -> dict[str, list[tuple[str, str]]]:
     """(dt, path) of the accepted, unchanged files in dated folders of each source, in order. What a reader is given instead of
-    the folder, so that rejected files are never opened; it keeps the same list to plan its tasks."""
+    the folder, so that rejected files are never opened; it keeps the same list to plan its tasks. Only the days from `first`
+    to `last` are listed, if given."""
     found: dict[str, list[tuple[str, str]]] = {}
-    for row in arrival.accepted_now(manifest, landing.list_files(spark, landing_zone)).where("dt IS NOT NULL").toLocalIterator():
+    files = arrival.accepted_now(manifest, landing.list_files(spark, landing_zone, first, last))
+    for row in files.where(F.col("dt").isNotNull() & landing.in_days(F.col("dt"), first, last)).toLocalIterator():
         found.setdefault(row.source, []).append((row.dt, row.path))
     return {source: sorted(paths) for source, paths in found.items()}
 

@@ -15,6 +15,7 @@ from millrace.schemas import POS_HEADER
 from millrace.session import pin_session
 from millrace.sinks.tables import has_file_log, rebalanced, write_by_day
 from millrace.sources import raw
+from millrace.sources.landing import in_days
 from millrace.sources.tables import read_trusted_sales
 
 log = logging.getLogger(__name__)
@@ -46,6 +47,8 @@ def sales_job(
     compact: bool = False,
     manifest: DataFrame | None = None,
     pos_header: tuple[str, ...] | None = POS_HEADER,
+    first_day: str | None = None,
+    last_day: str | None = None,
 ) -> SalesRun:
     """Conform all raw sales and replace `sales_conformed`.
 
@@ -53,7 +56,8 @@ def sales_job(
     replaces good output. Reading, conforming, counting and writing are one pass over the files; nothing
     is cached. With `manifest`, `raw_zone` may be the landing zone itself: only the files the arrival check
     accepted, and that have not changed since, are opened. `pos_header` is the header that check was given;
-    None takes each file's own (of a raw zone).
+    None takes each file's own (of a raw zone). With `first_day` or `last_day` (as in dt) only the folders of these days are
+    listed and read, and only these days of `sales_conformed` are replaced; `sales` of the run is the whole table.
     """
     pin_session(spark)
     base, target = raw.folder(raw_zone), raw.folder(trusted_zone) + "sales_conformed/"
@@ -61,7 +65,7 @@ def sales_job(
         raise RuntimeError(f"{target} belongs to a file stream: what is written beside its log would not be read.")
     found = {}
     if manifest is not None:
-        accepted = accepted_paths(spark, raw_zone, manifest)
+        accepted = accepted_paths(spark, raw_zone, manifest, first_day, last_day)
         readers = {
             "pos": lambda paths: raw.read_pos(spark, base + "pos", False, pos_header or POS_HEADER, paths),
             "ecommerce": lambda paths: raw.read_order_lines(spark, base + "ecommerce", paths),
@@ -71,12 +75,12 @@ def sales_job(
                 found[source] = readers[source]([path for _, path in accepted[source]])
     else:
         readers = {
-            "pos": lambda path: raw.read_pos(spark, path, header=pos_header) if pos_header else raw.read_pos_variants(spark, path),
+            "pos": lambda path: raw.read_pos(spark, path, header=pos_header) if pos_header else raw.read_pos_variants(spark, path, first_day, last_day),
             "ecommerce": lambda path: raw.read_order_lines(spark, path),
         }
         for source in sources:
             if raw.source_exists(spark, base + source):
-                found[source] = readers[source](base + source)
+                found[source] = readers[source](base + source).where(in_days(F.col("dt"), first_day, last_day))
             else:
                 log.info("no dated folders under %s%s, source skipped", base, source)
     if not found:
@@ -93,7 +97,7 @@ def sales_job(
     sales = rebalanced(raw.union_by_name(parts)) if compact else raw.union_by_name(parts)
     # Observed in the stage that writes, whose tasks count once even when they are run again.
     sales = sales.observe(totals, *run_totals(SALES_PARSED))
-    write_by_day(sales, target)
+    write_by_day(sales, target, first_day, last_day)
 
     counts = dict(totals.get)
     run = SalesRun(

@@ -10,10 +10,27 @@ def rebalanced(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "dt")
 
 
-def write_by_day(rows: DataFrame, path: str) -> None:
+def write_by_day(rows: DataFrame, path: str, first: str | None = None, last: str | None = None) -> None:
     """One folder per dt. Raw files lie in dated folders, so a task holds few days and the rows can be
-    written where they were read, without a shuffle."""
-    rows.write.mode("overwrite").partitionBy("dt").parquet(path)
+    written where they were read, without a shuffle.
+
+    With `first` or `last` (the rows are of these days only) the other days stay; a day of the range without rows goes."""
+    writer = rows.write.mode("overwrite").partitionBy("dt")
+    if first is None and last is None:
+        writer.parquet(path)
+        return
+    spark = rows.sparkSession
+    store, root = _files(spark, path.rstrip("/"))
+    in_range = lambda day: (first is None or day >= first) and (last is None or day <= last)
+    place = lambda folder: [s for s in store.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("dt=")]
+    before = place(root) if store.exists(root) else []
+    files = {s.getPath().getName(): {f.getPath().getName() for f in store.listStatus(s.getPath())} for s in before if in_range(s.getPath().getName()[3:])}
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    for day in place(root):
+        name = day.getPath().getName()
+        # A day that was written again has none of its files of before.
+        if name in files and files[name] & {f.getPath().getName() for f in store.listStatus(day.getPath())}:
+            store.delete(day.getPath(), True)
 
 
 def write_whole(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -30,11 +30,17 @@ def canonical(path: Column) -> Column:
     return F.regexp_replace(plain, "^([A-Za-z0-9]+):/+", "$1:/")
 
 
-def list_files(spark: SparkSession, base: str) -> DataFrame:
+def in_days(day: Column, first: str | None, last: str | None) -> Column:
+    """Whether a day is in the range; a limit that is None is open."""
+    return (F.lit(first is None) | (day >= F.lit(first or ""))) & (F.lit(last is None) | (day <= F.lit(last or "")))
+
+
+def list_files(spark: SparkSession, base: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """All files below `base` with path, key relative to `base`, size and time of the last change.
 
     The first two levels (sources and days) are listed folder by folder, each day's folder as a whole by
-    one task: an order of magnitude more tasks than sources, and no action.
+    one task: an order of magnitude more tasks than sources, and no action. Of folders dt=..., only the days from
+    `first` to `last` are listed.
     """
     place = spark._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
     root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
@@ -43,7 +49,9 @@ def list_files(spark: SparkSession, base: str) -> DataFrame:
     found = spark.createDataFrame([(root, None, None, None)], LISTED)
     for deep in (False, False, True):
         found = found.mapInPandas(_lister(deep), LISTED)
-        found = found if deep else found.repartition(n)
+        if not deep:
+            day = F.regexp_extract("folder", "/dt=([^/]*)$", 1)
+            found = found.where(F.col("path").isNotNull() | (day == "") | in_days(day, first, last)).repartition(n)
     key = F.substr(F.col("path"), F.lit(len(root) + 2))
     return found.where("path IS NOT NULL").select("path", key.alias("key"), "size", "modified")
 

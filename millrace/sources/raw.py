@@ -60,9 +60,9 @@ def read_pos(
     return rows.select(*schemas.POS_HEADER, F.col("dt").cast("string"), "source_file")
 
 
-def pos_headers(spark: SparkSession, base: str) -> dict[tuple[str, ...], list[str]]:
+def pos_headers(spark: SparkSession, base: str, first: str | None = None, last: str | None = None) -> dict[tuple[str, ...], list[str]]:
     """The dated files below `base` by their header, blanks around the names left out. One small read a file."""
-    files = landing.list_files(spark, base).where(F.col("key").startswith("dt=") & (F.col("size") > 0))
+    files = landing.list_files(spark, base, first, last).where(F.col("key").startswith("dt=") & (F.col("size") > 0))
     line = F.split_part(F.regexp_replace(F.col("head"), "\r\n?", "\n"), F.lit("\n"), F.lit(1))
     names = F.transform(F.split(line, ","), lambda cell: F.trim(F.replace(cell, F.lit('"'), F.lit(""))))
     found: dict[tuple[str, ...], list[str]] = {}
@@ -71,11 +71,11 @@ def pos_headers(spark: SparkSession, base: str) -> dict[tuple[str, ...], list[st
     return {header: sorted(paths) for header, paths in sorted(found.items())}
 
 
-def read_pos_variants(spark: SparkSession, base: str) -> DataFrame:
+def read_pos_variants(spark: SparkSession, base: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """Store sales of a raw zone whose files differ in the order of their columns, in blanks around the names or
     in the payment type, which may be absent. A file without the other columns fails the job by name."""
     parts = []
-    for header, paths in pos_headers(spark, base).items():
+    for header, paths in pos_headers(spark, base, first, last).items():
         absent = [name for name in schemas.POS_REQUIRED if name not in header]
         if absent:
             raise ValueError(f"{paths[0]} lacks the columns: {', '.join(absent)}")

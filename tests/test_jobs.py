@@ -73,6 +73,19 @@ def test_sales_job_again_gives_the_same(spark, zones):
     assert content(sales_job(spark, *zones, compact=True).sales) == first
 
 
+def test_ranges_of_days_equal_one_run(spark, zones, tmp_path):
+    manifest = arrival_job(spark, zones[0], str(tmp_path / "manifest"))
+    want = content(sales_job(spark, zones[0], str(tmp_path / "one"), manifest=manifest).sales)
+    sales_job(spark, *zones, manifest=manifest, last_day="2026-09-17")
+    assert content(sales_job(spark, *zones, manifest=manifest, first_day="2026-09-18").sales) == want
+    # A day of the range that has no rows any more goes, as in a whole run; the days outside stay.
+    os.remove(os.path.join(zones[0], "pos/dt=2026-09-18/pos.csv"))
+    put(zones[0], {"pos/dt=2026-09-19/pos.csv": POS + pos_line(5)})
+    manifest = arrival_job(spark, zones[0], str(tmp_path / "manifest"))
+    want = content(sales_job(spark, zones[0], str(tmp_path / "one"), manifest=manifest).sales)
+    assert content(sales_job(spark, *zones, manifest=manifest, first_day="2026-09-18").sales) == want
+
+
 def test_one_source_is_enough(spark, tmp_path):
     put(str(tmp_path / "raw"), {key: text for key, text in RAW.items() if key.startswith("pos/")})
     run = sales_job(spark, str(tmp_path / "raw"), str(tmp_path / "trusted"))
