@@ -13,6 +13,8 @@ write_warc() writes records as gzipped WARC text through Spark's committer.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,18 @@ ENTITIES = {
     "#38": "&", "amp": "&",
 }
 
-#: (pattern, replacement), applied in this order; written so that Java's and RE2's engines agree.
+#: What no reader sees, in one pattern, so that whichever opens first closes first: a comment in a script does not hide the page.
+_RAW = "|".join(rf"{name}(?=[\s/>])[^>]*>.*?(?:</{name}(?=[\s/>])[^>]*>|\z)" for name in ("script", "style", "noscript"))
+HIDDEN = rf"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))|{_RAW})"
+#: A reference at the beginning of what follows an ampersand: 1 decimal, 2 hexadecimal, 3 name.
+REFERENCE = r"^(?:#0*([0-9]+);?|#[xX]0*([0-9A-Fa-f]+);?|([A-Za-z][A-Za-z0-9]*);)"
+#: All named characters of HTML, the frequent ones first, and what numbers 128 to 159 stand for. No-break spaces are blanks here.
+NAMED = {name: "" for name in ("amp", "nbsp", "lt", "gt", "quot", "apos")} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+NAMED |= {"nbsp": " ", "NonBreakingSpace": " "}
+WINDOWS_1252 = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160))
+
+#: (pattern, replacement) of the SQL, applied in this order, for pages without openings inside one another. The last two are those of
+#: plain_text too; written so that Java's and RE2's engines agree.
 STEPS = (
     (r"(?s)<!--.*?(?:-->|\z)", ""),
     (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", ""),
@@ -73,11 +86,39 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
     )
 
 
+def character(code: Column) -> Column:
+    """The character of a number, as browsers take it."""
+    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(wrong, F.lit("\ufffd")).when(code == 160, F.lit(" "))
+        .when(code.between(128, 159), F.substr(F.lit(WINDOWS_1252), (code - 127).cast("int"), F.lit(1))).otherwise(plain)
+    )
+
+
+def decoded(text: Column) -> Column:
+    """References as characters, each once: what a reference gives is not read again. Unknown names stay."""
+    named = F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in NAMED.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def one(part: Column) -> Column:
+        decimal, hexadecimal, name = (F.regexp_extract(part, REFERENCE, k) for k in (1, 2, 3))
+        beyond = F.lit("\ufffd")
+        to = (
+            F.when(name != "", F.element_at(named, name))
+            .when(decimal != "", F.when(F.length(decimal) > 7, beyond).otherwise(character(decimal.cast("bigint"))))
+            .when(hexadecimal != "", F.when(F.length(hexadecimal) > 6, beyond).otherwise(character(F.conv(hexadecimal, 16, 10).cast("bigint"))))
+        )
+        return F.coalesce(F.concat(to, F.regexp_replace(part, REFERENCE, "")), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&", -1)
+    joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
-    for pattern, to in STEPS:
+    for pattern, to in ((HIDDEN, ""), *STEPS[-2:]):
         html = F.regexp_replace(html, pattern, to)
-    for name, to in ENTITIES.items():
-        html = F.replace(html, F.lit(f"&{name};"), F.lit(to))
+    html = decoded(html)
     for pattern, to in SPACES:
         html = F.regexp_replace(html, pattern, to)
     return html

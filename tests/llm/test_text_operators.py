@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,40 @@ def test_warc_equals_sql(spark):
     assert difference(warc.op9_warc_derivatives(spark, SF), duck(SF), warc.oracle_sql()) is None
 
 
+class Reader(HTMLParser):
+    """The words of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.text = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+
+
+def test_plain_text_equals_a_parser(spark):
+    pages = [
+        "<p>one</p><script><!--\ntrack();\n</script><p>page text</p>",
+        "<p>a</p><script>if (x < '<!--') {}</script><p>b</p><!-- <script> --><p>c</p><style>/* <!-- */</style><p>d</p>",
+        "<p>l&#8217;&#x27;&#X2019;&eacute;&Eacute;&amp;lt; &#38;amp; &unknown; & &; &#; &#150; &#0; &#x110000; &#99999999999; &#128512;&hearts;&#65</p>",
+        "<p>x &vert;&equals;&comma;&NotEqualTilde;&AMP;</p>", "no reference", "", "&amp;", "a&#xA0;b",
+    ]
+    frame = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    got = [r.text for r in frame.orderBy("k").select(warc.plain_text(F.col("html")).alias("text")).collect()]
+    for page, text in zip(pages, got):
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert "".join(text.split()) == "".join("".join(reader.text).split())
+
+
 def test_warc_records_are_linked(spark, tmp_path):
     source = warc.responses(spark.createDataFrame([(1, "http://a/", "<title>T\n t</title><p>x &amp; y<!-- n --><script>s</script><b>z</b></p>")], "page_id long, url string, html string"))
     response = source.first()
