@@ -13,6 +13,8 @@ from millrace.session import shared_folder
 
 #: Texts are worked on in slices of about this many bytes; one longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Texts that are taken together where many share words.
+GATHER_BYTES = 8 << 20
 #: Rows of an Arrow batch between Spark and Python: bounds the batch where texts are long.
 BATCH_ROWS = 500
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -49,15 +51,30 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             yield batch.slice(start)
 
 
-def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """One output batch per slice of (doc_id, text): `work` gives its columns by name. No shuffle; a null text stays null."""
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = GATHER_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches joined and cut so that their texts have about `limit` bytes, for work that gains from seeing many texts at once."""
+    held, size = [], 0
+    for batch in slices(batches, limit, column):
+        more = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + more > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
+def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, cut: Callable = slices) -> DataFrame:
+    """One output batch per slice of (doc_id, text), as `cut` makes them: `work` gives its columns by name. No shuffle; a null
+    text stays null."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for part in slices(batches):
+        for part in cut(batches):
             columns = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) for f in fields], schema=fields)
 

@@ -124,8 +124,8 @@ class MultiIndex:
 
 
 def normalized(data: list[bytes], width: int, to: int | None = None) -> np.ndarray:
-    """Vectors of `width` doubles at length 1, with zeros after them if more columns are wanted."""
-    points = np.frombuffer(b"".join(data), "<f8").reshape(len(data), width)
+    """Vectors of `width` floats or doubles, as doubles at length 1, with zeros after them if more columns are wanted."""
+    points = np.stack([np.frombuffer(vector, f"<f{len(vector) // width}") for vector in data]).astype(float)
     points = points / np.abs(points).max(axis=1)[:, None]
     points = points / np.linalg.norm(points, axis=1)[:, None]
     return points if to is None or to == width else np.pad(points, ((0, 0), (0, to - width)))
@@ -134,7 +134,7 @@ def normalized(data: list[bytes], width: int, to: int | None = None) -> np.ndarr
 # ---- on Spark
 
 def entries(vectors: DataFrame) -> DataFrame:
-    """vec_id with _ENTRIES: key (hash of label and vector), label as text, number of components, vector as doubles. All null where the label or
+    """vec_id with _ENTRIES: key (hash of label and vector), label as text, number of components, vector as floats where they hold it exactly, else doubles. All null where the label or
     the vector is null, the vector is zero or empty, or a component is null or not finite: such vectors link with nothing."""
 
     def run(batches):
@@ -150,8 +150,10 @@ def entries(vectors: DataFrame) -> DataFrame:
                 if label is None or not np.isfinite(part).all() or not part.any():
                     out.append((None, None, None, None))
                     continue
-                data = part.astype("<f8").tobytes()
-                out.append((hashlib.blake2b(label.encode() + b"\0" + data, digest_size=16).digest(), label, width, data))
+                key = hashlib.blake2b(label.encode() + b"\0" + part.astype("<f8").tobytes(), digest_size=16).digest()
+                with np.errstate(over="ignore"):
+                    single = part.astype("<f4")
+                out.append((key, label, width, (single if (single == part).all() else part.astype("<f8")).tobytes()))
             columns = [batch.column("vec_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.string(), pa.int32(), pa.binary())))]
             yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "key", "label", "width", "vec"])
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import prepare, slices
+from millrace.llm.common import gathered, prepare
 from millrace.llm.tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -136,10 +136,12 @@ def packed(documents: Iterator[tuple], window: int = WINDOW, max_open: int = MAX
     yield from completed(levels.take_all(), window)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, max_open: int = MAX_OPEN) -> DataFrame:
     """One row per piece of a document: SCHEMA. A null text counts as empty; every document has at least its end id.
 
-    Rows without doc_id are packed like others. sequence_id = 2^32 x partition of the input + number in it, so
+    A stream that has more than `max_open` partially filled windows completes them by cutting and begins anew: a bound on
+    memory, by which no id is lost and only the places change. Repeated rows are packed each, very long texts fill
+    windows of their own first, an empty table gives no rows, further columns are not read. Rows without doc_id are packed like others. sequence_id = 2^32 x partition of the input + number in it, so
     it needs no pass over the result; offset counts the ids before the piece in its sequence.
     """
     prepare(docs.sparkSession)
@@ -152,13 +154,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
         base = TaskContext.get().partitionId() << 32
 
         def documents():
-            for part in slices(batches):
-                texts = part.column("text").fill_null("").to_pylist()
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
+            for part in gathered(batches):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").fill_null(""))):
                     yield doc, ids + end
 
         rows: list[tuple] = []
-        for number, pieces in enumerate(packed(documents(), window)):
+        for number, pieces in enumerate(packed(documents(), window, max_open)):
             offset = 0
             for size, doc, start, ids, tokens in pieces:
                 rows.append((doc, start, size, zlib.crc32(ids), tokens, base + number, offset))

@@ -18,9 +18,12 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import map_texts, prepare
+from millrace.llm.common import gathered, map_texts, prepare
+from millrace.llm.tokens import joined_of
 
 SPACE = "▁"
 #: Chunks of at most this many characters share an array.
@@ -238,29 +241,40 @@ class CheckedEncoder:
             self.ids[key] = ",".join(map(str, mine)).encode()
             self.text[key] = text
 
-    def chunks(self, text: str) -> list[str]:
+    def odd_chunks(self, text: str) -> list[str]:
+        """The chunks of a text that is not words with single blanks between."""
         if not text:
             return []
         if not self.model.apart or SPACE in text:
             return [text]
-        if text[0] == " " or text[-1] == " " or "  " in text:
-            return [chunk[1:] for chunk in re.findall(r" +[^ ]*", " " + text)]
-        return text.split(" ")
+        return [chunk[1:] for chunk in re.findall(r" +[^ ]*", " " + text)]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes, int]]:
-        """For each text: its ids in decimal, joined by commas, the bytes of its decoded text, and chunks the library corrected."""
+    def encode(self, texts: list[str] | pa.Array) -> list[tuple[bytes, bytes, int]]:
+        """For each text: its ids in decimal, joined by commas, the bytes of its decoded text, and chunks the library corrected.
+
+        Plain texts are split, their chunks told apart and the ids joined in arrays; only different chunks become Python objects.
+        """
         if len(self.ids) > KEPT_CHUNKS:
             for kept in (self.ids, self.text, self.corrected):
                 kept.clear()
-        split = [self.chunks(text) for text in texts]
-        new = set(chain.from_iterable(split)).difference(self.ids)
+        array = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = pc.or_(pc.match_substring_regex(array, "^ | $|  |^$"), pc.match_substring(array, SPACE)) if self.model.apart else pa.array([True] * len(array), pa.bool_())
+        split = pc.split_pattern(pc.if_else(odd, "", array), " ")
+        known = [self.odd_chunks(text) if is_odd else None for text, is_odd in zip(pc.if_else(odd, array, "").to_pylist(), odd.to_pylist())]
+        flat = split.flatten().dictionary_encode()
+        chunks, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        new = set(chain(chunks, *filter(None, known))).difference(self.ids)
         if new:
             self.learn(list(new))
-        ids, text, bad = self.ids.__getitem__, self.text.__getitem__, self.corrected
-        return [
-            (b",".join(map(ids, parts)), b"".join(map(text, parts))[1:], sum(map(bad.__contains__, parts)) if bad else 0)
-            for parts in split
-        ]
+        ids, text = ([kept[chunk] for chunk in chunks] for kept in (self.ids, self.text))
+        wrong = np.concatenate([[0], np.cumsum(np.array([chunk in self.corrected for chunk in chunks], bool)[codes])])
+        wrong = (wrong[offsets[1:]] - wrong[offsets[:-1]]).tolist()
+        out = [(a, b[1:], n) for a, b, n in zip(joined_of(ids, codes, offsets, b","), joined_of(text, codes, offsets), wrong)]
+        for k, parts in enumerate(known):
+            if parts is not None:
+                out[k] = (b",".join(map(self.ids.__getitem__, parts)), b"".join(map(self.text.__getitem__, parts))[1:], sum(map(self.corrected.__contains__, parts)))
+        return out
 
 
 _encoders: dict[str, CheckedEncoder] = {}
@@ -274,7 +288,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def work(part):
         if model not in _encoders:
             _encoders[model] = CheckedEncoder(model)
-        found = _encoders[model].encode(part.column("text").fill_null("").to_pylist())
+        found = _encoders[model].encode(part.column("text").fill_null(""))
         sha = lambda data: hashlib.sha256(data).hexdigest()
         return {
             "doc_id": part.column("doc_id"), "n_tokens": [ids.count(b",") + 1 if ids else 0 for ids, _, _ in found],
@@ -282,7 +296,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             "n_corrected": [n for _, _, n in found],
         }
 
-    return map_texts(docs, work, SCHEMA)
+    return map_texts(docs, work, SCHEMA, gathered)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

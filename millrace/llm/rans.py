@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare, slices
+from millrace.llm.common import gathered, prepare
 from millrace.llm.tokens import encoder, tokenizer_path
 from millrace.session import shared_folder
 
@@ -199,8 +199,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names), len(ids)
 
         size = 0
-        for batch in slices(batches):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").fill_null("").to_pylist())):
+        for batch in gathered(batches):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").fill_null(""))):
                 found.append(ids + end)
                 doc_ids.append(doc)
                 size += len(ids) // 4 + 1
@@ -219,7 +219,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
 
 def read_ids(spark, path: str) -> DataFrame:
     """Decodes a folder of segments: DOCUMENTS, one row per document; start counts the ids of all documents before it."""
-    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds a whole segment
+    prepare(spark)
     segments = spark.read.schema(SEGMENTS).parquet(path)
     # One row for each range of doc_id: as few as the partitions of the writing job.
     ends = segments.groupBy("part").agg(F.max(F.col("first") + F.col("n_tokens")).alias("n")).collect()
@@ -229,7 +229,8 @@ def read_ids(spark, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            # A row holds a whole segment: Spark bounds the batch by its bytes, and one row at a time is decoded.
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 data = Segment(row["data"]).decode().astype("<u4").tobytes()
                 sizes = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(sizes)
