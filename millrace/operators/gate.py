@@ -38,6 +38,12 @@ def curated(sales: DataFrame, duplicates: KeySet) -> DataFrame:
     return duplicates.drop(sales.select(*SALES_COLUMNS).filter(rules.passes_row_rules()))
 
 
+def outcomes(sales: DataFrame, duplicates: KeySet) -> DataFrame:
+    """All rows in the gate columns with `fail_reasons` and `outcome`, curated or quarantine: one pass for both."""
+    passes = F.col("fail_reasons") == ""
+    return gated(sales, duplicates).withColumn("outcome", F.when(passes, F.lit("curated")).otherwise(F.lit("quarantine")))
+
+
 def _first_failures(conditions: dict[str, Column], names: tuple[str, ...]) -> dict[str, Column]:
     """For each rule whether it fails while no earlier rule of `names` does."""
     first, clear = {}, F.lit(True)

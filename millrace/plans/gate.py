@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators import gate
-from millrace.sinks.tables import write_whole
+from millrace.schemas import QUARANTINE, SALES, SALES_COLUMNS
+from millrace.sinks.tables import write_outcomes, write_whole
+from millrace.sinks.versions import read
 from millrace.sources.raw import folder
 from millrace.sources.tables import read_trusted_sales
 
@@ -28,28 +30,31 @@ class GateRun:
 def split_sales(
     spark: SparkSession, sales: DataFrame, curated_path: str, quarantine_path: str, partition_by: tuple[str, ...] = ()
 ) -> GateRun:
-    """Write passing rows (partitioned if wanted) and rejects, each in one pass over the stored sales.
+    """Write passing rows (partitioned if wanted) and rejects.
 
-    The repeated ids are found once and shared by both passes. Reading a columnar table twice is
-    cheaper than keeping all gated rows in memory or on local disks between two writes.
+    The repeated ids are found first. Then one pass over the stored sales deals every row to its outcome, and both tables
+    are published when it is complete. Curated rows in folders of their own columns take a pass for each table.
     """
-    duplicates = gate.duplicate_sales(spark, sales)
-    passed, rejected = Observation("passed"), Observation("rejected")
-    write_whole(gate.curated(sales, duplicates).observe(passed, F.count("*").alias("n")), curated_path, partition_by)
-    write_whole(gate.quarantine(sales, duplicates).observe(rejected, F.count("*").alias("n")), quarantine_path)
-    return GateRun(
-        all_rows=sales.count(),
-        curated_rows=passed.get["n"],
-        quarantine_rows=rejected.get["n"],
-        curated=spark.read.parquet(curated_path),
-        quarantine=spark.read.parquet(quarantine_path),
-    )
+    duplicates, totals = gate.duplicate_sales(spark, sales), Observation("outcomes")
+    counts = [F.count_if(F.col("fail_reasons") == "").alias("curated"), F.count_if(F.col("fail_reasons") != "").alias("quarantine")]
+    if not partition_by:
+        rows = gate.outcomes(sales, duplicates).observe(totals, F.count("*").alias("n"), *counts)
+        write_outcomes(rows, "outcome", {"curated": curated_path, "quarantine": quarantine_path})
+        found = totals.get
+        n, passed, rejected = found["n"], found["curated"], found["quarantine"]
+    else:
+        seen = Observation("passed")
+        write_whole(gate.curated(sales, duplicates).observe(seen, F.count("*").alias("n")), curated_path, partition_by)
+        rows = gate.gated(sales, duplicates).observe(totals, F.count("*").alias("n"), *counts).filter("fail_reasons <> ''")
+        write_whole(rows, quarantine_path)
+        n, passed, rejected = totals.get["n"], seen.get["n"], totals.get["quarantine"]
+    return GateRun(n, passed, rejected, read(spark, curated_path, SALES).select(*SALES_COLUMNS), read(spark, quarantine_path, QUARANTINE))
 
 
 def gate_job(spark: SparkSession, trusted_zone: str) -> GateRun:
     """Passing rows of `sales_conformed` to sales/, rejects to quarantine/ in the trusted zone."""
     base = folder(trusted_zone)
-    return split_sales(spark, read_trusted_sales(spark, trusted_zone), base + "sales/", base + "quarantine/")
+    return split_sales(spark, read_trusted_sales(spark, trusted_zone), base + "sales", base + "quarantine")
 
 
 def export_job(
@@ -57,7 +62,7 @@ def export_job(
 ) -> GateRun:
     """Both results to the curated zone."""
     base = folder(curated_zone)
-    return split_sales(spark, sales, base + "sales_clean/", base + "quarantine/", partition_by)
+    return split_sales(spark, sales, base + "sales_clean", base + "quarantine", partition_by)
 
 
 def analyst_view(spark: SparkSession, curated: DataFrame, name: str = "curated_sales") -> DataFrame:

@@ -59,5 +59,5 @@ def reconcile_tables(spark: SparkSession, database: str = "default") -> DataFram
 def export_tables(spark: SparkSession, curated_zone: str, database: str = "default") -> None:
     """Stored gate results to the curated zone, replacing what is there."""
     base = raw.folder(curated_zone)
-    write_whole(spark.table(f"{database}.curated_all"), base + "sales_clean/")
-    write_whole(spark.table(f"{database}.quarantine_all"), base + "quarantine/")
+    write_whole(spark.table(f"{database}.curated_all"), base + "sales_clean")
+    write_whole(spark.table(f"{database}.quarantine_all"), base + "quarantine")

@@ -19,6 +19,7 @@ from millrace.plans import sales as sales_plans
 from millrace.plans import sqlpath as sqlpath_plans
 from millrace.session import pin_session, shared_folder
 from millrace.sinks.tables import rebalanced
+from millrace.sinks.versions import read
 from millrace.sources import landing, raw, tables
 from millrace.streaming import arrival as arrival_stream
 from millrace.streaming import conform as conform_stream
@@ -302,7 +303,7 @@ def export_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted, curated_zone = shared_folder(spark, "trusted"), shared_folder(spark, "curated")
     sales_plans.sales_job(spark, write_raw(spark, sf_dir, ("pos", "ecommerce")), trusted)
     gate_plans.export_job(spark, tables.read_trusted_sales(spark, trusted), curated_zone, ("channel",))
-    return spark.read.schema(schemas.SALES).parquet(f"{curated_zone}/sales_clean").select(*schemas.SALES_COLUMNS)
+    return read(spark, f"{curated_zone}/sales_clean", schemas.SALES).select(*schemas.SALES_COLUMNS)
 
 
 def sales_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +356,7 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sql_path(spark, sf_dir, database)
         sqlpath_plans.export_tables(spark, curated_zone, database)
     return _outcomes(
-        spark.read.parquet(f"{curated_zone}/sales_clean"), spark.read.parquet(f"{curated_zone}/quarantine")
+        read(spark, f"{curated_zone}/sales_clean"), read(spark, f"{curated_zone}/quarantine")
     )
 
 

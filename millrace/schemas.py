@@ -58,6 +58,7 @@ SALES = record(
     store_id=TEXT,
 )
 SALES_COLUMNS = tuple(SALES.names)
+QUARANTINE = T.StructType([*SALES.fields, T.StructField("fail_reasons", TEXT)])
 SALES_CONFORMED = T.StructType([
     *SALES.fields,
     *record(parse_errors=TEXT, source_file=TEXT, ingested_at=T.TimestampType(), dt=TEXT).fields,

@@ -1,9 +1,13 @@
-"""Parquet writers. All replace what was there, so a second run gives the same result."""
+"""Parquet writers. All publish in one step (see versions), so a failed run leaves what was there, and a second run gives the same result."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sinks import versions
+
 
 def rebalanced(rows: DataFrame) -> DataFrame:
     """Rows moved together by day for fewer files; a large day is split over as many tasks as it needs."""
@@ -15,62 +19,71 @@ def write_by_day(rows: DataFrame, path: str, first: str | None = None, last: str
     written where they were read, without a shuffle.
 
     With `first` or `last` (the rows are of these days only) the other days stay; a day of the range without rows goes."""
-    writer = rows.write.mode("overwrite").partitionBy("dt")
     if first is None and last is None:
-        writer.parquet(path)
-        return
-    spark = rows.sparkSession
-    store, root = _files(spark, path.rstrip("/"))
-    in_range = lambda day: (first is None or day >= first) and (last is None or day <= last)
-    place = lambda folder: [s for s in store.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("dt=")]
-    before = place(root) if store.exists(root) else []
-    files = {s.getPath().getName(): {f.getPath().getName() for f in store.listStatus(s.getPath())} for s in before if in_range(s.getPath().getName()[3:])}
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    for day in place(root):
-        name = day.getPath().getName()
-        # A day that was written again has none of its files of before.
-        if name in files and files[name] & {f.getPath().getName() for f in store.listStatus(day.getPath())}:
-            store.delete(day.getPath(), True)
+        versions.replace(rows, path, ("dt",))
+    else:
+        versions.replace_days(rows, path, first, last)
 
 
 def write_whole(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    versions.replace(rows, path, partition_by)
+
+
+@contextmanager
+def _unsorted(spark: SparkSession, folders: int):
+    """While writing to a few folders each task keeps a file open for each, so that its rows need no sort."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(folders))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_outcomes(rows: DataFrame, column: str, paths: dict[str, str]) -> None:
+    """Rows dealt to several tables by the value of a column, in one pass. Either all tables get theirs or none does: the run is complete
+    before the first table names it."""
+    spark, first = rows.sparkSession, next(iter(paths.values()))
+    with _unsorted(spark, len(paths)):
+        run = versions.write_run(rows, first, (column,))
+    parent = first.rstrip("/").rsplit("/", 1)[0]
+    for value, path in paths.items():
+        if path.rstrip("/").rsplit("/", 1)[0] != parent:
+            raise ValueError(f"{path} does not lie beside {first}.")
+        store, place = versions._store(spark, f"{parent}/{run.folder}/{column}={value}")
+        store.mkdirs(place)  # a value without rows has no folder yet
+    for value, path in paths.items():
+        versions.publish(spark, path, [versions.Part(f"{run.folder}/{column}={value}")])
 
 
 def save_table(spark: SparkSession, rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Catalogue table in Parquet; with `path` it lies there instead of in the warehouse folder."""
-    writer = rows.write.mode("overwrite").format("parquet")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    """Catalogue table in Parquet, below `path` or else the database's folder. The rows are written first; then the table is
+    pointed to them."""
+    if path is None:
+        database, _, table = name.rpartition(".")
+        place = spark.sql(f"DESCRIBE DATABASE {database or spark.catalog.currentDatabase()}").where("info_name = 'Location'").first()[1]
+        path = f"{place}/{table}"
+    versions.replace(rows, path)
+    part = versions.current(spark, path).parts[0]
+    location = f"{path.rstrip('/').rsplit('/', 1)[0]}/{part.folder}"
+    known = spark.catalog.tableExists(name)
+    if known and [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in rows.schema]:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
+    else:
+        if known:
+            spark.sql(f"DROP TABLE {name}")
+        spark.catalog.createTable(name, path=location, source="parquet", schema=rows.schema)
+    spark.catalog.refreshTable(name)
     return spark.table(name)
 
 
-def _files(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def has_file_log(spark: SparkSession, path: str) -> bool:
     """Whether a file stream has written its log into a folder; readers then see only what is in the log."""
-    store, place = _files(spark, path.rstrip("/") + "/_spark_metadata")
+    store, place = versions._store(spark, path.rstrip("/") + "/_spark_metadata")
     return store.exists(place)
 
 
 def append_batch(rows: DataFrame, path: str, label: str) -> None:
-    """Appends rows to a folder written by write_by_day, once for each label: what an earlier attempt under the
-    same label has left is removed first.
-
-    The rows go to a hidden folder, then each file moves to its day under a name that begins with the label.
-    """
-    spark, base = rows.sparkSession, path.rstrip("/")
-    store, root = _files(spark, base)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for old in store.globStatus(hadoop(f"{base}/dt=*/{label}-*")) or []:
-        store.delete(old.getPath(), False)
-    staged = f"{base}/_staged-{label}"
-    rows.write.mode("overwrite").partitionBy("dt").parquet(staged)
-    for new in store.globStatus(hadoop(f"{staged}/dt=*/*.parquet")) or []:
-        day = hadoop(root, new.getPath().getParent().getName())
-        store.mkdirs(day)
-        if not store.rename(new.getPath(), hadoop(day, f"{label}-{new.getPath().getName()}")):
-            raise RuntimeError(f"{new.getPath()} could not be moved.")
-    store.delete(hadoop(staged), True)
+    """Appends rows to a table of days, once for each label: what an earlier attempt under the same label has left is replaced."""
+    versions.append(rows, path, label)

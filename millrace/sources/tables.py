@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace import schemas
+from millrace.sinks.versions import read
 from millrace.sources import raw
 
 
 def read_trusted_sales(spark: SparkSession, trusted: str) -> DataFrame:
-    return spark.read.schema(schemas.SALES_CONFORMED).parquet(raw.folder(trusted) + "sales_conformed/")
+    return read(spark, raw.folder(trusted) + "sales_conformed", schemas.SALES_CONFORMED)
 
 
 def read_trusted_customers(spark: SparkSession, trusted: str) -> DataFrame:
-    return spark.read.schema(schemas.CUSTOMERS_CONFORMED).parquet(raw.folder(trusted) + "customers_conformed/")
+    return read(spark, raw.folder(trusted) + "customers_conformed", schemas.CUSTOMERS_CONFORMED)
 
 
 def register_raw(spark: SparkSession, base: str) -> list[str]:

@@ -13,6 +13,7 @@ from millrace.plans.gate import analyst_view, export_job, gate_job
 from millrace.plans.sales import pos_job, sales_job
 from millrace.plans.sqlpath import export_tables, reconcile_tables, sql_path_job
 from millrace.session import shared_folder
+from millrace.sinks import versions
 from millrace.sinks.tables import append_batch, rebalanced, write_by_day
 from millrace.sources import raw, tables
 from millrace.streaming.conform import append_sales, stream_accepted, stream_sales
@@ -55,13 +56,19 @@ def content(frame):
     return sorted(str(tuple(row)) for row in frame.drop(*NOT_COMPARED).collect())
 
 
+def days_of(spark, table):
+    """Folders of the newest run of a table."""
+    part = versions.current(spark, table).parts[-1]
+    return sorted(name for name in os.listdir(os.path.join(os.path.dirname(table), part.folder)) if "=" in name)
+
+
 def test_sales_job(spark, zones):
     run = sales_job(spark, *zones)
     assert run.rows == 10 and run.bad_lines == 2
     assert run.parse_errors == {"sale_date": 1, "quantity": 1, "unit_price": 2}
     assert [tuple(row) for row in run.by_channel().collect()] == [("app", 1), ("store", 5), ("web", 4)]
     assert run.sales.schema["dt"].dataType.simpleString() == "string"
-    assert sorted(os.listdir(zones[1] + "/sales_conformed"))[-2:] == ["dt=2026-09-17", "dt=2026-09-18"]
+    assert days_of(spark, zones[1] + "/sales_conformed") == ["dt=2026-09-17", "dt=2026-09-18"]
     rows = {row.sale_id: row for row in run.sales.collect()}
     assert rows["S001-1"].product_name == "a, b"
     assert rows["S001-1"].source_file.endswith("/pos/dt=2026-09-17/pos.csv") and rows["S001-1"].ingested_at
@@ -246,7 +253,7 @@ def test_gate_job(spark, zones):
     assert content(again.curated) == content(run.curated)
     assert sorted(os.listdir(zones[1] + "/curated")) == ["quarantine", "sales_clean"]
     export_job(spark, tables.read_trusted_sales(spark, zones[1]), zones[1] + "/by_channel", ("channel",))
-    assert "channel=store" in os.listdir(zones[1] + "/by_channel/sales_clean")
+    assert "channel=store" in days_of(spark, zones[1] + "/by_channel/sales_clean")
     assert analyst_view(spark, run.curated).columns == list(schemas.SALES_COLUMNS)
 
 
@@ -280,8 +287,8 @@ def test_sql_path(spark, zones):
         "EC-1-1", "EC-5-1", "EC-50-1", "EC-7-1", "EC-8-1"]
     export_tables(spark, zones[1] + "/curated")
     export_tables(spark, zones[1] + "/curated")
-    assert spark.read.parquet(zones[1] + "/curated/sales_clean").count() == 6
-    assert spark.read.parquet(zones[1] + "/curated/quarantine").columns[-1] == "fail_reasons"
+    assert versions.read(spark, zones[1] + "/curated/sales_clean").count() == 6
+    assert versions.read(spark, zones[1] + "/curated/quarantine").columns[-1] == "fail_reasons"
 
 
 def test_paths_are_not_combined(spark, zones):
@@ -323,7 +330,7 @@ def test_streamed_sales_equal_the_batch(spark, zones, tmp_path):
 def test_large_days_are_split_when_compacting(spark, tmp_path):
     rows = spark.range(1000).select("id", F.lit("2026-09-17").alias("dt"))
     write_by_day(rebalanced(rows), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+    assert versions.read(spark, str(tmp_path / "out")).count() == 1000
 
 
 def test_shared_folder_is_the_checkpoint_folder(spark):
