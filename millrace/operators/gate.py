@@ -14,17 +14,17 @@ def duplicate_sales(spark: SparkSession, sales: DataFrame, limit: int = BROADCAS
     return settle(spark, repeated_keys(sales, "sale_id"), "sale_id", limit)
 
 
-def _marked(sales: DataFrame, duplicates: KeySet) -> DataFrame:
-    return duplicates.mark(sales.select(*SALES_COLUMNS), "is_duplicate")
+def _marked(sales: DataFrame, duplicates: KeySet, *also: str) -> DataFrame:
+    return duplicates.mark(sales.select(*SALES_COLUMNS, *also), "is_duplicate")
 
 
-def _with_reasons(marked: DataFrame) -> DataFrame:
-    return marked.select(*SALES_COLUMNS, rules.reasons(F.col("is_duplicate")).alias("fail_reasons"))
+def _with_reasons(marked: DataFrame, *also: str) -> DataFrame:
+    return marked.select(*SALES_COLUMNS, rules.reasons(F.col("is_duplicate")).alias("fail_reasons"), *also)
 
 
-def gated(sales: DataFrame, duplicates: KeySet) -> DataFrame:
-    """All rows in the gate columns with `fail_reasons`; '' means the row passes."""
-    return _with_reasons(_marked(sales, duplicates))
+def gated(sales: DataFrame, duplicates: KeySet, *also: str) -> DataFrame:
+    """All rows in the gate columns with `fail_reasons`; '' means the row passes. `also`: further columns to keep."""
+    return _with_reasons(_marked(sales, duplicates, *also), *also)
 
 
 def quarantine(sales: DataFrame, duplicates: KeySet) -> DataFrame:
@@ -38,10 +38,26 @@ def curated(sales: DataFrame, duplicates: KeySet) -> DataFrame:
     return duplicates.drop(sales.select(*SALES_COLUMNS).filter(rules.passes_row_rules()))
 
 
-def outcomes(sales: DataFrame, duplicates: KeySet) -> DataFrame:
+def id_counts(sales: DataFrame) -> DataFrame:
+    """Rows of each sale id on each day."""
+    return sales.where(F.col("sale_id").isNotNull()).groupBy("dt", "sale_id").agg(F.count("*").alias("n"))
+
+
+def crossing(known: DataFrame, gone: DataFrame, come: DataFrame, changed: KeySet) -> DataFrame:
+    """(sale_id, repeated) of the ids that have become repeated, or are so no more, when the counts `gone` are replaced by
+    `come`; known: all counts of before, of which only those of `changed` ids are looked at."""
+    change = gone.select("sale_id", (-F.col("n")).alias("n")).union(come.select("sale_id", "n"))
+    change = change.groupBy("sale_id").agg(F.sum("n").alias("change"))
+    before = changed.keep(known.select("sale_id", "n")).groupBy("sale_id").agg(F.sum("n").alias("before"))
+    both = change.join(before, "sale_id", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    after = F.col("before") + F.col("change")
+    return both.where((F.col("before") > 1) != (after > 1)).select("sale_id", (after > 1).alias("repeated"))
+
+
+def outcomes(sales: DataFrame, duplicates: KeySet, *also: str) -> DataFrame:
     """All rows in the gate columns with `fail_reasons` and `outcome`, curated or quarantine: one pass for both."""
     passes = F.col("fail_reasons") == ""
-    return gated(sales, duplicates).withColumn("outcome", F.when(passes, F.lit("curated")).otherwise(F.lit("quarantine")))
+    return gated(sales, duplicates, *also).withColumn("outcome", F.when(passes, F.lit("curated")).otherwise(F.lit("quarantine")))
 
 
 def _first_failures(conditions: dict[str, Column], names: tuple[str, ...]) -> dict[str, Column]:

@@ -76,6 +76,12 @@ class KeySet:
         return rows.join(self.side(), self.key, "left_anti")
 
 
+def measured(frame: DataFrame, key: str, limit: int = BROADCAST_LIMIT) -> KeySet:
+    """A key set that is stored already."""
+    size = frame.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + F.lit(ROW_OVERHEAD)), F.lit(0))).first()[0]
+    return KeySet(frame, key, int(size), limit)
+
+
 def settle(spark: SparkSession, keys: DataFrame, key: str, limit: int = BROADCAST_LIMIT) -> KeySet:
     """Write a key set (unique, not NULL) to the shared folder and measure it on the way."""
     measured = Observation()

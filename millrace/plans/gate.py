@@ -5,14 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators import gate
-from millrace.schemas import QUARANTINE, SALES, SALES_COLUMNS
+from millrace.operators.keys import measured, settle, stored
+from millrace.schemas import QUARANTINE, SALES, SALES_COLUMNS, TEXT, WHOLE, record, text_record
 from millrace.sinks.tables import write_outcomes, write_whole
-from millrace.sinks.versions import read
+from millrace.sinks.versions import Part, current, publish, read, with_days, with_range, write_run
+from millrace.sources.landing import in_days
 from millrace.sources.raw import folder
 from millrace.sources.tables import read_trusted_sales
 
+CURATED_DAYS, QUARANTINE_DAYS = (StructType([*s.fields, *text_record("dt").fields]) for s in (SALES, QUARANTINE))
+
 
 @dataclass(frozen=True)
 class GateRun:
@@ -51,6 +56,100 @@ def split_sales(
     return GateRun(n, passed, rejected, read(spark, curated_path, SALES).select(*SALES_COLUMNS), read(spark, quarantine_path, QUARANTINE))
 
 
+ID_COUNTS, REPEATED_IDS = "gate_id_counts", "gate_repeated_ids"
+COUNTS = record(sale_id=TEXT, n=WHOLE, dt=TEXT)
+#: Runs that the kept gate's tables consist of at most before they are written anew as one.
+MOST_RUNS = 30
+
+
+@dataclass(frozen=True)
+class GateUpdate:
+    """Days whose rows were looked at again, and ids that have become repeated or are so no more."""
+
+    days: list[str]
+    crossed: int
+
+
+def keep_gate(spark: SparkSession, trusted_zone: str) -> None:
+    """The gate over the whole table, in days, with what update_gate() needs to keep it: rows of each id on each day, repeated ids."""
+    base, sales = folder(trusted_zone), read_trusted_sales(spark, trusted_zone)
+    counts = write_run(gate.id_counts(sales), base + ID_COUNTS, ("dt",))
+    stored = spark.read.schema(COUNTS).parquet(f"{base}{counts.folder}")
+    repeated = stored.groupBy("sale_id").agg(F.sum("n").alias("n")).where("n > 1").select("sale_id")
+    ids = write_run(repeated, base + REPEATED_IDS)
+    duplicates = measured(spark.read.schema("sale_id string").parquet(f"{base}{ids.folder}"), "sale_id")
+    made = write_run(gate.outcomes(sales, duplicates, "dt"), base + "sales", ("outcome", "dt"))
+    for name, outcome in KEPT_OUTCOMES:
+        publish(spark, base + name, [_outcome(spark, base, made, outcome)])
+    publish(spark, base + REPEATED_IDS, [ids])
+    publish(spark, base + ID_COUNTS, [counts])
+
+
+KEPT_OUTCOMES = (("quarantine", "quarantine"), ("sales", "curated"))
+
+
+def _outcome(spark: SparkSession, base: str, run: Part, outcome: str) -> Part:
+    """The part of a run that holds an outcome; a folder without rows is made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}{run.folder}/outcome={outcome}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return Part(f"{run.folder}/outcome={outcome}")
+
+
+def update_gate(spark: SparkSession, trusted_zone: str, first: str | None, last: str | None) -> GateUpdate:
+    """Brings the kept gate up to date after the days from `first` to `last` of sales_conformed were replaced.
+
+    Counted again are only these days. Ids whose count has crossed one (repeated now, or no more) name the other days whose
+    rows change; all days concerned are dealt to their outcomes again. The counts are published last: an update that
+    fails in between is simply run again, from the same counts of before.
+    """
+    base, sales = folder(trusted_zone), read_trusted_sales(spark, trusted_zone)
+    span = in_days(F.col("dt"), first, last)
+    known, before = read(spark, base + ID_COUNTS, COUNTS), current(spark, base + ID_COUNTS)
+    counts = write_run(gate.id_counts(sales.where(span)), base + ID_COUNTS, ("dt",))
+    come, gone = spark.read.schema(COUNTS).parquet(f"{base}{counts.folder}"), known.where(span)
+    changed = settle(spark, gone.select("sale_id").union(come.select("sale_id")).distinct(), "sale_id")
+    crossed = stored(spark, gate.crossing(known, gone, come, changed), "crossed")
+    keys = measured(crossed, "sale_id")
+    elsewhere = {row.dt for row in keys.keep(known.where(~span)).select("dt").distinct().toLocalIterator()}
+    inside = {row.dt for row in gone.select("dt").union(come.select("dt")).distinct().toLocalIterator()}
+    days = sorted(elsewhere | inside)
+
+    repeated = read(spark, base + REPEATED_IDS, text_record("sale_id")).join(keys.side(), "sale_id", "left_anti")
+    ids = write_run(repeated.union(crossed.where("repeated").select("sale_id")), base + REPEATED_IDS)
+    duplicates = measured(spark.read.schema("sale_id string").parquet(f"{base}{ids.folder}"), "sale_id")
+    rows = gate.outcomes(sales.where(F.col("dt").isin(days)), duplicates, "dt")
+    made = write_run(rows, base + "sales", ("outcome", "dt"))
+    for name, outcome in KEPT_OUTCOMES:
+        publish(spark, base + name, with_days(current(spark, base + name), _outcome(spark, base, made, outcome), days))
+    publish(spark, base + REPEATED_IDS, [ids])
+    publish(spark, base + ID_COUNTS, with_range(before, counts, first, last))
+    if len(current(spark, base + "sales").parts) > MOST_RUNS:
+        _made_one(spark, base)
+    return GateUpdate(days, crossed.count())
+
+
+def _made_one(spark: SparkSession, base: str) -> None:
+    """The kept gate's tables as one run each."""
+    both = [
+        read(spark, base + name, schema).select(*SALES_COLUMNS, reasons.alias("fail_reasons"), "dt", F.lit(outcome).alias("outcome"))
+        for name, outcome, schema, reasons in (
+            ("sales", "curated", CURATED_DAYS, F.lit("")), ("quarantine", "quarantine", QUARANTINE_DAYS, F.col("fail_reasons")),
+        )
+    ]
+    made = write_run(both[0].union(both[1]), base + "sales", ("outcome", "dt"))
+    counts = write_run(read(spark, base + ID_COUNTS, COUNTS), base + ID_COUNTS, ("dt",))
+    for name, outcome in KEPT_OUTCOMES:
+        publish(spark, base + name, [_outcome(spark, base, made, outcome)])
+    publish(spark, base + ID_COUNTS, [counts])
+
+
+def kept_gate(spark: SparkSession, trusted_zone: str) -> tuple[DataFrame, DataFrame]:
+    """Curated and quarantined rows as keep_gate() and update_gate() have left them."""
+    base = folder(trusted_zone)
+    curated = read(spark, base + "sales", CURATED_DAYS).select(*SALES_COLUMNS)
+    return curated, read(spark, base + "quarantine", QUARANTINE_DAYS).select(*QUARANTINE.names)
+
+
 def gate_job(spark: SparkSession, trusted_zone: str) -> GateRun:
     """Passing rows of `sales_conformed` to sales/, rejects to quarantine/ in the trusted zone."""
     base = folder(trusted_zone)

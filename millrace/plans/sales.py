@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions.numbers import USD_TO_CAD
+from millrace.operators.arrival import ACCEPTED
 from millrace.operators.conform import conform_ecommerce, conform_pos
 from millrace.operators.reports import SALES_PARSED, has_parse_error, rows_per
 from millrace.plans.arrival import accepted_paths
 from millrace.schemas import POS_HEADER
 from millrace.session import pin_session
 from millrace.sinks.tables import has_file_log, rebalanced, write_by_day
+from millrace.sinks.versions import current as read_version
 from millrace.sources import raw
 from millrace.sources.landing import in_days
 from millrace.sources.tables import read_trusted_sales
@@ -21,6 +24,14 @@ from millrace.sources.tables import read_trusted_sales
 log = logging.getLogger(__name__)
 
 
+#: Paths on the driver at a time when a job runs in ranges.
+FILES_AT_ONCE = 100_000
+
+
+class NoInput(RuntimeError):
+    """There is nothing to conform; nothing has been written."""
+
+
 @dataclass(frozen=True)
 class SalesRun:
     """What a run wrote: row count, rows per column that could not be converted, skipped JSON lines."""
@@ -84,9 +95,9 @@ def sales_job(
             else:
                 log.info("no dated folders under %s%s, source skipped", base, source)
     if not found:
-        raise RuntimeError(f"No input under {base}.")
+        raise NoInput(f"No input under {base}.")
     if all((raw.valid_orders(rows) if source == "ecommerce" else rows).isEmpty() for source, rows in found.items()):
-        raise RuntimeError(f"The input folders under {base} hold no rows.")
+        raise NoInput(f"The input folders under {base} hold no rows.")
 
     totals, bad_lines = Observation("sales"), Observation("lines")
     parts = []
@@ -110,6 +121,42 @@ def sales_job(
     return run
 
 
+def day_ranges(manifest: DataFrame, files_at_once: int) -> list[tuple[str | None, str | None]]:
+    """Ranges of days, one after the other and open at both ends, each with at most so many accepted files (a day with more is
+    a range of its own). One row a day reaches the driver."""
+    accepted = manifest.where((F.col("status") == ACCEPTED) & F.col("dt").isNotNull())
+    per_day = accepted.groupBy("dt").agg(F.count_distinct("path").alias("n")).orderBy("dt").toLocalIterator()
+    last_days, held, before = [], 0, None
+    for day, n in per_day:
+        if held and held + n > files_at_once:
+            last_days.append(before)
+            held = 0
+        held, before = held + n, day
+    # The last range is open, so that days which have no files any more go.
+    firsts = [None, *[(date.fromisoformat(day) + timedelta(days=1)).isoformat() for day in last_days]]
+    return list(zip(firsts, [*last_days, None]))
+
+
+def sales_job_in_ranges(
+    spark: SparkSession, landing_zone: str, trusted_zone: str, manifest: DataFrame, files_at_once: int = FILES_AT_ONCE, **options
+) -> SalesRun:
+    """sales_job straight from the landing zone, in ranges of days, so that no more than `files_at_once` paths (or one day's) are on the
+    driver at a time. Ranges without rows are left out, but their old rows go. Options as of sales_job."""
+    runs = []
+    for first, last in day_ranges(manifest, files_at_once):
+        try:
+            runs.append(sales_job(spark, landing_zone, trusted_zone, manifest=manifest, first_day=first, last_day=last, **options))
+        except NoInput:
+            log.info("days %s to %s hold no rows", first, last)
+            if read_version(spark, raw.folder(trusted_zone) + "sales_conformed"):
+                empty = read_trusted_sales(spark, trusted_zone).limit(0)
+                write_by_day(empty, raw.folder(trusted_zone) + "sales_conformed", first, last)
+    if not runs:
+        raise NoInput(f"No input under {landing_zone}.")
+    totals = {name: sum(run.parse_errors[name] for run in runs) for name in runs[0].parse_errors}
+    return SalesRun(sum(run.rows for run in runs), totals, sum(run.bad_lines for run in runs), read_trusted_sales(spark, trusted_zone))
+
+
 def pos_job(spark: SparkSession, raw_zone: str, trusted_zone: str) -> SalesRun:
     """The same for store sales alone, which the SQL path starts from."""
     return sales_job(spark, raw_zone, trusted_zone, sources=("pos",))

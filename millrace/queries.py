@@ -104,9 +104,7 @@ def orphan_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.issue_profile(
-        spark, feeds.raw_pos(spark, sf_dir), orders(spark, sf_dir), feeds.raw_customers(spark, sf_dir)
-    )
+    return profile.issue_profile(feeds.raw_pos(spark, sf_dir), orders(spark, sf_dir), feeds.raw_customers(spark, sf_dir))
 
 
 def curated_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +136,14 @@ def _by_day(rows: DataFrame, **options):
     return rebalanced(rows).write.mode("append").partitionBy("dt").options(**options)
 
 
-def _write_csv(rows: DataFrame, path: str, **options) -> None:
+def _write_csv(rows: DataFrame, path: str, write=_by_day, **options) -> None:
     kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    _by_day(rows, header=True, **kept, **options).csv(path)
+    write(rows, header=True, **kept, **options).csv(path)
+
+
+def _file_a_day(rows: DataFrame, **options):
+    """Writer of dated folders with one file each, so that files can be counted."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "dt").write.mode("append").partitionBy("dt").options(**options)
 
 
 def write_landing(spark: SparkSession, sf_dir: str) -> str:
@@ -148,13 +151,13 @@ def write_landing(spark: SparkSession, sf_dir: str) -> str:
     zone = shared_folder(spark, "landing")
     broken = F.substr(F.col("dt"), F.lit(6), F.lit(2)) == "04"
     pos = feeds.raw_pos(spark, sf_dir)
-    _write_csv(pos.filter(~broken), f"{zone}/pos")
-    _write_csv(pos.filter(broken).select(*reversed(schemas.POS_HEADER), "dt"), f"{zone}/pos")
+    _write_csv(pos.filter(~broken), f"{zone}/pos", _file_a_day)
+    _write_csv(pos.filter(broken).select(*reversed(schemas.POS_HEADER), "dt"), f"{zone}/pos", _file_a_day)
     documents = feeds.order_documents(spark, sf_dir).select(*schemas.ORDER.names, "dt")
-    _by_day(documents.filter(~broken), ignoreNullFields=False).json(f"{zone}/ecommerce")
-    _by_day(documents.filter(broken).drop("items"), ignoreNullFields=False).json(f"{zone}/ecommerce")
-    _write_csv(feeds.raw_customers(spark, sf_dir), f"{zone}/customers", sep="|", extension="txt")
-    spark.createDataFrame([], "value string").write.text(f"{zone}/customers/dt=2026-10-05")
+    _file_a_day(documents.filter(~broken), ignoreNullFields=False).json(f"{zone}/ecommerce")
+    _file_a_day(documents.filter(broken).drop("items"), ignoreNullFields=False).json(f"{zone}/ecommerce")
+    _write_csv(feeds.raw_customers(spark, sf_dir), f"{zone}/customers", _file_a_day, sep="|", extension="txt")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{zone}/customers/dt=2026-10-05")
     header = spark.createDataFrame([("|".join(schemas.CUSTOMER_HEADER),)], "value string")
     header.coalesce(1).write.text(f"{zone}/customers/dt=2026-10-12")
     return zone
@@ -173,8 +176,8 @@ def write_raw(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = ("pos
 
 
 def _verdict_days(files: DataFrame) -> DataFrame:
-    """File names differ from run to run, so the verdicts are shown per day."""
-    return files.select("source", "dt", "status", "reason").distinct()
+    """File names differ from run to run, so the verdicts are counted per day: a file that is missed or checked twice shows."""
+    return files.groupBy("source", "dt", "status", "reason").agg(F.count("*").alias("files"))
 
 
 def arrival_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,15 +187,99 @@ def arrival_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrival_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = arrival_plans.check_landing(spark, write_landing(spark, sf_dir))
-    return arrival.arrival_summary(files).drop("files")
+    return arrival.arrival_summary(files)
 
 
 def arrival_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = shared_folder(spark, "manifest")
-    arrival_stream.watch_landing(
-        spark, write_landing(spark, sf_dir), manifest, shared_folder(spark, "offsets")
-    ).awaitTermination()
-    return _verdict_days(arrival_plans.read_manifest(spark, manifest))
+    """In batches of a few files each, which list the folders they touch; the batch job finds the day of nothing but an empty file."""
+    zone, manifest = write_landing(spark, sf_dir), shared_folder(spark, "manifest")
+    arrival_stream.watch_landing(spark, zone, manifest, shared_folder(spark, "offsets"), files_per_batch=25).awaitTermination()
+    return _verdict_days(arrival_plans.arrival_job(spark, zone, manifest))
+
+
+def arrival_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts after files have changed, the log has been compacted and the job has run again: as the last ones before."""
+    zone, manifest = write_landing(spark, sf_dir), shared_folder(spark, "manifest")
+    arrival_plans.arrival_job(spark, zone, manifest)
+    _rewritten(spark, zone, "pos", "....-07-..", "quantity,unit_price", "unit_price,quantity")
+    arrival_plans.arrival_job(spark, zone, manifest)
+    arrival_plans.compact_manifest(spark, manifest)
+    return _verdict_days(arrival_plans.arrival_job(spark, zone, manifest))
+
+
+def sales_job_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales job straight from the landing zone, a few files at a time."""
+    zone = write_landing(spark, sf_dir)
+    manifest = arrival_plans.arrival_job(spark, zone, shared_folder(spark, "manifest"))
+    run = sales_plans.sales_job_in_ranges(spark, zone, shared_folder(spark, "trusted"), manifest, files_at_once=15, sources=("pos",))
+    return run.sales.drop(*LINEAGE)
+
+
+def _expect_failure(run: Callable[[], object]) -> None:
+    try:
+        run()
+    except Exception as error:
+        if "FAILED_READ_FILE" not in str(error) and "header" not in str(error):
+            raise
+    else:
+        raise RuntimeError("The run should have failed.")
+
+
+def _add_bad_file(spark: SparkSession, sf_dir: str, zone: str) -> None:
+    """A later day of store sales with its columns the other way round, at which a run fails while it writes."""
+    rows = feeds.raw_pos(spark, sf_dir).filter("dt LIKE '%-04-%'").withColumn("dt", F.lit("2031-01-01"))
+    _write_csv(rows.select(*reversed(schemas.POS_HEADER), "dt"), f"{zone}/pos")
+
+
+def sales_after_failed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A good run, then one that fails in the middle: the table is that of the good one."""
+    zone, trusted = write_raw(spark, sf_dir, ("pos", "ecommerce")), shared_folder(spark, "trusted")
+    sales_plans.sales_job(spark, zone, trusted)
+    _add_bad_file(spark, sf_dir, zone)
+    _expect_failure(lambda: sales_plans.sales_job(spark, zone, trusted))
+    return tables.read_trusted_sales(spark, trusted).drop(*LINEAGE)
+
+
+def customers_after_failed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zone, trusted = write_raw(spark, sf_dir, ("customers",)), shared_folder(spark, "trusted")
+    customer_plans.customers_job(spark, zone, trusted)
+    bad = feeds.raw_customers(spark, sf_dir).withColumn("dt", F.lit("2031-01-01"))
+    _write_csv(bad.select(*reversed(schemas.CUSTOMER_HEADER), "dt"), f"{zone}/customers", sep="|")
+    _expect_failure(lambda: customer_plans.customers_job(spark, zone, trusted))
+    return tables.read_trusted_customers(spark, trusted).drop(*LINEAGE)
+
+
+def gate_after_failed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outcomes after a gate run over rows that cannot be read to the end."""
+    zone, trusted = write_raw(spark, sf_dir, ("pos", "ecommerce")), shared_folder(spark, "trusted")
+    sales_plans.sales_job(spark, zone, trusted)
+    gate_plans.gate_job(spark, trusted)
+    _add_bad_file(spark, sf_dir, zone)
+    unreadable = conform.conform_pos(raw.read_pos(spark, f"{zone}/pos"))
+    _expect_failure(lambda: gate_plans.split_sales(spark, unreadable, f"{trusted}/sales", f"{trusted}/quarantine"))
+    run = {name: read(spark, f"{trusted}/{name}", schema) for name, schema in (("sales", schemas.SALES), ("quarantine", schemas.QUARANTINE))}
+    return _outcomes(run["sales"], run["quarantine"])
+
+
+def gate_after_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept gate after the days of two years came first without store sales, then whole again, each time brought up to date by days."""
+    zone, trusted = write_raw(spark, sf_dir, ("pos", "ecommerce")), shared_folder(spark, "trusted")
+    sales_plans.sales_job(spark, zone, trusted)
+    span = {"first_day": "1994-01-01", "last_day": "1995-12-31"}
+    sales_plans.sales_job(spark, zone, trusted, sources=("ecommerce",), **span)
+    gate_plans.keep_gate(spark, trusted)
+    sales_plans.sales_job(spark, zone, trusted, **span)
+    gate_plans.update_gate(spark, trusted, *span.values())
+    return _outcomes(*gate_plans.kept_gate(spark, trusted))
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the sales table by the source and day their lineage names; a row whose file lies elsewhere, or without a time, shows."""
+    zone = write_raw(spark, sf_dir, ("pos", "ecommerce"))
+    rows = sales_plans.sales_job(spark, zone, shared_folder(spark, "trusted")).sales
+    of = F.regexp_extract("source_file", "/(pos|ecommerce)/dt=([^/]+)/[^/]+$", 1), F.regexp_extract("source_file", "/(pos|ecommerce)/dt=([^/]+)/[^/]+$", 2)
+    named = rows.select(of[0].alias("source"), of[1].alias("folder_day"), "dt", F.col("ingested_at").isNotNull().alias("timed"))
+    return named.groupBy("source", "folder_day", "dt", "timed").agg(F.count("*").alias("n"))
 
 
 def accepted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +292,15 @@ def accepted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = tables.register_raw(spark, write_raw(spark, sf_dir))
+    # All fields of each view take part, so a wrong value shows.
+    columns = {
+        "raw_pos": ", ".join(schemas.POS_HEADER), "raw_customers": ", ".join(schemas.CUSTOMER_HEADER),
+        **dict.fromkeys(("raw_ecommerce", "ecommerce_orders"), "orderId, orderTimestamp, channel, currency, customer.customerId, customer.guest, "
+                        "shippingAddress.province, shippingAddress.country, size(items)"),
+    }
     return raw.union_by_name([
-        spark.sql(f"SELECT '{name}' AS name, count(*) AS n FROM {name}") for name in names
+        spark.sql(f"""SELECT '{name}' AS name, line, count(*) AS n FROM (SELECT concat_ws('|', {", ".join(f"coalesce(cast({c.strip()} AS string), '~')" for c in columns[name].split(","))}) AS line FROM {name})
+        GROUP BY line""") for name in names
     ])
 
 
@@ -405,6 +499,13 @@ QUERIES: dict[str, Query] = {
     "arrival_manifest": arrival_manifest,
     "arrival_summary": arrival_summary,
     "arrival_stream": arrival_streamed,
+    "arrival_compacted": arrival_compacted,
+    "sales_job_in_ranges": sales_job_in_ranges,
+    "sales_after_failed_run": sales_after_failed_run,
+    "customers_after_failed_run": customers_after_failed_run,
+    "gate_after_failed_run": gate_after_failed_run,
+    "gate_after_day_range": gate_after_day_range,
+    "lineage": lineage,
     "accepted_sales": accepted_sales,
     "raw_views": raw_views,
     "sales_job_roundtrip": sales_job_roundtrip,

@@ -35,7 +35,7 @@ class Part:
 
     @property
     def run(self) -> str:
-        return self.folder.rsplit("=", 1)[1]
+        return self.folder.split(f"/{RUN}=")[1].split("/")[0]
 
 
 @dataclass(frozen=True)
@@ -138,19 +138,29 @@ def replace(rows: DataFrame, table: str, partition_by: tuple[str, ...] = ()) ->
     publish(rows.sparkSession, table, [write_run(rows, table, partition_by)])
 
 
+def with_days(before: Version | None, made: Part, days: list[str]) -> list[Part]:
+    """The parts of a table after the run `made` replaces some of its days."""
+    return [*(Part(p.folder, p.days, (*p.without, *((d, d) for d in days)), p.labels) for p in (before.parts if before else ())), made]
+
+
 def _covers(span: tuple[str | None, str | None], days: tuple[str, str] | None) -> bool:
     first, last = span
     return days is not None and (first is None or days[0] >= first) and (last is None or days[1] <= last)
 
 
-def replace_days(rows: DataFrame, table: str, first: str | None, last: str | None) -> None:
-    """The rows become the table's days from `first` to `last`; the other days stay, and a day of the range without rows goes."""
-    spark, before = rows.sparkSession, current(rows.sparkSession, table)
-    made, span = write_run(rows, table, ("dt",)), (first, last)
+def with_range(before: Version | None, made: Part, first: str | None, last: str | None) -> list[Part]:
+    """The parts of a table after the run `made` replaces its days from `first` to `last`."""
+    span = (first, last)
     rest = [] if before is None else [p for p in before.parts if not _covers(span, p.days)]
     outside = lambda p: p.days is not None and (first is not None and p.days[1] < first or last is not None and p.days[0] > last)
-    rest = [p if outside(p) else Part(p.folder, p.days, (*p.without, span), p.labels) for p in rest]
-    publish(spark, table, [*rest, made])
+    return [*(p if outside(p) else Part(p.folder, p.days, (*p.without, span), p.labels) for p in rest), made]
+
+
+def replace_days(rows: DataFrame, table: str, first: str | None, last: str | None) -> None:
+    """The rows become the table's days from `first` to `last`; the other days stay, and a day of the range without rows goes."""
+    spark = rows.sparkSession
+    before = current(spark, table)
+    publish(spark, table, with_range(before, write_run(rows, table, ("dt",)), first, last))
 
 
 def append(rows: DataFrame, table: str, label: str, partition_by: tuple[str, ...] = ("dt",), schema: T.StructType | None = None) -> None:
@@ -178,11 +188,11 @@ def read(spark: SparkSession, table: str, schema: T.StructType | None = None) ->
 
 
 def _read(spark: SparkSession, table: str, parts: list[Part], schema: T.StructType | None) -> DataFrame:
-    parent, name = _parent(table)
+    parent = _parent(table)[0]
     if len(parts) == 1 and not parts[0].without:
         path = f"{parent}/{parts[0].folder}"
         return (spark.read.schema(schema) if schema else spark.read).option("basePath", path).parquet(path)
-    reader = spark.read.option("basePath", f"{parent}/{name}/_runs")
+    reader = spark.read.option("basePath", f"{parent}/{parts[0].folder.split('/_runs/')[0]}/_runs")
     if schema:
         reader = reader.schema(T.StructType([*schema.fields, T.StructField(RUN, T.StringType())]))
     rows = reader.parquet(*[f"{parent}/{p.folder}" for p in parts])

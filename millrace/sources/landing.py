@@ -56,6 +56,16 @@ def list_files(spark: SparkSession, base: str, first: str | None = None, last: s
     return found.where("path IS NOT NULL").select("path", key.alias("key"), "size", "modified")
 
 
+def list_folders(spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
+    """All files of the given folders (source/day, below `base`) as list_files gives them: nothing else is listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+    root = re.sub("^([A-Za-z0-9]+):/+", r"\1:/", place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    found = spark.createDataFrame([(f"{root}/{folder}", None, None, None) for folder in folders], LISTED)
+    found = found.repartition(max(1, min(len(folders), spark.sparkContext.defaultParallelism)))
+    key = F.substr(F.col("path"), F.lit(len(root) + 2))
+    return found.mapInPandas(_lister(True), LISTED).where("path IS NOT NULL").select("path", key.alias("key"), "size", "modified")
+
+
 def _lister(deep: bool):
     """Lists the folders of a batch (their files and, unless `deep`, their folders); files found before pass."""
 

@@ -154,11 +154,18 @@ def read_customers(
 
 
 def latest_snapshot(spark: SparkSession, base: str) -> str | None:
-    """Newest snapshot folder that holds data, as text. Lists files only; no content is read."""
-    if not source_exists(spark, base):
-        return None
-    files = spark.read.format("binaryFile").option("basePath", folder(base)).load(dated(base))
-    return files.select(F.col("dt").cast("string").alias("dt")).agg(F.max("dt").alias("dt")).first()["dt"]
+    """Newest snapshot folder that holds data, as text. Folders are looked into from the newest down, so as a rule one is; no
+    content is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(dated(base).rstrip("/"))
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = {status.getPath().getName()[3:]: status.getPath() for status in store.globStatus(place) or [] if status.isDirectory()}
+    for day in sorted(days, reverse=True):
+        files = store.listFiles(days[day], True)
+        while files.hasNext():
+            status = files.next()
+            if status.getLen() > 0 and status.getPath().getName()[:1] not in "_.":
+                return day
+    return None
 
 
 def read_snapshot(spark: SparkSession, base: str, snapshot: str, check_header: bool = True) -> DataFrame:

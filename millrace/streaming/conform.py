@@ -78,12 +78,15 @@ def stream_accepted(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        first, last = batch.agg(F.min("dt"), F.max("dt")).first()
         every = session.read.schema(schemas.MANIFEST).parquet(manifest_path).filter(F.col("status") == ACCEPTED)
+        if first is not None:
+            every = every.filter(F.col("dt").between(first, last))  # of a path there is one day
         again = batch.filter(F.col("status") == ACCEPTED).select("path").distinct().join(every, "path")
         again = again.groupBy("path").agg(F.count_distinct("size", "modified").alias("states")).filter("states > 1").first()
         if again:
             raise RuntimeError(f"{again.path} was accepted before in another state; run the sales job.")
-        accepted = accepted_paths(session, landing_zone, batch)
+        accepted = accepted_paths(session, landing_zone, batch, first, last)
         parts = []
         if "pos" in accepted:
             paths = [path for _, path in accepted["pos"]]
