@@ -173,9 +173,36 @@ def test_shards(spark):
 def test_fingerprints_equal_sql(spark):
     got = fingerprints.op10_fingerprints(spark, SF)
     assert difference(got.select("doc_id", "n_chars", "edited_sha256"), duck(SF), fingerprints.ORACLE_EDITED) is None
-    for r in got.collect():
-        assert 0 <= r.near_next <= 1 and r.near_edited >= 0.74 and r.fingerprint.startswith(f"{r.n_chars:x}:")
-        assert abs(fingerprints.stored_likeness(r.fingerprint, r.edited_fingerprint) - r.near_edited) <= 0.13
+    rows = sorted(got.collect(), key=lambda r: r.doc_id)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        assert r.fingerprint.startswith(f"{r.n_chars:x}:") and r.near_next == fingerprints.likeness(r.fingerprint, after.fingerprint)
+        assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
+        text, following, q = texts[r.doc_id], texts[after.doc_id], r.n_chars // 4
+        assert abs(r.near_edited - share(text, text[: len(text) - q] + following[:q])) <= 0.25
+        assert abs(r.near_next - share(text, following)) <= 0.25
+
+
+def share(a, b, size=fingerprints.SPAN):
+    """Spans that two texts have in common, as a share of the different spans of both."""
+    if a == b:
+        return 1.0
+    x, y = ({t[k : k + min(size, len(t))] for k in range(max(1, len(t) + 1 - size))} if t else set() for t in (a, b))
+    return 2 * len(x & y) / max(1, len(x) + len(y))
+
+
+def test_likeness_sees_equal_parts_anywhere():
+    dice = random.Random(3)
+    text = "".join(dice.choices("abcdefgh é", k=2000))
+    ends = "#" + text[1:-1] + "#"
+    spread = "".join("#" if k % 200 == 100 else c for k, c in enumerate(text))
+    for other in (ends, "#" + text[:-1], text[1000:] + text[:1000], spread, text[:1500], text * 2, text[:50], "".join(dice.choices("abcdefgh é", k=2000)), "", "x"):
+        got = fingerprints.likeness(*(fingerprints.Prefix.of(t).fingerprint() for t in (text, other)))
+        assert abs(got - share(text, other)) <= 0.2, other[:20]
+    assert share(text, ends) > 0.98 and share(text, text[1000:] + text[:1000]) > 0.98
+    for a, b in (("abc", "abc"), ("abc", "abd"), ("", "a"), ("short text of few spans", "few spans, short text of")):
+        one, two = (fingerprints.Prefix.of(t).fingerprint() for t in (a, b))
+        assert fingerprints.likeness(one, two) == pytest.approx(share(a, b))
 
 
 def test_spans_and_extensions_by_brute_force():
