@@ -4,10 +4,12 @@ The nodes of a document's field are its tokens (runs without white space) that h
 edges join nodes at most CHAIN_WORDS words apart. Skip edges join each node to the one before with the same string and to the one
 before with the same shape, however far away, so k alike tokens cost k edges. Tokens inside a pattern's span are
 observed; loopy sum-product message passing carries their labels over the edges to the others. A token whose label is sure is
-added as a span. So "call 555-010-7788 ... +1 555-010-7788" can get one label for both.
+added as a span if skip edges lead from it to an observed one of that label, over tokens that are as sure of it. So
+"call 555-010-7788 ... +1 555-010-7788" can get one label for both.
 
 The weights are fitted by pseudo-likelihood on counts of (features, neighbour labels, label) over all documents, labelled by
-the patterns: a table of some thousand rows at most, whatever the number of documents.
+the patterns. Neighbours over a kind of edge count as one label or none, so there are 216 neighbourhoods, and features take
+1,440 values: the counts have at most 311,040 cells, whatever the number of documents, and all of them are used.
 """
 
 from __future__ import annotations
@@ -42,8 +44,6 @@ DIGITS = re.compile(r"[0-9]")
 CHAIN_WORDS = 3
 #: Turns of message passing and the share of the old message kept.
 TURNS, DAMPING = 12, 0.3
-#: Configurations the weights are fitted on at most, the most frequent ones of all documents.
-FIT_ROWS = 20_000
 #: Least probability of a label for a span that the patterns do not find.
 SURE = 0.9
 
@@ -182,32 +182,60 @@ class Crf:
     pair: np.ndarray
 
 
-def fit(rows: list[tuple], steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> Crf:
-    """Pseudo-likelihood on (feature number, label, labels of neighbours as a tuple of counts per edge kind and label, count)."""
+#: What the neighbours over a kind of edge are reduced to in the fit: 0 for none, else 1 + the last of their labels in LABELS.
+NEAR = len(LABELS) + 1
+
+
+def neighbourhoods(field: Field) -> list[int]:
+    """For each node a number below NEAR ** 3 for what its neighbours are, an unobserved one counting as O."""
+    near = [[0] * len(field.spans) for _ in EDGE_KINDS]
+    for i, j, kind in field.edges:
+        for a, b in ((i, j), (j, i)):
+            near[kind][a] = max(near[kind][a], 1 + max(field.observed[b], 0))
+    return [(chain * NEAR + string) * NEAR + shape for chain, string, shape in zip(*near)]
+
+
+def near_labels() -> np.ndarray:
+    """NEAR ** 3 x kinds x labels: a 1 for the label that a neighbourhood has over each kind of edge."""
+    number = np.arange(NEAR**3)
+    each = np.stack([number // NEAR**2, number // NEAR % NEAR, number % NEAR], axis=1)
+    return np.eye(NEAR)[each][:, :, 1:]
+
+
+def fit(feature: np.ndarray, near: np.ndarray, counts: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> Crf:
+    """Pseudo-likelihood on cells of (feature number, neighbourhood) with counts of each label, one row a cell.
+
+    Skip edges are kept attractive: equal labels never lower the score and different ones never raise it, since what looks alike
+    is to have one label.
+    """
     labels, kinds = len(LABELS), len(EDGE_KINDS)
-    if not rows:
+    if not len(feature):
         width = unfolded(np.zeros(1, np.int64)).shape[1]
         return Crf(np.zeros((width, labels)), np.zeros((kinds, labels, labels)))
-    x = unfolded(np.array([r[0] for r in rows], np.int64))
-    y = np.eye(labels)[[r[1] for r in rows]]
-    near = np.array([r[2] for r in rows], float).reshape(len(rows), kinds, labels)
+    numbers, of = np.unique(feature, return_inverse=True)
+    x, z = unfolded(numbers), near_labels()
     # Counts are damped, or documents without personal data would leave nothing to the other labels.
-    weight = np.sqrt(np.array([r[3] for r in rows], float))
+    weight = np.sqrt(counts.astype(float))
     weight /= weight.sum()
+    total = weight.sum(axis=1, keepdims=True)
+
+    def summed(values, place, size):
+        return np.stack([np.bincount(place, column, size) for column in values.T], axis=1)
+
     unary, pair = np.zeros((x.shape[1], labels)), np.zeros((kinds, labels, labels))
     memory_u, memory_p = np.full(unary.shape, 1e-8), np.full(pair.shape, 1e-8)
     for _ in range(steps):
-        score = x @ unary + np.einsum("nkl,klm->nm", near, pair)
+        score = (x @ unary)[of] + np.einsum("nkl,klm->nm", z, pair)[near]
         p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        error = (p - y) * weight[:, None]
-        gu = x.T @ error + l2 * unary
-        gp = np.einsum("nkl,nm->klm", near, error)
+        error = p / p.sum(axis=1, keepdims=True) * total - weight
+        gu = x.T @ summed(error, of, len(numbers)) + l2 * unary
+        gp = np.einsum("nkl,nm->klm", z, summed(error, near, len(z)))
         gp = (gp + gp.transpose(0, 2, 1)) / 2 + l2 * pair
         memory_u += gu**2
         memory_p += gp**2
         unary -= rate * gu / np.sqrt(memory_u)
         pair -= rate * gp / np.sqrt(memory_p)
+        pair[1:] = np.where(np.eye(labels, dtype=bool), np.maximum(pair[1:], 0), np.minimum(pair[1:], 0))
     return Crf(unary, pair)
 
 
@@ -240,7 +268,8 @@ def marginals(field: Field, model: Crf, turns: int = TURNS) -> np.ndarray:
 def added_spans(text: str, spans: list[tuple[str, int, int]], model: Crf) -> list[tuple[str, int, int]]:
     """Tokens outside the patterns' spans that the field labels with certainty and that agree with an observed one.
 
-    Without an observed span there is nothing to be consistent with, and nothing is added.
+    They agree if skip edges lead from the token to an observed one with the same label, and every token on the way is as sure
+    of that label. Without an observed span there is nothing to be consistent with, and nothing is added.
     """
     if not spans:
         return []
@@ -248,13 +277,21 @@ def added_spans(text: str, spans: list[tuple[str, int, int]], model: Crf) -> lis
     if all(label >= 1 for label in field.observed):
         return []
     p = marginals(field, model)
-    linked = {k for i, j, kind in field.edges if kind for k in (i, j)}
-    out = []
-    for k, (start, end) in enumerate(field.spans):
-        label = int(p[k].argmax())
-        if field.observed[k] < 1 and label and p[k, label] >= SURE and k in linked and LABELS[label] in {s[0] for s in spans}:
-            out.append((LABELS[label], start, end))
-    return out
+    best = p.argmax(axis=1)
+    sure = (best > 0) & (p[np.arange(len(best)), best] >= SURE)
+    label = [seen if seen >= 1 else int(b) if s else 0 for seen, b, s in zip(field.observed, best, sure)]
+    alike: dict[int, list[int]] = {}
+    for i, j, kind in field.edges:
+        if kind and label[i] and label[i] == label[j]:
+            alike.setdefault(i, []).append(j)
+            alike.setdefault(j, []).append(i)
+    reached = {k for k, seen in enumerate(field.observed) if seen >= 1}
+    ahead = list(reached)
+    while ahead:
+        new = [k for k in alike.get(ahead.pop(), ()) if k not in reached]
+        reached.update(new)
+        ahead += new
+    return [(LABELS[label[k]], *field.spans[k]) for k in sorted(reached) if field.observed[k] < 1]
 
 
 def rows_to_read(texts: pa.Array) -> np.ndarray:
@@ -265,10 +302,9 @@ def rows_to_read(texts: pa.Array) -> np.ndarray:
     return total[offsets[1:]] > total[offsets[:-1]]
 
 
-def train(docs: DataFrame) -> Crf:
-    """Weights from all documents: one pass, counts summed before and after one small shuffle."""
+def configurations(docs: DataFrame) -> DataFrame:
+    """(feature, near, n0 .. n4): how often each label occurs with each feature number and neighbourhood, over all documents."""
     prepare(docs.sparkSession)
-    labels = len(LABELS)
 
     def counted(batches):
         counts: Counter = Counter()
@@ -276,29 +312,23 @@ def train(docs: DataFrame) -> Crf:
             read = rows_to_read(part.column("text"))
             for text in part.column("text").filter(pa.array(read)).to_pylist():
                 field = field_of(text, base_spans(text))
-                near = [[0] * (labels * len(EDGE_KINDS)) for _ in field.spans]
-                seen = [max(label, 0) for label in field.observed]
-                for i, j, kind in field.edges:
-                    # More than two of a kind say no more.
-                    for a, b in ((i, j), (j, i)):
-                        at = kind * labels + seen[b]
-                        near[a][at] = min(2, near[a][at] + 1)
-                counts.update((f, y, bytes(m)) for f, y, m in zip(field.features, seen, near))
-            if len(counts) > 50_000:
-                yield from flushed(counts)
-                counts.clear()
-        yield from flushed(counts)
-
-    def flushed(counts):
+                counts.update(zip(field.features, neighbourhoods(field), (max(label, 0) for label in field.observed)))
         if counts:
-            f, y, m = zip(*counts)
-            columns = [pa.array(f, pa.int64()), pa.array(y, pa.int32()), pa.array(m, pa.binary()), pa.array(counts.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["feature", "label", "near", "n"])
+            names = ["feature", "near", "label"]
+            columns = [pa.array(c, pa.int32()) for c in zip(*counts)] + [pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n"])
 
-    made = docs.select("text").mapInArrow(counted, "feature long, label int, near binary, n long")
-    # Distinct rows: a feature number is below 4,800, and neighbours are counted up to two.
-    rows = made.groupBy("feature", "label", "near").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "feature", "label", "near")
-    return fit([(r.feature, r.label, list(r.near), r.n) for r in rows.limit(FIT_ROWS).collect()])
+    made = docs.select("text").mapInArrow(counted, "feature int, near int, label int, n long")
+    sums = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))]
+    return made.groupBy("feature", "near").agg(*sums)
+
+
+def train(docs: DataFrame) -> Crf:
+    """Weights from all documents: one pass, counts summed before and after one small shuffle. Every cell counts; there are at
+    most 311,040 (17 MB). Null and empty texts have no nodes; a repeated row counts as often as it is there."""
+    cells = configurations(docs).toPandas().sort_values(["feature", "near"])
+    counts = cells[[f"n{k}" for k in range(len(LABELS))]].to_numpy()
+    return fit(cells["feature"].to_numpy(), cells["near"].to_numpy(), counts)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -311,7 +341,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def found(docs: DataFrame, model: Crf) -> DataFrame:
     """SCHEMA, a row per document, without a shuffle: counts and hash of the patterns' spans, all spans, how many were added.
 
-    A null text counts as empty; a text without spans has the hash of the empty string and "" as spans.
+    A null text counts as empty; a text without spans has the hash of the empty string and "" as spans. Repeated rows give
+    repeated results, an empty table gives none; a text of any length is read whole; columns but doc_id and text are not looked at.
     """
     prepare(docs.sparkSession)
 

@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, how: Ftrl
     """Fits the model on at most `rows` labelled documents that are not held out.
 
     Features are made in parallel; the fit, sequential by its nature, runs in one task over the bounded sample. A document that
-    has several labels counts as toxic if one says so; of repeated documents one counts. Without labels no text is toxic.
+    has several labels counts as toxic if one says so. Of rows with the same doc_id one counts: that whose coordinates come first
+    in order, so the model does not depend on which row is read first. Without labels no text is toxic.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, how: Ftrl
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(weight, pa.float64())], names=["at", "weight"])
 
     made = texts.mapInArrow(featured, "doc_id long, toxic int, at array<int>")
-    made = made.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("at").alias("at"))
+    made = made.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("at").alias("at"))
     one = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     found = one.mapInArrow(learn, "at int, weight double").toPandas().sort_values("at")
     if not len(found):
@@ -140,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, how: Ftrl
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, without a shuffle; a null text counts as empty."""
+    """doc_id, held_out, score, predicted for every row, without a shuffle; a null text counts as empty and has the bias's score.
+
+    Repeated rows are scored each, an empty table gives no rows, texts of any length are read whole, other columns are not looked at.
+    """
     prepare(docs.sparkSession)
     found = map_texts(docs, lambda part: {"doc_id": part.column("doc_id"), "score": scores(model, part.column("text"))}, "doc_id long, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

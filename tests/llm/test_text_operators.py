@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -149,6 +151,138 @@ def test_messages_give_exact_marginals_on_a_tree():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_messages_on_loops_are_near_the_exact_marginals():
+    """Cycles of skip and chain edges, every assignment enumerated; potentials of the size that training gives weak ones."""
+    dice = np.random.default_rng(8)
+    width = pii.unfolded(np.zeros(1, np.int64)).shape[1]
+    for _ in range(5):
+        pair = dice.normal(size=(3, 5, 5)) * 0.5
+        model = pii.Crf(dice.normal(size=(width, 5)) * 0.5, (pair + pair.transpose(0, 2, 1)) / 2)
+        edges = [(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, 0), (0, 2, 1), (1, 4, 2), (0, 3, 2)]
+        field = pii.Field([(0, 1)] * 5, [3, 700, 41, 3, 900], [-1, -1, 2, -1, -1], edges)
+        got = pii.marginals(field, model, turns=200)
+        score = pii.unfolded(np.array(field.features)) @ model.unary
+        want = np.zeros((5, 5))
+        for y in np.ndindex(5, 5, 5, 5, 5):
+            if y[2] == 2:
+                p = np.exp(sum(score[k, y[k]] for k in range(5)) + sum(model.pair[t, y[i], y[j]] for i, j, t in edges))
+                for k in range(5):
+                    want[k, y[k]] += p
+        assert np.abs(got - want / want.sum(axis=1, keepdims=True)).max() < 0.05
+
+
+TELEPHONES = ["+1 555-010-7788 or 555-010-7788", "mail a@b.co, 10.0.0.1 and 10.0.0.2 4111 1111 1111 1111", "7 of 9", None, "", "x " * 9 + "a@b.co 12"]
+
+
+def test_configurations_are_counted_over_all_documents(docs_of):
+    want = Counter()
+    for text in filter(None, TELEPHONES * 40):
+        field = pii.field_of(text, pii.base_spans(text))
+        label = [max(k, 0) for k in field.observed]
+        for k, feature in enumerate(field.features):
+            near = []
+            for kind in range(3):
+                ends = [label[i + j - k] for i, j, t in field.edges if t == kind and k in (i, j)]
+                near.append(1 + max(ends) if ends else 0)
+            want[feature, near[0] * 36 + near[1] * 6 + near[2], label[k]] += 1
+    rows = pii.configurations(docs_of(TELEPHONES * 40).repartition(5)).collect()
+    got = {(r.feature, r.near, k): r[f"n{k}"] for r in rows for k in range(5) if r[f"n{k}"]}
+    assert got == dict(want) and len({(r.feature, r.near) for r in rows}) == len(rows)
+
+
+def test_fit_follows_the_gradient_of_the_pseudo_likelihood():
+    """The first steps against the objective differentiated numerically, one cell and one label at a time."""
+    feature, near = np.array([3, 700, 700]), np.array([0, 1 * 36 + 2 * 6 + 5, 5 * 36])
+    counts, l2 = np.array([[4, 0, 0, 0, 0], [1, 0, 0, 9, 0], [0, 0, 16, 0, 1]]), 1e-3
+    weight = np.sqrt(counts) / np.sqrt(counts).sum()
+
+    def loss(unary, pair):
+        total = l2 / 2 * ((unary**2).sum() + (pair**2).sum())
+        for k in range(3):
+            score = pii.unfolded(feature[k : k + 1])[0] @ unary
+            for kind, number in enumerate((near[k] // 36, near[k] // 6 % 6, near[k] % 6)):
+                if number:
+                    score = score + pair[kind, number - 1]
+            total -= sum(weight[k, y] * (score[y] - np.log(np.exp(score).sum())) for y in range(5))
+        return total
+
+    unary, pair = np.zeros((pii.unfolded(feature).shape[1], 5)), np.zeros((3, 5, 5))
+    memory = [np.full(m.shape, 1e-8) for m in (unary, pair)]
+    for _ in range(3):
+        slopes = []
+        for m in (unary, pair):
+            slope = np.zeros(m.shape)
+            for at in np.ndindex(*m.shape):
+                old, ends = m[at], []
+                for step in (1e-5, -1e-5):
+                    m[at] = old + step
+                    ends.append(loss(unary, pair))
+                m[at], slope[at] = old, (ends[0] - ends[1]) / 2e-5
+            slopes.append(slope)
+        # A table of potentials is symmetric, so its slope is the mean of both places.
+        slopes[1] = (slopes[1] + slopes[1].transpose(0, 2, 1)) / 2
+        for m, g, c in zip((unary, pair), slopes, memory):
+            c += g**2
+            m -= 0.5 * g / np.sqrt(c)
+        for kind, a, b in np.ndindex(3, 5, 5):
+            if kind and (pair[kind, a, b] < 0) == (a == b):
+                pair[kind, a, b] = 0.0
+    got = pii.fit(feature, near, counts, steps=3)
+    assert np.allclose(got.unary, unary, atol=1e-3) and np.allclose(got.pair, pair, atol=1e-3)
+
+
+def test_spans_are_added_only_where_skip_edges_lead_to_an_observed_one():
+    """A field that is sure of "phone" everywhere: only what is connected by skip edges to an observed phone is added."""
+    width = pii.unfolded(np.zeros(1, np.int64)).shape[1]
+    unary = np.zeros((width, 5))
+    unary[-1, 4] = 50.0
+    model = pii.Crf(unary, np.zeros((3, 5, 5)))
+    text = "+1 555-010-7788 x x x x 555-010-7788 x x x x 666-010-7788 x x x x 77.77 x x x x 77.77 x x x x a@b.co"
+    more = pii.added_spans(text, pii.base_spans(text), model)
+    assert [(k, text[s:e]) for k, s, e in more] == [("phone", "555-010-7788"), ("phone", "666-010-7788")]
+
+
+def test_ftrl_equals_one_coordinate_at_a_time():
+    dice = random.Random(4)
+    examples = []
+    for _ in range(300):
+        label = int(dice.random() < 0.3)
+        examples.append((label, np.array(sorted(set(dice.choices(range(label * 6, 30 + label * 3), k=8))))))
+    how = toxicity.Ftrl(alpha=0.7, beta=0.9, l1=1.5, l2=0.2, epochs=3)
+    z, n = {}, {}
+
+    def weight(k, l1=how.l1, l2=how.l2):
+        zk = z.get(k, 0.0)
+        if abs(zk) <= l1:
+            return 0.0
+        return -(zk - math.copysign(l1, zk)) / ((how.beta + math.sqrt(n.get(k, 0.0))) / how.alpha + l2)
+
+    positive = sum(label for label, _ in examples)
+    offset = math.log((positive + 0.5) / (len(examples) - positive + 1.5))
+    for _ in range(how.epochs):
+        for label, at in examples:
+            used = {k: weight(k) for k in at.tolist()} | {"bias": weight("bias", l1=0.0)}
+            bias = used["bias"]
+            g = 1 / (1 + math.exp(-(offset + sum(used.values())))) - label
+            for k, w in used.items():
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / how.alpha * w
+                n[k] = before + g * g
+    want = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    got = toxicity.fit(examples, len(examples), positive, how)
+    assert dict(zip(got.index.tolist(), got.weight)) == pytest.approx(want) and 0 < len(want) < 30
+    assert got.bias == pytest.approx(offset + bias)
+
+
+def test_model_does_not_depend_on_the_order_of_repeated_ids(spark, docs_of):
+    texts = [(k, f"{word}{'abcde'[k % 5]} {'xyz'[k % 3]} day") for k in range(60) for word in ("awful", "lovely", "plain")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    how = toxicity.Ftrl(l1=0.01)
+    one = toxicity.train(docs_of(texts).coalesce(1), labels, how=how)
+    two = toxicity.train(docs_of(texts[::-1]).repartition(7), labels, how=how)
+    assert len(one.index) and one.bias == two.bias and np.array_equal(one.index, two.index) and np.array_equal(one.weight, two.weight)
+
+
 def test_skip_edges_carry_a_label():
     width = pii.unfolded(np.zeros(1, np.int64)).shape[1]
     unary, pair = np.zeros((width, 5)), np.zeros((3, 5, 5))
