@@ -45,6 +45,9 @@ LARGE_BUCKET = 4096
 MARKS = REGISTERS // 16
 #: Marks that agree at least: for a similarity of 0.8 it is 208 on average, with a standard deviation of 6.2.
 AGREE = 183
+#: A node in more than this part of all pairs is heavy, unless it is in few. Heavy nodes are fewer than twice this number.
+HEAVY_PARTS = 4096
+HEAVY_LEAST = 32
 #: Bits of the filter that tells most texts without a candidate from the others; a set size, 16 MB.
 FILTER_BITS = 27
 
@@ -181,12 +184,34 @@ def banded(nodes: DataFrame) -> DataFrame:
     return of_kinds(nodes).mapInArrow(run, "bucket long, band int, node binary, kind int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose texts are similar enough; texts: (node, text), one row a node."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
+def heavy_nodes(pairs: DataFrame, run: Scratch) -> DataFrame:
+    """(node, parts) of the nodes that stored pairs (a, b) hold in more than one of HEAVY_PARTS parts; stored.
 
-    def run(batches):
+    n pairs have 2 n ends, so fewer than 2 * HEAVY_PARTS nodes can have more than n / HEAVY_PARTS of them: the table is small
+    whatever the number of pairs, and any other node's pairs are few enough for one task.
+    """
+    least = max(-(-pairs.count() // HEAVY_PARTS), HEAVY_LEAST)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("n"))
+    return run.stored(ends.where(F.col("n") > least).select("node", F.ceil(F.col("n") / least).cast("int").alias("parts")), "heavy")
+
+
+def beside(pairs: DataFrame, name: str, other: str, side: DataFrame, heavy: DataFrame) -> DataFrame:
+    """pairs with the columns of side (node, ...) for the node in column `name`. The pairs of a heavy node are dealt over its
+    parts by the node in column `other`, and its row of side is there once for each part."""
+    known = F.broadcast(heavy.withColumnRenamed("node", name))
+    dealt = pairs.join(known, name, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts").cast("int"), F.lit(0)))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    side = side.withColumnRenamed("node", name).join(known, name, "left").withColumn("part", each)
+    return dealt.drop("parts").join(side.drop("parts"), [name, "part"]).drop("part")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, run: Scratch) -> DataFrame:
+    """The (a, b) of stored pairs whose texts are similar enough; texts: (node, text), one row a node."""
+    heavy = heavy_nodes(pairs, run)
+    pairs = beside(pairs, "a", "b", texts, heavy)
+    pairs = beside(pairs, "b", "a", texts.withColumnRenamed("text", "other"), heavy)
+
+    def compared(batches):
         for batch in batches:
             for part in slices([batch]):
                 sets = []
@@ -198,7 +223,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 kept = part.filter(pa.array(good, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text", "other").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "text", "other").mapInArrow(compared, "a binary, b binary")
 
 
 def components(links: DataFrame, run: Scratch, known: DataFrame | None = None) -> DataFrame:
@@ -299,11 +324,12 @@ def strays(buckets: DataFrame, members: DataFrame, marks: DataFrame, run: Scratc
     return ordered(one.join(two, same & (F.col("cx") != F.col("cy")) & once & alike("p", "q") & ~F.arrays_overlap("earlier", "by")))
 
 
-def alike_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+def alike_pairs(pairs: DataFrame, marks: DataFrame, run: Scratch) -> DataFrame:
     """Those (a, b) of stored pairs that are alike by their weighted or by their plain sketches."""
-    for name, mark in (("a", "p"), ("b", "q")):
-        side = marks.select(F.col("node").alias(name), F.col("kind").alias(f"k{name}"), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)])
-        pairs = pairs.join(side, name)
+    heavy = heavy_nodes(pairs, run)
+    for name, other, mark in (("a", "b", "p"), ("b", "a", "q")):
+        side = marks.select("node", F.col("kind").alias(f"k{name}"), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)])
+        pairs = beside(pairs, name, other, side, heavy)
     return pairs.where(comparable("ka", "kb") & alike("p", "q")).select("a", "b").distinct()
 
 
@@ -363,9 +389,9 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
     marks = run.stored(marked(nodes).join(scores.select("node"), "node"), "marks")
     led = members.join(leaders, "bucket").where("node <> leader")
     star = run.stored(ordered(led.select(F.col("leader").alias("x"), F.col("node").alias("y"))).distinct(), "pairs")
-    star = run.stored(alike_pairs(star, marks), "pairs")
+    star = run.stored(alike_pairs(star, marks, run), "pairs")
     texts = candidate_texts(docs, run.stored(members.select("node").distinct(), "candidates"), run)
-    links = run.stored(verified(star, texts), "links")
+    links = run.stored(verified(star, texts, run), "links")
     done, labels = star, components(links, run)
 
     def tried(pairs: list[DataFrame]) -> bool:
@@ -377,7 +403,7 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
         fresh = run.stored(fresh.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             return False
-        found = run.stored(verified(fresh, texts), "links")
+        found = run.stored(verified(fresh, texts, run), "links")
         done = done.union(fresh)
         if found.isEmpty():
             return False
@@ -397,7 +423,7 @@ def connected(docs: DataFrame, nodes: DataFrame, run: Scratch) -> DataFrame | No
     divided = large.drop("component").join(second, ["node", "kind"]).where("later > band")
     divided = divided.withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
     buckets, known = open_buckets(divided, labels, run)
-    pairs.append(alike_pairs(run.stored(from_leader(buckets, known).distinct(), "pairs"), marks))
+    pairs.append(alike_pairs(run.stored(from_leader(buckets, known).distinct(), "pairs"), marks, run))
     tried(pairs)
     # Whatever the parts' centres have left in several components, whether or not it shares a second band.
     buckets, known = open_buckets(large.drop("component"), labels, run)

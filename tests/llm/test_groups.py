@@ -2,11 +2,12 @@ import hashlib
 import heapq
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import difference, duck
@@ -107,6 +108,42 @@ def test_large_buckets_lose_no_pair_that_shares_one_band(docs_of, monkeypatch):
     assert found[0] == found[1] and len(set(found[0].values())) < len(texts)
 
 
+def test_pairs_of_one_centre_are_dealt_over_tasks(spark):
+    """5,000 pairs of one centre among 5,000 others: joined as by a plain join, and in even tasks."""
+    pairs = spark.range(5000).selectExpr("'centre' AS a", "concat('copy', id) AS b").union(
+        spark.range(5000).selectExpr("concat('n', id) AS a", "concat('other', id) AS b"))
+    side = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("text", F.concat(F.lit("text of "), "node"))
+    heavy = minhash.heavy_nodes(pairs, Scratch(spark, "test"))
+    assert [(r.node, r.parts) for r in heavy.collect()] == [("centre", 157)]
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(before, ("false", "-1", "40")):
+            spark.conf.set(key, value)
+        found = minhash.beside(pairs, "a", "b", side, heavy).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted((r.a, r.b, r.text) for r in found) == sorted((r.a, r.b, "text of " + r.a) for r in pairs.collect())
+    sizes = Counter(r.task for r in found)
+    assert len(sizes) == 40 and max(sizes.values()) < 2 * 10_000 / 40
+
+
+def test_heavy_nodes_are_few_whatever_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HEAVY_PARTS", 10)
+    monkeypatch.setattr(minhash, "HEAVY_LEAST", 1)
+    pairs = spark.range(4000).selectExpr("concat('a', id % 17) AS a", "concat('b', id % 400) AS b")
+    assert minhash.heavy_nodes(pairs, Scratch(spark, "test")).count() == 0
+    more = pairs.union(pairs.where("a = 'a1'"))
+    assert [(r.node, r.parts) for r in minhash.heavy_nodes(more, Scratch(spark, "test")).collect()] == [("a1", 2)]
+
+
+def test_near_duplicates_with_heavy_nodes_equal_brute_force(docs_of, monkeypatch):
+    monkeypatch.setattr(minhash, "HEAVY_LEAST", 2)
+    texts = corpus(7)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == classes_of(texts)
+
+
 def test_sketches_estimate_the_similarity():
     dice = np.random.default_rng(2)
     x = dice.integers(0, 2**63, 400, dtype=np.uint64)
