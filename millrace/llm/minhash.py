@@ -200,9 +200,11 @@ def beside(pairs: DataFrame, name: str, other: str, side: DataFrame, heavy: Data
     parts by the node in column `other`, and its row of side is there once for each part."""
     known = F.broadcast(heavy.withColumnRenamed("node", name))
     dealt = pairs.join(known, name, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts").cast("int"), F.lit(0)))
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    side = side.withColumnRenamed("node", name).join(known, name, "left").withColumn("part", each)
-    return dealt.drop("parts").join(side.drop("parts"), [name, "part"]).drop("part")
+    side = side.withColumnRenamed("node", name)
+    # Only heavy nodes have rows beyond part 0.
+    more = side.join(known, name).where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    side = side.withColumn("part", F.lit(0)).unionByName(more.drop("parts"))
+    return dealt.drop("parts").join(side, [name, "part"]).drop("part")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, run: Scratch) -> DataFrame:
