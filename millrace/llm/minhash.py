@@ -9,7 +9,10 @@ A text with repeated shingles has a second, plain sketch, with all weights 1, wh
 repeats the two are equal. Both have bands and marks, so that pairs similar by either measure are found.
 
 Equal texts are one node from the start. Nodes that share a band (4 of 256 registers, 24 bands) are compared by their marks (4 bits of
-each register, compared in the join itself), and pairs whose marks agree as those of similar texts do are verified:
+each register, compared in the join itself), and pairs whose marks agree as those of similar texts do are verified, unless
+parity bits rule the pair out: a text has 1,024 bits, each telling whether an odd number of its different shingles falls on it.
+Bits in which two texts differ need a shingle that only one of them has, so they are at most as many as such shingles, and
+more of them than a Jaccard similarity of 0.8 allows is proof that it is below. This loses no pair:
 1. in every bucket each node with the bucket's centre only, the node that shares its bands with the most others over all
    its buckets (in a group of edited copies the original); then components are formed;
 2. buckets whose nodes lie in several components are looked at again: the nodes outside the centre's component are compared
@@ -23,6 +26,7 @@ A link needs a similarity of 0.8: exact probability Jaccard or exact Jaccard of
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +45,16 @@ SIMILARITY = 0.8
 #: Buckets of more members have centres of their parts tried first and are compared in cells of about so many members by so
 #: many. It changes the plan only: no pair of a bucket is left out.
 LARGE_BUCKET = 4096
-#: Long integers of marks of a node, each with 4 bits of 16 registers.
-MARKS = REGISTERS // 16
+#: Long integers of marks of a node: for each 64 registers one with the lowest bit of each, one with the next, and so on to the fourth.
+PLANES = 4
+MARKS = REGISTERS // 64 * PLANES
 #: Marks that agree at least: for a similarity of 0.8 it is 208 on average, with a standard deviation of 6.2.
 AGREE = 183
+#: Parity bits of a text, in long integers of 64.
+PARITY_BITS = 1024
+PARITIES = PARITY_BITS // 64
+#: What a pair is compared by before its texts are: marks, parity bits and the number of different shingles.
+COMPARED = [*(f"m{k}" for k in range(MARKS)), *(f"o{k}" for k in range(PARITIES)), "size"]
 #: A node in more than this part of all pairs is heavy, unless it is in few. Heavy nodes are fewer than twice this number.
 HEAVY_PARTS = 4096
 HEAVY_LEAST = 32
@@ -124,33 +134,43 @@ def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.nda
     return float((wx[i] / total[which]).sum()), len(i) / union
 
 
+def parities(row: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
+    """rows x PARITIES 64-bit integers: a bit is set if an odd number of the row's different shingles falls on it."""
+    place = row * PARITY_BITS + (mixed(~shingle) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(place, minlength=rows * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, PARITY_BITS), axis=1).view(np.int64)
+
+
 def sketched(docs: DataFrame, run: Scratch) -> DataFrame:
-    """node (of each different text), rep (least doc_id), n_rows, sketch (binary, empty without shingles) and plain (the sketch
-    with weights 1, empty if no shingle is repeated, since the two are equal then); stored."""
+    """node (of each different text), rep (least doc_id), n_rows, sketch (binary, empty without shingles), plain (the sketch
+    with weights 1, empty if no shingle is repeated, since the two are equal then), odd (parity bits) and size (number of
+    different shingles); stored."""
 
     def work(part):
         texts = part.column("text")
         row, shingle, n = shingles(texts)
         found = sketches(row, shingle, weights(n), part.num_rows)
-        some = np.bincount(row, minlength=part.num_rows) > 0
-        sketch = [r.tobytes() if s else b"" for r, s in zip(found, some.tolist())]
+        size = np.bincount(row, minlength=part.num_rows)
+        sketch = [r.tobytes() if s else b"" for r, s in zip(found, size.tolist())]
+        odd = [r.tobytes() if s else b"" for r, s in zip(parities(row, shingle, part.num_rows), size.tolist())]
         repeats = np.bincount(row[n > 1], minlength=part.num_rows) > 0
         place, of = np.cumsum(repeats) - 1, repeats[row]
         alone = sketches(place[row[of]], shingle[of], np.ones(of.sum()), int(repeats.sum()))
         plain = [alone[k].tobytes() if r else b"" for k, r in zip(place.tolist(), repeats.tolist())]
-        return {"doc_id": part.column("doc_id"), "node": [node_of(t) for t in texts.to_pylist()], "sketch": sketch, "plain": plain}
+        node = [node_of(t) for t in texts.to_pylist()]
+        return {"doc_id": part.column("doc_id"), "node": node, "sketch": sketch, "plain": plain, "odd": odd, "size": size}
 
-    found = map_texts(docs, work, "doc_id long, node binary, sketch binary, plain binary")
-    first = [F.first(name).alias(name) for name in ("sketch", "plain")]
+    found = map_texts(docs, work, "doc_id long, node binary, sketch binary, plain binary, odd binary, size int")
+    first = [F.first(name).alias(name) for name in ("sketch", "plain", "odd", "size")]
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), *first)
     return run.stored(nodes, "nodes")
 
 
-def of_kinds(nodes: DataFrame) -> DataFrame:
-    """(node, kind, sketch) of each sketch: kind 0 is both in one, 1 the weighted and 2 the plain one of a text with repeats."""
+def of_kinds(nodes: DataFrame, *also: str) -> DataFrame:
+    """(node, also..., kind, sketch) of each sketch: kind 0 is both in one, 1 the weighted and 2 the plain one of a text with repeats."""
     one, two = (F.struct(F.lit(k).alias("kind"), F.col(name).alias("sketch")) for k, name in ((1, "sketch"), (2, "plain")))
     both = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("sketch"))
-    return nodes.select("node", F.inline(F.when(F.length("plain") > 0, F.array(one, two)).otherwise(F.array(both))))
+    return nodes.select("node", *also, F.inline(F.when(F.length("plain") > 0, F.array(one, two)).otherwise(F.array(both))))
 
 
 def comparable(one: str, two: str) -> Column:
@@ -252,7 +272,8 @@ def components(links: DataFrame, run: Scratch, known: DataFrame | None = None) -
 
 
 def marked(nodes: DataFrame) -> DataFrame:
-    """(node, m0 .. m15, bands, kind) of each sketch: the low four bits of each register, and the values of all bands."""
+    """(node, COMPARED, bands, kind) of each sketch: the low four bits of each register, the text's parity bits and number of
+    shingles, and the values of all bands."""
 
     def run(batches):
         for batch in batches:
@@ -260,31 +281,47 @@ def marked(nodes: DataFrame) -> DataFrame:
             keep = [k for k, s in enumerate(sketch) if s]
             if not keep:
                 continue
-            bits = np.frombuffer(b"".join(sketch[k] for k in keep), np.uint32).reshape(len(keep), MARKS, 16).astype(np.uint64) & np.uint64(15)
-            marks = (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
-            columns = [batch.column("node").take(pa.array(keep)), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS))]
+            registers = np.frombuffer(b"".join(sketch[k] for k in keep), np.uint32).reshape(len(keep), REGISTERS // 64, 1, 64)
+            bits = (registers >> np.arange(PLANES, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.uint8)
+            marks = np.packbits(bits, axis=3).view(np.int64).reshape(len(keep), MARKS)
+            odd = batch.column("odd").to_pylist()
+            odd = np.frombuffer(b"".join(odd[k] for k in keep), np.int64).reshape(len(keep), PARITIES)
+            columns = [batch.column("node").take(pa.array(keep)), *(pa.array(np.ascontiguousarray(x)) for x in (*marks.T, *odd.T))]
+            columns.append(batch.column("size").take(pa.array(keep)))
             bands = pa.FixedSizeListArray.from_arrays(pa.array(band_values([sketch[k] for k in keep]).ravel()), BANDS)
             columns += [bands.cast(pa.list_(pa.int64())), batch.column("kind").take(pa.array(keep))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", *(f"m{k}" for k in range(MARKS)), "bands", "kind"])
+            yield pa.RecordBatch.from_arrays(columns, names=["node", *COMPARED, "bands", "kind"])
+
+    fields = ", ".join(f"{name} {'int' if name == 'size' else 'long'}" for name in COMPARED)
+    return of_kinds(nodes, "odd", "size").mapInArrow(run, f"node binary, {fields}, bands array<bigint>, kind int")
 
-    fields = ", ".join(f"m{k} long" for k in range(MARKS))
-    return of_kinds(nodes).mapInArrow(run, f"node binary, {fields}, bands array<bigint>, kind int")
 
+def side_of(mark: str) -> list[Column]:
+    """The columns that pairs are compared by, named for one side of a pair."""
+    return [F.col(name).alias(f"{mark}_{name}") for name in COMPARED]
 
-def alike(one: str, two: str) -> Column:
-    """Whether enough marks agree: those of which no bit differs. Columns one + k and two + k."""
-    total = F.lit(0)
-    for k in range(MARKS):
-        x = F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))
-        for shift in (1, 2):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total <= REGISTERS - AGREE
+
+def alike(one: str, two: str, kind_one: str, kind_two: str) -> Column:
+    """Whether enough marks agree, those of which no bit differs, and parity bits do not rule the pair out.
+
+    The bits speak of the Jaccard similarity, which is the probability Jaccard too where neither text repeats a shingle. Two
+    weighted sketches, or one of a text without repeats and a weighted one, are compared by their marks alone.
+    """
+    total, odd = F.lit(0), F.lit(0)
+    for k in range(0, MARKS, PLANES):
+        differ = [F.col(f"{one}_m{k + b}").bitwiseXOR(F.col(f"{two}_m{k + b}")) for b in range(PLANES)]
+        total = total + F.bit_count(reduce(Column.bitwiseOR, differ))
+    for k in range(PARITIES):
+        odd = odd + F.bit_count(F.col(f"{one}_o{k}").bitwiseXOR(F.col(f"{two}_o{k}")))
+    # Of n shingles in two sets of similarity s, at most n (1 - s) / (1 + s) are in one set only.
+    most = (F.col(f"{one}_size") + F.col(f"{two}_size")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    weighted = (F.col(kind_one) == 1) | (F.col(kind_two) == 1)
+    return (total <= REGISTERS - AGREE) & (weighted | (odd <= most))
 
 
 def renamed(members: DataFrame, name: str, mark: str, *also: str) -> DataFrame:
     """(bucket, name, marks, also...) for the other side of a join in buckets."""
-    return members.select("bucket", F.col("node").alias(name), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)], *also)
+    return members.select("bucket", F.col("node").alias(name), *side_of(mark), *also)
 
 
 def open_buckets(members: DataFrame, labels: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -323,16 +360,16 @@ def strays(buckets: DataFrame, members: DataFrame, marks: DataFrame, run: Scratc
     two = renamed(inside.withColumnsRenamed({"component": "cy", "kind": "ky", "bands": "by"}), "y", "q", "cy", "ky", "by")
     once = (F.col("cy") == F.col("lead")) | (F.col("x") < F.col("y"))
     same = (one.bucket == two.bucket) & comparable("kx", "ky")
-    return ordered(one.join(two, same & (F.col("cx") != F.col("cy")) & once & alike("p", "q") & ~F.arrays_overlap("earlier", "by")))
+    return ordered(one.join(two, same & (F.col("cx") != F.col("cy")) & once & alike("p", "q", "kx", "ky") & ~F.arrays_overlap("earlier", "by")))
 
 
 def alike_pairs(pairs: DataFrame, marks: DataFrame, run: Scratch) -> DataFrame:
     """Those (a, b) of stored pairs that are alike by their weighted or by their plain sketches."""
     heavy = heavy_nodes(pairs, run)
     for name, other, mark in (("a", "b", "p"), ("b", "a", "q")):
-        side = marks.select("node", F.col("kind").alias(f"k{name}"), *[F.col(f"m{k}").alias(f"{mark}{k}") for k in range(MARKS)])
+        side = marks.select("node", F.col("kind").alias(f"k{name}"), *side_of(mark))
         pairs = beside(pairs, name, other, side, heavy)
-    return pairs.where(comparable("ka", "kb") & alike("p", "q")).select("a", "b").distinct()
+    return pairs.where(comparable("ka", "kb") & alike("p", "q", "ka", "kb")).select("a", "b").distinct()
 
 
 def from_leader(buckets: DataFrame, members: DataFrame) -> DataFrame:

@@ -161,13 +161,53 @@ def test_probability_jaccard_of_plain_sets_is_jaccard():
     assert both == pytest.approx((6 / 20, 6 / 20))
 
 
-def test_marks_filter_counts_agreeing_registers(spark, docs_of):
-    docs = docs_of(["a b c d e f g h", "a b c d e f g h i", "q r s t u v"])
-    rows = {r.node: r for r in minhash.marked(minhash.sketched(docs, Scratch(spark, "test"))).collect()}
-    both = [rows[minhash.node_of(t)] for t in ("a b c d e f g h", "a b c d e f g h i")]
-    agree = sum((x >> 4 * k & 15) == (y >> 4 * k & 15) for x, y in zip(both[0][1:17], both[1][1:17]) for k in range(16))
-    frame = spark.createDataFrame([tuple(both[0][1:17]) + tuple(both[1][1:17])], ", ".join(f"{s}{k} long" for s in "pq" for k in range(16)))
-    assert frame.where(minhash.alike("p", "q")).count() == (agree >= minhash.AGREE)
+@pytest.mark.parametrize("kinds", [(0, 0), (0, 1), (2, 2)])
+def test_comparison_before_texts_equals_registers_and_proof(spark, docs_of, kinds):
+    """Marks by the registers themselves; parity bits only where no weighted sketch is compared, and never against the exact similarity."""
+    dice = random.Random(3)
+    base = words(dice, 300)
+    texts = [" ".join(base)]
+    for k in range(60):
+        text = list(base)
+        for at in dice.sample(range(300), 1 + k // 5):
+            text[at] = f"x{k}-{at}"
+        texts.append(" ".join(text))
+    nodes = minhash.sketched(docs_of(texts), Scratch(spark, "test"))
+    registers = {bytes(r.node): np.frombuffer(r.sketch, np.uint32) & 15 for r in nodes.collect()}
+    marks = minhash.marked(nodes)
+    one = marks.select(F.col("node").alias("a"), F.lit(kinds[0]).alias("ka"), *minhash.side_of("p")).where(F.col("a") == minhash.node_of(texts[0]))
+    two = marks.select(F.col("node").alias("b"), F.lit(kinds[1]).alias("kb"), *minhash.side_of("q"))
+    pairs = one.join(two, F.lit(True)).select("b", minhash.alike("p", "q", "ka", "kb").alias("alike")).collect()
+    row, shingle, n = shingles(pa.array(texts))
+    sets = {minhash.node_of(t): set(shingle[row == k].tolist()) for k, t in enumerate(texts)}
+    first, ruled_out = minhash.node_of(texts[0]), 0
+    assert len(pairs) == len(set(texts))
+    for pair in pairs:
+        b = bytes(pair.b)
+        agree = int((registers[first] == registers[b]).sum()) >= minhash.AGREE
+        similarity = len(sets[first] & sets[b]) / len(sets[first] | sets[b])
+        assert not pair.alike or agree
+        if agree and (1 in kinds or similarity >= 0.8):
+            assert pair.alike
+        ruled_out += agree and not pair.alike
+    assert (ruled_out > 0) == (1 not in kinds)
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 300, 1500, 6000])
+def test_parity_bits_never_exceed_the_difference(n):
+    dice = np.random.default_rng(n)
+    base = np.unique(dice.integers(0, 2**63, 2 * n, dtype=np.uint64))
+    for share in (0.5, 0.75, 0.8, 0.85, 0.95, 1.0):
+        common = base[: int(n * share)]
+        x, y = (np.union1d(common, dice.integers(0, 2**63, n - len(common), dtype=np.uint64)) for _ in range(2))
+        bits = minhash.parities(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2)
+        differ = sum(int(v).bit_count() for v in (bits[0] ^ bits[1]).view(np.uint64))
+        only = len(np.setxor1d(x, y))
+        assert differ <= only and (only - differ) % 2 == 0
+        if only:
+            assert differ
+            jaccard = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            assert jaccard < 0.8 or differ <= (len(x) + len(y)) / 9 + 1e-6
 
 
 def naive(classes, shards):
