@@ -335,3 +335,22 @@ def test_large_days_are_split_when_compacting(spark, tmp_path):
 
 def test_shared_folder_is_the_checkpoint_folder(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/millrace/x-")
+
+
+def test_landing_files_are_rewritten_chunk_by_chunk():
+    import io
+
+    from millrace.queries import _first_line, _first_replaced
+
+    class Asked(io.BytesIO):
+        def read(self, size=-1):
+            assert 0 < size <= 4
+            return super().read(size)
+
+    for text in (b"", b"ab", b"xxabcdxxabcd", b"abcabcd" * 3, b"a" * 50 + b"abcd\nabcd", b"abc"):
+        for chunk in (1, 2, 3, 4):
+            made, cut = io.BytesIO(), io.BytesIO()
+            _first_replaced(Asked(text), made, b"abcd", b"dcba", chunk)
+            assert made.getvalue() == text.replace(b"abcd", b"dcba", 1)
+            _first_line(Asked(text), cut, chunk)
+            assert cut.getvalue() == text.split(b"\n", 1)[0] + b"\n"
