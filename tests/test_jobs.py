@@ -337,6 +337,18 @@ def test_shared_folder_is_the_checkpoint_folder(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/millrace/x-")
 
 
+def test_each_day_apart_is_one_partition_of_narrow_rows(spark):
+    from millrace import feeds
+
+    days = [f"2026-{m:02d}-01" for m in range(1, 13) for _ in range(5)] + [None] * 5
+    rows = spark.createDataFrame(list(enumerate(days)), "k int, day string").repartition(6)
+    placed = feeds.days_apart(rows, "day").withColumn("p", F.spark_partition_id()).groupBy("day").agg(
+        F.count_distinct("p").alias("parts"), F.first("p").alias("p"), F.count("*").alias("n")
+    ).collect()
+    assert len(placed) == 13 and {r.parts for r in placed} == {1} and {r.n for r in placed} == {5}
+    assert len({r.p for r in placed}) == 13
+
+
 def test_landing_files_are_rewritten_chunk_by_chunk():
     import io
 

@@ -220,3 +220,17 @@ def test_gate_kept_up_to_date(spark, tmp_path, monkeypatch, most):
     assert after(14, pos_line(14) + pos_line(14)) == (["10", "14"], 2)
     assert after(13, pos_line("new")) == (["13"], 0)
     assert update_gate(spark, trusted, "2026-09-13", "2026-09-13").crossed == 0
+
+
+def test_rows_of_many_days_are_written_without_a_sort(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id", "concat('2026-01-', lpad(cast(id % 20 + 1 AS string), 2, '0')) AS dt")
+    table, name = str(tmp_path / "t"), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    part = versions.write_run(rows.coalesce(1), table, ("dt",))
+    assert spark.conf.get(name) == before
+    # A sorted writer closes each day's file before it opens the next: rows of a file then come with their day's only, in files of zstd.
+    files = spark.read.parquet(f"{tmp_path}/{part.folder}").select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(files) == 20 and all(".zstd." in row.f for row in files)
+    with versions.unsorted(spark):
+        plan = rows._jdf.queryExecution().sparkSession().sessionState().conf().maxConcurrentOutputFileWriters()
+    assert plan == versions.OPEN_FILES
