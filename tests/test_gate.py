@@ -114,3 +114,19 @@ def test_unknown_customers_are_a_report_only(spark):
     lost = reports.unknown_customer_sales(spark, rows, customers)
     assert sorted(row.sale_id for row in lost.collect()) == ["b", "c"]
     assert gate.gate_tallies(rows).first().quarantine_rows == 0
+
+
+def test_large_key_set_joins_only_rows_that_may_hold_its_keys(spark):
+    from millrace.operators.keys import settle
+
+    keys = spark.range(0, 20000, 40).selectExpr("concat('k', id) AS sale_id")
+    rows = spark.range(20000).selectExpr("concat('k', id) AS sale_id", "id").union(spark.createDataFrame([(None, -1)], "sale_id string, id long"))
+    large = settle(spark, keys, "sale_id", limit=0)
+    likely, others = large._likely(rows)
+    n = likely.count()
+    assert 500 <= n < 4000 and others.count() == 20001 - n
+    marked = large.mark(rows, "flag")
+    assert marked.count() == 20001 and marked.where("flag").count() == 500
+    assert {r.id for r in marked.where("flag").collect()} == {r.id for r in large.keep(rows).collect()} == set(range(0, 20000, 40))
+    left = large.drop(rows)
+    assert left.count() == 19501 and left.where("sale_id IS NULL").count() == 1 and left.columns == ["sale_id", "id"]

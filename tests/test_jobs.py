@@ -349,6 +349,16 @@ def test_each_day_apart_is_one_partition_of_narrow_rows(spark):
     assert len({r.p for r in placed}) == 13
 
 
+def test_raw_zone_is_compressed_and_written_where_the_rows_lie(spark):
+    from millrace import feeds, queries
+
+    zone = queries.write_raw(spark, "/root/testdata/sf0.001", ("pos", "ecommerce"))
+    names = [row.name for row in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(zone)
+             .select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()]
+    assert names and all(name.endswith(".gz") for name in names)
+    assert raw.read_pos(spark, f"{zone}/pos").count() == feeds.raw_pos(spark, "/root/testdata/sf0.001").count()
+
+
 def test_landing_files_are_rewritten_chunk_by_chunk():
     import io
 
