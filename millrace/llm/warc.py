@@ -56,6 +56,14 @@ STEPS = (
 )
 SPACES = ((r"[\x20\x09\x0B\x0C\x0D]+", " "), (r"\x20?\n[\x20\n]*", "\n"), (r"^[\x20\n]+|[\x20\n]+$", ""))
 
+#: The steps with tags, the words of BLOCKS by their first letters: the same for Java's engine in less time.
+_LETTERS = "|".join(
+    rf"{letter}(?:{'|'.join(word[1:] for word in BLOCKS.split('|') if word[0] == letter)})" for letter in dict.fromkeys(w[0] for w in BLOCKS.split("|"))
+)
+TAGS = ((rf"(?i)</?(?:{_LETTERS})\b[^>]*>", "\n"), STEPS[-1])
+#: What `$` also stands before at the end of a text in Java's engine, carriage returns apart.
+LINE_ENDS = ("\u0085", "\u2028", "\u2029")
+
 SCHEMA = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "content_length long, block_digest string, payload_digest string, header string, block string"
@@ -116,12 +124,17 @@ def decoded(text: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    for pattern, to in ((HIDDEN, ""), *STEPS[-2:]):
+    for pattern, to in ((HIDDEN, ""), *TAGS):
         html = F.regexp_replace(html, pattern, to)
     html = decoded(html)
-    for pattern, to in SPACES:
+    for pattern, to in SPACES[:-1]:
         html = F.regexp_replace(html, pattern, to)
-    return html
+    return trimmed(html)
+
+
+def trimmed(text: Column) -> Column:
+    """The last of SPACES, by expression unless the text ends in a separator of lines."""
+    return F.when(F.right(text, F.lit(1)).isin(*LINE_ENDS), F.regexp_replace(text, *SPACES[-1])).otherwise(F.btrim(text, F.lit(" \n")))
 
 
 def first(text: str, pattern: str) -> Column:

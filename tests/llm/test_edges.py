@@ -114,3 +114,25 @@ def test_shards_of_ties(docs):
         if r.doc_id == 5:
             assert (r.size, r.text_crc32) == (len(PLAIN) + 8, zlib.crc32(PLAIN.encode()))
     assert len({r.shard for r in rows if r.size == len(PLAIN) + 8 and r.text_crc32 == zlib.crc32(PLAIN.encode())}) <= 1
+
+
+def test_page_text_is_that_of_the_declared_steps(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.llm import warc
+
+    bits = [" ", "  ", "\t", "\n", "\r", "\x0b", "a", "b1", "<p>", "</div>", "<BR/>", "<h1 x>", "<header>", "<headerx>", "<dl", "<d>", ">", "<b>"]
+    bits += ["\u0085", " ", " ", " ", "</", " \n "]
+    rnd = random.Random(1)
+    texts = [("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))),) for _ in range(5000)]
+    one = two = F.col("t")
+    for pattern, to in (*warc.STEPS[-2:], *warc.SPACES):
+        one = F.regexp_replace(one, pattern, to)
+    for pattern, to in (*warc.TAGS, *warc.SPACES[:-1]):
+        two = F.regexp_replace(two, pattern, to)
+    assert spark.createDataFrame(texts, "t string").where(one != warc.trimmed(two)).count() == 0
+    # One pass over the page less than the steps have.
+    assert spark.range(1).select(warc.plain_text(F.lit("<p> x"))).first()[0] == "x"
+    assert all(f"{word[0]}(?:" in warc.TAGS[0][0] for word in warc.BLOCKS.split("|"))
