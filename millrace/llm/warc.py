@@ -61,6 +61,8 @@ _LETTERS = "|".join(
     rf"{letter}(?:{'|'.join(word[1:] for word in BLOCKS.split('|') if word[0] == letter)})" for letter in dict.fromkeys(w[0] for w in BLOCKS.split("|"))
 )
 TAGS = ((rf"(?i)</?(?:{_LETTERS})\b[^>]*>", "\n"), STEPS[-1])
+#: The first of SPACES without what it would leave as it is, a blank by itself.
+BLANKS = (r"[\x09\x0B\x0C\x0D][\x20\x09\x0B\x0C\x0D]*|\x20[\x20\x09\x0B\x0C\x0D]+", " ")
 #: What `$` also stands before at the end of a text in Java's engine, carriage returns apart.
 LINE_ENDS = ("\u0085", "\u2028", "\u2029")
 
@@ -123,13 +125,29 @@ def decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
+def untagged(html: Column) -> Column:
     for pattern, to in ((HIDDEN, ""), *TAGS):
         html = F.regexp_replace(html, pattern, to)
-    html = decoded(html)
-    for pattern, to in SPACES[:-1]:
-        html = F.regexp_replace(html, pattern, to)
-    return trimmed(html)
+    return html
+
+
+def spaced(text: Column) -> Column:
+    for pattern, to in (BLANKS, SPACES[1]):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def plain_text(html: Column) -> Column:
+    return trimmed(spaced(decoded(untagged(html))))
+
+
+def with_plain_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """plain_text() as a column, in projections one after the other: some steps name their input more than once, and in one expression
+    what lies below them would be done again for each."""
+    rows = rows.withColumn(name, untagged(F.col(html)))
+    for step in (decoded, spaced, trimmed):
+        rows = rows.withColumn(name, step(F.col(name)))
+    return rows
 
 
 def trimmed(text: Column) -> Column:
@@ -159,7 +177,7 @@ def derived(source: DataFrame) -> DataFrame:
     the response's, block_digest the record's own.
     """
     prepare(source.sparkSession)
-    text = source.select("*", plain_text(F.col("payload")).alias("conversion_block"))
+    text = with_plain_text(source, "payload", "conversion_block")
     ids = text.select(
         "*", uuid_of(F.lit("metadata"), F.col("record_id")).alias("metadata_id"), uuid_of(F.lit("conversion"), F.col("record_id")).alias("conversion_id"),
         digest(F.col("conversion_block")).alias("conversion_digest"),

@@ -136,3 +136,23 @@ def test_page_text_is_that_of_the_declared_steps(spark):
     # One pass over the page less than the steps have.
     assert spark.range(1).select(warc.plain_text(F.lit("<p> x"))).first()[0] == "x"
     assert all(f"{word[0]}(?:" in warc.TAGS[0][0] for word in warc.BLOCKS.split("|"))
+
+
+def test_page_text_is_made_once(spark):
+    import random
+
+    from millrace.llm import warc
+
+    bits = [" ", "  ", "\t", "\n", "\r", "\x0b", "\x0c", "a", "&amp;", "&lt;", "&", "<p>", "<b>", "<!--x-->", "<script>s</script>", "\u0085"]
+    rnd = random.Random(2)
+    texts = [(k, None, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))) for k in range(2000)]
+    pages = spark.createDataFrame([*texts, (2000, "u", None)], "page_id long, url string, html string")
+    source = warc.responses(pages)
+    found = warc.with_plain_text(source, "payload", "text").withColumn("whole", warc.plain_text(F.col("payload")))
+    assert found.where("text <> whole").count() == 0
+    spaced = F.col("html")
+    for pattern, to in warc.SPACES[:-1]:
+        spaced = F.regexp_replace(spaced, pattern, to)
+    assert pages.where(spaced != warc.spaced(F.col("html"))).count() == 0
+    plan = warc.derived(source)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("noscript") == warc.HIDDEN.count("noscript")
