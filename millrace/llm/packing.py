@@ -25,6 +25,9 @@ END_ID = 1
 MAX_OPEN = 2048
 #: A hole of at most this many ids is left to padding when windows are completed.
 SMALL_HOLE = 8
+#: Different pieces a worker keeps, and bytes of text it encodes at a time: less than elsewhere, since windows are held beside them and
+#: workers of earlier stages stay.
+KEPT, TEXT_BYTES = 300_000, 4 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -150,11 +153,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
     def run(batches):
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, KEPT).encode
         base = TaskContext.get().partitionId() << 32
 
         def documents():
-            for part in gathered(batches):
+            for part in gathered(batches, TEXT_BYTES):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").fill_null(""))):
                     yield doc, ids + end
 

@@ -134,3 +134,17 @@ def test_packed_documents(spark):
             at += length
         fills.append(at)
     assert max(fills) <= 2048 and sum(2048 - f for f in fills if f & (f - 1)) < 0.01 * sum(fills)
+
+
+def test_packing_keeps_fewer_pieces():
+    from millrace.llm import tokens
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    few, library = tokens.encoder(path, 3), Tokenizer.from_file(path)
+    texts = [" ".join(f"w{k}x" for k in range(n, n + 20)) for n in range(0, 200, 20)]
+    for text in texts:
+        assert np.frombuffer(few.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    whole = tokens.PieceEncoder(path)
+    whole.encode(texts)
+    assert len(few.kept) < len(whole.kept) and few is not tokens.encoder(path)
+    assert packing.KEPT < tokens.KEPT_PIECES
