@@ -349,6 +349,34 @@ def test_each_day_apart_is_one_partition_of_narrow_rows(spark):
     assert len({r.p for r in placed}) == 13
 
 
+def test_feeds_by_day_are_moved_once_and_hold_the_same_rows(spark, tmp_path, capsys):
+    from datetime import datetime
+
+    from millrace import feeds
+
+    when = [datetime(1995 + i % 2, 1 + i % 12, 1) if i % 7 else None for i in range(40)]
+    given = {
+        "lineitem": spark.createDataFrame(
+            [(i % 9 or None, i, i % 5, 1 + i % 3, 2.0, 9.5, "ANR"[i % 3], day) for i, day in enumerate(when)],
+            """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,
+            l_returnflag string, l_shipdate timestamp"""),
+        "orders": spark.createDataFrame(
+            [(i, i % 9 or None, 10.25 * i, day) for i, day in enumerate(when)],
+            "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp"),
+        "customer": spark.createDataFrame(
+            [(i % 30 or None, f"C{i}", i % 7, "BUILDING") for i in range(40)],
+            "c_custkey bigint, c_name string, c_nationkey bigint, c_mktsegment string"),
+    }
+    for name, rows in given.items():
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for feed in (feeds.raw_pos, feeds.order_documents, feeds.raw_customers):
+        apart = feed(spark, str(tmp_path), apart=True)
+        capsys.readouterr()
+        apart.explain()
+        assert capsys.readouterr().out.count("REPARTITION_BY") == 1
+        assert content(apart) == content(feed(spark, str(tmp_path)))
+
+
 def test_raw_zone_is_compressed_and_written_where_the_rows_lie(spark):
     from millrace import feeds, queries
 
