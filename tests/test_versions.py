@@ -7,7 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import schemas
+from millrace import queries, schemas
 from millrace.plans import gate as gate_plans
 from millrace.plans.arrival import arrival_job, compact_manifest, read_manifest
 from millrace.plans.customers import customers_job
@@ -222,6 +222,115 @@ def test_gate_kept_up_to_date(spark, tmp_path, monkeypatch, most):
     assert update_gate(spark, trusted, "2026-09-13", "2026-09-13").crossed == 0
 
 
+def counts_of(spark, trusted):
+    rows = versions.read(spark, f"{trusted}/{gate_plans.ID_COUNTS}", gate_plans.COUNTS)
+    return sorted((row.sale_id, row.dt, row.n, row.bucket) for row in rows.collect())
+
+
+def test_counts_of_ids_lie_in_hash_buckets(spark, tmp_path):
+    """With each day's contribution; an update reads the buckets of ids with more rows or fewer, after counts in days were laid out anew."""
+    zone, trusted = str(tmp_path / "raw"), str(tmp_path / "trusted")
+    put(zone, {f"pos/dt=2026-09-{d}/a.csv": POS + "".join(pos_line(f"{d}-{i}") for i in range(40)) + pos_line("same") for d in (10, 11)})
+    sales_job(spark, zone, trusted)
+    keep_gate(spark, trusted)
+    known = counts_of(spark, trusted)
+    assert [(day, n) for sale_id, day, n, _ in known if sale_id == "S001-same"] == [("2026-09-10", 1), ("2026-09-11", 1)]
+    assert len(known) == 82 and len({(sale_id, bucket) for sale_id, _, _, bucket in known}) == 81
+    table = f"{trusted}/{gate_plans.ID_COUNTS}"
+    folders = os.listdir(f"{trusted}/{versions.current(spark, table).parts[0].folder}")
+    assert {f"bucket={bucket}" for *_, bucket in known} == {name for name in folders if "=" in name}
+
+    one = next(row for row in known if row[0] == "S001-10-7")
+    counts = versions.read(spark, table, gate_plans.COUNTS)
+    few = gate_plans._in_buckets_of(counts, counts.where(F.col("sale_id") == one[0]))
+    assert {row.bucket for row in few.collect()} == {one[3]}
+    plan = few._jdf.queryExecution().toString()
+    assert "DataFilters: []" in plan and "(bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+    in_days = counts.select("sale_id", "n", "dt")
+    versions.publish(spark, table, [versions.write_run(in_days, table, ("dt",))])  # as tables kept before buckets are
+    put(zone, {"pos/dt=2026-09-11/a.csv": POS + pos_line("10-7")})
+    sales_job(spark, zone, trusted, first_day="2026-09-11", last_day="2026-09-11")
+    update = update_gate(spark, trusted, "2026-09-11", "2026-09-11")
+    assert (update.days, update.crossed) == (["2026-09-10", "2026-09-11"], 2)
+    now = counts_of(spark, trusted)
+    assert [row for row in now if row[0] == one[0]] == [one, (one[0], "2026-09-11", 1, one[3])]
+    assert len(now) == 42
+
+
+def test_kept_gate_has_rows_without_an_id_and_without_a_day(spark, tmp_path):
+    """A day of nothing but rows without an id is replaced like others, and rows without a day stay, also where their id becomes repeated."""
+    zone, trusted = str(tmp_path / "raw"), str(tmp_path / "trusted")
+    no_id = pos_line(0).replace("S001-0", " ", 1)
+    put(zone, {
+        "pos/dt=2026-09-10/a.csv": POS + pos_line(1) + pos_line(2), "pos/dt=2026-09-11/a.csv": POS + no_id,
+        "pos/dt=2026-09-12/a.csv": POS + no_id, f"pos/dt={versions.NO_DAY}/a.csv": POS + pos_line(3) + pos_line(4) + no_id,
+    })
+    sales_job(spark, zone, trusted)
+    keep_gate(spark, trusted)
+
+    def after(files, first, last):
+        put(zone, files)
+        sales_job(spark, zone, trusted, first_day=first, last_day=last)
+        update = update_gate(spark, trusted, first, last)
+        sales = tables.read_trusted_sales(spark, trusted)
+        full = gate_plans.split_sales(spark, sales, str(tmp_path / "full/sales"), str(tmp_path / "full/quarantine"))
+        assert outcome(kept_gate(spark, trusted)) == outcome((full.curated, full.quarantine))
+        return [d[-2:] for d in update.days], sales.count(), full.quarantine_rows
+
+    assert after({"pos/dt=2026-09-11/a.csv": POS + no_id + no_id}, "2026-09-11", "2026-09-11") == (["11"], 8, 0)
+    assert after({"pos/dt=2026-09-12/a.csv": POS + pos_line(3)}, "2026-09-12", None) == (["12", "__"], 8, 2)
+    assert after({"pos/dt=2026-09-12/a.csv": POS + no_id}, None, "2026-09-12") == (["10", "11", "12", "__"], 8, 0)
+
+
+def test_days_are_replaced_beside_rows_without_a_day(spark, tmp_path):
+    table, whole = str(tmp_path / "t"), [(1, "2026-01-01"), (2, "2026-01-02"), (3, None)]
+    versions.replace(rows_of(spark, *whole), table, ("dt",))
+
+    def now():
+        return sorted(versions.read(spark, table, rows_of(spark).schema).select("k", "dt").collect(), key=lambda row: row.k)
+
+    versions.replace_days(rows_of(spark, (20, "2026-01-02")), table, "2026-01-02", "2026-01-02")
+    assert now() == [(1, "2026-01-01"), (3, None), (20, "2026-01-02")]
+    versions.replace_days(rows_of(spark, (10, "2026-01-01")), table, "2026-01-01", None)
+    assert now() == [(3, None), (10, "2026-01-01")]
+    versions.replace_days(rows_of(spark, (5, None)), table, None, None)
+    assert now() == [(5, None)]
+
+
+def test_gate_after_day_range_is_brought_up_to_date_each_time(spark, tmp_path, monkeypatch):
+    """The whole table is kept first; then an update follows each of the two replacements of the days."""
+    days = [f"{year}-02-03" for year in (1993, 1994, 1995, 1996)]
+    lines = [(100 + i, 1 + k % 3, 1 + i % 9, 5 + i, day, 2.0, "A", 10.0) for k, day in enumerate([*days, days[0], days[1], None]) for i in range(k % 3, 30)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_shipdate string, l_quantity double, l_returnflag string, l_extendedprice double"
+    ).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(200 + i, 7 + i, days[i % 4], 50.0 + i) for i in range(40)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double").withColumn(
+        "o_orderdate", F.to_timestamp("o_orderdate")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    seen = []
+
+    def watched(name):
+        act = getattr(gate_plans, name)
+
+        def run(spark, trusted, *span):
+            act(spark, trusted, *span)
+            sales = tables.read_trusted_sales(spark, trusted)
+            rows = sales.groupBy("channel").count().collect()
+            full = gate_plans.split_sales(spark, sales, str(tmp_path / "full/sales"), str(tmp_path / "full/quarantine"))
+            assert outcome(kept_gate(spark, trusted)) == outcome((full.curated, full.quarantine))
+            seen.append((name, dict(rows).get("store"), full.quarantine_rows, span))
+
+        monkeypatch.setattr(gate_plans, name, run)
+
+    watched("keep_gate"), watched("update_gate")
+    rows = queries.gate_after_day_range(spark, str(tmp_path)).count()
+    span, outside = ("1994-01-01", "1995-12-31"), sum(line[4] not in days[1:3] for line in lines)
+    assert [(name, stores) for name, stores, _, _ in seen] == [("keep_gate", len(lines)), ("update_gate", outside), ("update_gate", len(lines))]
+    assert [at for *_, at in seen] == [(), span, span]
+    assert seen[0][2] == seen[2][2] > seen[1][2] and rows > len(lines)
+
+
 def test_rows_of_many_days_are_written_without_a_sort(spark, tmp_path):
     rows = spark.range(2000).selectExpr("id", "concat('2026-01-', lpad(cast(id % 20 + 1 AS string), 2, '0')) AS dt")
     table, name = str(tmp_path / "t"), "spark.sql.maxConcurrentOutputFileWriters"
